@@ -8,9 +8,9 @@ Exact, without a pair for every two members of a group:
 3. Of its n shingles, a class's n - ceil(0.8 n) + 1 rarest (rarest first, ties by hash) must hold one of every partner's. A
    class whose dropped shingles fill that prefix has no partner. The rest of the prefix are the inverted lists to join.
    Lists with the same members are kept once.
-4. In every list one leader is compared with the members of other components, then components are formed anew: a group
-   of copies is settled in a number of comparisons linear in its size. What lists still hold members of several components
-   after some rounds are searched in full, block by block.
+4. In every list one leader, its most typical member, is compared with the members of other components, then components are
+   formed anew: a group of copies is settled in a number of comparisons linear in its size. What lists still hold members
+   of several components after some rounds are searched in full, block by block, for links across components.
 5. Each comparison is a T-occurrence search by DivideSkip: the short inverted lists of a query are merged by a heap, and
    what reaches T less the number of long lists is looked up in each long list by binary search.
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
@@ -36,10 +35,12 @@ PERCENT = 80
 HASH_BITS = 48
 #: Shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
 FLUSH, BLOCK, ROUNDS = 1 << 21, 512, 3
+#: Postings that a heap merges at most, long lists probed at a time.
+HEAP, PROBED = 2048, 64
 _M48 = np.uint64((1 << HASH_BITS) - 1)
 
 
-def needed(n: int, m: int, percent: int = PERCENT) -> int:
+def needed(n: int, m, percent: int = PERCENT):
     """The least overlap of sets of n and m elements whose Jaccard likeness is at least ``percent``."""
     return -(-percent * (n + m) // (100 + percent))
 
@@ -97,7 +98,10 @@ def _deltas(x: np.ndarray) -> np.ndarray:
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
-    """(class, n, hashes, prefix) of each class that may have a partner; hashes: those of its shingles that others have."""
+    """(class, n, hashes, prefix, common) of each class that may have a partner.
+
+    hashes: those of its shingles that others have; common: of how many classes its shingles are, on average.
+    """
     spark = docs.sparkSession
     keep_batches_small(spark)
     rows = docs.select(F.col("text").cast("string"))
@@ -187,13 +191,13 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         out = []
         for i, j, size, k in zip(begin, end, n, length):
             if k > 0:
-                out.append((int(name[i : i + 1].view(np.int64)[0]), int(size), np.sort(h[i:j]).tobytes(), h[i : i + k].astype(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds)], ["class", "n", "hashes", "prefix"])
+                out.append((int(name[i : i + 1].view(np.int64)[0]), int(size), np.sort(h[i:j]).tobytes(), h[i : i + k].astype(np.int64), (float(df[i:j].sum()) + size - (j - i)) / size))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds)], ["class", "n", "hashes", "prefix", "common"])
 
     blobs = rows.mapInArrow(postings, "part long, h binary, ref binary, name binary, n binary")
     back = blobs.groupBy("part").applyInArrow(counted, "part long, name binary, h binary, df binary, n binary")
-    return back.groupBy("part").applyInArrow(prefixes, "class long, n long, hashes binary, prefix array<long>")
+    return back.groupBy("part").applyInArrow(prefixes, "class long, n long, hashes binary, prefix array<long>, common double")
 
 
 def _blobs(out: list[tuple]) -> pa.Table:
@@ -205,57 +209,74 @@ def _blobs(out: list[tuple]) -> pa.Table:
 
 
 class Lists:
-    """The inverted lists of a block of sets: hash -> ascending places in the block."""
+    """The inverted lists of a block of sets: of each hash the ascending places in the block."""
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.sizes = sizes
+        self.sizes = np.array(sizes, np.int64)
         h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.lexsort((who, h))
-        h, self.who = h[order], who[order].tolist()
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        self.places = dict(zip(h[begin].tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(h)])))
+        order = np.argsort(h, kind="stable")
+        h, self.who = h[order], who[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        self.begin = np.flatnonzero(new)
+        self.names, self.end = h[self.begin], np.append(self.begin[1:], len(h))[: len(self.begin)]
+        #: (list, place) as one ascending number, for binary search
+        self.keys = (np.cumsum(new) - 1) * len(sets) + self.who
 
-    def search(self, hashes: np.ndarray, n: int, mu: float = 0.0085) -> list[int]:
+    def search(self, hashes: np.ndarray, n: int, mu: float = 0.0085) -> np.ndarray:
         """Places of the sets that overlap a set of ``n`` elements as much as a likeness of ``PERCENT`` needs (DivideSkip)."""
+        none = np.zeros(0, np.int64)
         t = -(-PERCENT * n // 100)  # no partner shares fewer
-        lists = sorted((x for x in map(self.places.get, hashes.tolist()) if x), key=lambda x: x[1] - x[0])
+        at = np.searchsorted(self.names, hashes)
+        lists = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == hashes)] if len(self.names) else none
         if len(lists) < t:
-            return []
-        longest = lists[-1][1] - lists[-1][0]
-        n_long = min(t - 1, int(t / (mu * math.log2(longest + 1) + 1)))
+            return none
+        length = self.end[lists] - self.begin[lists]
+        lists = lists[np.argsort(length, kind="stable")]
+        n_long = min(t - 1, int(t / (mu * math.log2(int(length.max()) + 1) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        found = []
-        for who, times in groupby(heapq.merge(*(self.who[i:j] for i, j in short))):
-            count = sum(1 for _ in times)
-            need = needed(n, self.sizes[who])
-            if count < t - n_long or count + n_long < need:
-                continue
-            for k, (i, j) in enumerate(long_):
-                p = bisect_left(self.who, who, i, j)
-                count += p < j and self.who[p] == who
-                if count + n_long - k - 1 < need:
-                    break
-            if count >= need:
-                found.append(who)
-        return found
+        total = int((self.end[short] - self.begin[short]).sum())
+        need = needed(n, self.sizes)
+        if total <= HEAP:
+            merged = heapq.merge(*(self.who[self.begin[x] : self.end[x]].tolist() for x in short))
+            who, count = np.array([(w, sum(1 for _ in times)) for w, times in groupby(merged)], np.int64).reshape(-1, 2).T
+        else:  # so many that counting places is the faster merge
+            counts = np.bincount(np.concatenate([self.who[self.begin[x] : self.end[x]] for x in short]), minlength=len(self.sizes))
+            who = np.flatnonzero(counts)
+            count = counts[who]
+        alive = count >= t - n_long
+        who, count = who[alive], count[alive]
+        for i in range(0, n_long, PROBED):  # of each long list, only the candidates are looked up
+            alive = count + n_long - i >= need[who]
+            who, count = who[alive], count[alive]
+            if not len(who):
+                return none
+            wanted = long_[i : i + PROBED, None] * len(self.sizes) + who
+            found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            count = count + (self.keys[found] == wanted).sum(axis=0)
+        return who[count >= need[who]]
 
 
 def _compared(group: pa.Table) -> pa.Table:
-    """Rows (class, n, hashes, root, side) of one block: pairs (a, b) of a query (side 0) and a set (side 1), or (side 2) of both."""
-    cls, n, root, side = (group.column(k).to_pylist() for k in ("class", "n", "root", "side"))
+    """Rows (class, n, hashes, root, side) of one block: the pairs (a, b) that link across roots and sides (side 2 is both)."""
+    cls, n, root, side = (group.column(k).to_numpy() for k in ("class", "n", "root", "side"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-    data = [i for i in range(len(cls)) if side[i] > 0]
-    lists, pairs = Lists([sets[i] for i in data], [n[i] for i in data]), []
-    for q in range(len(cls)):
-        if side[q] != 1:
-            pairs += [(cls[q], cls[data[i]]) for i in lists.search(sets[q], n[q]) if root[data[i]] != root[q]]
-    return pa.Table.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+    # a pair across roots has an end outside the most common root, so the others are all the queries there need be
+    names, count = np.unique(root, return_counts=True)
+    queries = np.flatnonzero(side == 0) if (side == 0).sum() == 1 else np.flatnonzero(root != names[np.argmax(count)])
+    lists, pairs = Lists(sets, n.tolist()), [np.zeros((0, 2), np.int64)]
+    for q in queries:
+        found = lists.search(sets[q], int(n[q]))
+        found = found[(root[found] != root[q]) & ((side[found] != side[q]) | (side[found] == 2))]
+        pairs.append(np.column_stack([np.full(len(found), cls[q]), cls[found]]))
+    pairs = np.concatenate(pairs)
+    return pa.Table.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["a", "b"])
 
 
 def class_links(classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that link with another; ``classes``: as of ``shared_shingles``."""
-    members = classes.select(F.explode("prefix").alias("list"), "class", "n")
+    members = classes.select(F.explode("prefix").alias("list"), "class", "n", "common")
     lists = members.groupBy("list").agg(F.count("*").alias("k"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
     lists = lists.where("k > 1").groupBy("k", "mark").agg(F.min("list").alias("list"))  # equal lists once
     members = cut(members.join(lists.select("list"), "list"))
@@ -264,7 +285,10 @@ def class_links(classes: DataFrame) -> DataFrame:
     roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
     for _ in range(ROUNDS):
         open_ = _open(members, roots)
-        lead = open_.groupBy("list").agg(F.max(F.struct("root", "class", "n")).alias("q"))
+        # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
+        size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
+        main = size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
+        lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"))
         pairs = open_.join(lead, "list").where("root <> q.root").where(f"100 * least(n, q.n) >= {PERCENT} * greatest(n, q.n)")
         pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb")).distinct()
         if tested is not None:
