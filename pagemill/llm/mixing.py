@@ -20,14 +20,18 @@ WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents whose copies are numbered in one window, and candidates of each size class for the last correction.
 BLOCK, TRIES = 20_000, 8
 TOLERANCE, ITERATIONS = 1e-9, 60
-_KEY = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # null is a source of its own, and last
+
+
+def _key() -> Column:
+    """The source; null is a source of its own, and last."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, h, size) of every row: its source's key, a hash of the whole row that orders rows, its number of words."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.select("doc_id", _KEY.alias("key"), F.xxhash64("doc_id", "source", "text").alias("h"), size.alias("size"))
+    return rows.select("doc_id", _key().alias("key"), F.xxhash64("doc_id", "source", "text").alias("h"), size.alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
