@@ -1,0 +1,117 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pagemill.functions import geometry as g
+from pagemill.functions import tables as tb
+from pagemill.functions import text as t
+from pagemill.operators import layout, quality, records, retrieval
+from pagemill.sources import files
+from pagemill.streaming.records import record_stream, write_stream
+
+
+def one(spark, column, **values):
+    df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]) if values else spark.range(1)
+    return df.select(column.alias("x")).first().x
+
+
+def test_text_rules(spark):
+    assert one(spark, t.clean_text("a"), a="  x    y\x1c\n") == "x y"
+    assert one(spark, t.normalize_search_text("a"), a="●aB2c(d)e.F 5%x") == "bullet a B 2 c (d) e. F 5% x"
+    assert one(spark, t.normalize_line("a"), a="1 2 . 3 - 4, 50%Off 7Day cost$5") == "12. 3-4, 50% Off 7 Day cost $5"
+    assert one(spark, t.slug(t.stem("a")), a="/x/My Book (2).pdf") == "my-book-2"
+    assert one(spark, t.slug("a"), a="???") == "source-document"
+    assert [one(spark, t.column_name(F.lit(i))) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert one(spark, t.page_list("a"), a="1-3") == [1, 2, 3]
+    assert one(spark, t.page_list("a"), a="1,5, ,5-4,3") == [1, 3, 5]
+    assert tuple(one(spark, t.page_bounds("a"), a="4-9")) == (4, 9)
+    assert tuple(one(spark, t.page_bounds("a"), a="1,5")) == (None, None)
+    assert one(spark, t.first_number("a"), a=" 2.5 x") == 2.5
+    assert one(spark, t.rgb_hex(F.lit(1.0), F.lit(0.5), F.lit(0.0))) == "#ff8000"
+    assert one(spark, t.toc_like("a"), a="Chapter 12") and not one(spark, t.toc_like("a"), a="12")
+    assert one(spark, t.page_filter(F.array(*map(F.lit, (3, 4, 5))))) == "3-5"
+    assert one(spark, t.page_filter(F.array(*map(F.lit, (3, 5))))) == "3,5"
+    with pytest.raises(ValueError):
+        t.query_terms("  ")
+    with pytest.raises(ValueError):
+        t.chunk_text("a", 0)
+    assert one(spark, t.chunk_text("a", 5), a="ab cd  toolongword e") == ["ab cd", "toolongword", "e"]
+    assert one(spark, t.chunk_text("a", 5), a=" ") == []
+
+
+def test_tables(spark):
+    rows = lambda s: F.from_json(F.lit(s), "array<array<string>>")
+    assert one(spark, tb.padded(rows('[["Name","Value"],["Alpha","10"],["Beta"]]')))[2] == ["Beta", ""]
+    assert one(spark, tb.cleaned(rows('[["Title","",""],["a","","b"],["c","","d"]]'))) == [["Title", "b"], ["c", "d"]]
+    assert one(spark, tb.compacted(rows('[["", " a ", "b"],["c"]]'))) == [["a", "b"], ["c", ""]]
+    assert one(spark, tb.table_class(rows('[["Height","Weight"]]'))) == "height_weight_table"
+
+
+def test_overlap_is_not_symmetric(spark):
+    a, b = (F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(v, ("x0", "y0", "x1", "y1"))]) for v in ((0, 0, 10, 10), (0, 0, 5, 5)))
+    assert one(spark, g.overlap(a, b)) == 0.25 and one(spark, g.overlap(b, a)) == 1.0
+
+
+def _boxes(spark, rows):
+    return spark.createDataFrame([(1, i, t_, float(x), float(y), float(x + w), float(y + 8)) for i, (t_, x, y, w) in enumerate(rows)], "page long, ord long, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def test_ocr_tables(spark):
+    prose = [(w, x, 20 * r, 200) for r in range(4) for w, x in (("left words", 40), ("right words", 320))]
+    assert layout.ocr_tables(_boxes(spark, prose)).count() == 0
+    titled = [("Experience Table", 40, 0, 100), *[(w, x, 20 * r, 40) for r in (1, 2, 3) for w, x in (("lvl", 40), ("xp", 110))]]
+    assert [r["class"] for r in layout.ocr_tables(_boxes(spark, titled)).collect()] == ["experience_points_table"]
+    numbers = [("text", 40, 0, 50), *[(w, x, 20 * r, 30) for r in (1, 2, 3) for w, x in ((f"{r}-{r}9", 40), ("roll", 90))]]
+    assert [r.rows for r in layout.ocr_tables(_boxes(spark, numbers)).collect()] == [[["1-19", "roll"], ["2-29", "roll"], ["3-39", "roll"]]]
+
+
+def test_previous_hash_alone(spark):
+    rows = spark.createDataFrame([(1, "A", "h"), (2, "B", "h"), (3, "A", "h"), (4, "A", "h")], "ord int, book_id string, sha256 string")
+    assert [(r.ord, r.also_used_by) for r in quality.repeated_hashes(rows).orderBy("ord").collect()] == [(2, "A"), (3, "B")]
+
+
+def test_hash_vectors(spark):
+    r = spark.createDataFrame([("a::p001::text", "alpha beacon vector archive"), ("b::p002::text", "some other words about the weather")], "record_id string, text string")
+    provider = retrieval.HashProvider(16)
+    index = retrieval.vector_index(r, provider)
+    assert retrieval.vector_search(index, "beacon vector archive", provider, 1).first().record_id == "a::p001::text"
+    assert not quality.issues(index, ["chunk_id"], quality.vector_rules(16)).count()
+    assert quality.issues(index, ["chunk_id"], quality.vector_rules(32)).count() == 2
+    assert retrieval.hash_embedding("", 4) == [0.0] * 4
+
+
+def test_table_page_beats_value(spark):
+    e = spark.sql("select 'b' as batch_id, 'k' as book_id, cast(null as int) as page, 7 as page_number, 't' as table_id, '' as caption, array(array('x', 'y')) as cells")
+    assert records.from_tables(e).first().page == 0 and records.from_tables(e.drop("page")).first().page == 7
+
+
+def test_page_records(spark):
+    e = spark.sql("""select 'bk' as book_id, 3 as page, array(named_struct('region_id', 'r1', 'text', 'Hello', 'classification', 'normal', 'layout_class', 'body'), named_struct('region_id', 'r2', 'text', ' ', 'classification', 'n', 'layout_class', 'b')) as textbox_regions,
+        array(named_struct('region_id', '', 'text', 'scan')) as ocr, array(named_struct('caption', 'C', 'title', '', 'text', '', 'csv', '', 'file', 'f.csv', 'rows', array(array('1', '')))) as tables,
+        array(named_struct('image_id', 'i1', 'classification', 'content_image', 'review_role', '', 'width_px', 2, 'height_px', 3)) as embedded_images""")
+    got = {r.record_id: r.text for r in records.from_pages(e).collect()}
+    assert got == {"bk::p003::page::page": "Hello scan", "bk::p003::text_region::r1": "Hello", "bk::p003::ocr_text::ocr_0001": "scan", "bk::p003::table::table_001": "C f. csv 1", "bk::p003::image::i1": "content_image 2 x 3"}
+
+
+def test_files_and_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"record_id": "x", "text": "t"}\n\n[1]\nnonsense\n')
+    assert [r.line_number for r in files.bad_lines(spark, str(tmp_path / "in")).orderBy("line_number").collect()] == [3, 4]
+    (tmp_path / "in/a.json").write_text('{"record_id": "x", "text": "t", "batch_id": "b", "book_id": "k", "page": 2}\n')
+    stream = record_stream(spark, str(tmp_path / "in"), "record_id string, batch_id string, book_id string, page int, text string", records.from_texts)
+    write_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).first().record_id == "x"
+    with pytest.raises(ValueError):
+        files.write_private(spark.range(1), str(tmp_path / "x"), str(tmp_path / "private"))
+    found = files.write_index(spark.createDataFrame([("page", "a"), ("page", "b")], "record_type string, text string"), str(tmp_path / "index")).first()
+    assert (found.record_type, found.records) == ("page", 2)
+
+
+def test_last_wins_and_variant(spark):
+    rows = spark.createDataFrame([(1, 1, "FAIL"), (1, 2, "PASS"), (2, 1, "PASS")], "page int, seq int, status string")
+    assert sorted(tuple(r) for r in quality.last_wins(rows, "page", ["seq"]).collect()) == [(1, 2, "PASS"), (2, 1, "PASS")]
+
+
+def test_denied_terms(spark):
+    docs = spark.createDataFrame([(1, "one\nA.B here\naxb")], "id int, text string")
+    got = quality.forbidden_lines(docs, "id", patterns=quality.denied(["# no", "", "a.b"])).collect()
+    assert [(r.line_number, r.category) for r in got] == [(2, "custom denylist 1")]
