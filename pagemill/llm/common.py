@@ -44,8 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """What the optimizer believes that ``df`` reads: the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of the files that ``df`` scans; where it comes from elsewhere or from a join, that of its texts (a scan)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and size < 1 << 55:
+        return size
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def bucket5(doc_id):

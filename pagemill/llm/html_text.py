@@ -41,7 +41,7 @@ _BAD = set(
 _GOOD = set("article content post entry story body text main maincontent articlebody".split())
 _WORDS = re.compile(r"[a-z]+")
 #: Log-odds of the classifier.
-ODDS = {"apart": -7.0, "bad": -5.0, "good": 3.0, "heading": 1.0, "bare": -0.5, "links": -4.0, "length": 0.6}
+ODDS = {"apart": -7.0, "bad": -5.0, "good": 3.0, "heading": 1.0, "plain": 0.4, "links": -4.0, "length": 0.6}
 #: Weights of the edges: to the next block, to the next one with the same parent.
 NEXT, SIBLING = 1.0, 0.4
 
@@ -94,7 +94,7 @@ def blocks_of(html: str) -> list[Block]:
                 b.links = min(1.0, len(" ".join(unescape("".join(linked)).split())) / len(text))
                 n = text.count(" ") + 1
                 b.odds = stack[-1][1] + ODDS["links"] * max(0.0, b.links - 0.3) + ODDS["length"] * max(-1.5, min(3.0, math.log2(n / 6)))
-                b.odds += ODDS["heading"] * heading + (ODDS["bare"] if len(b.path) < 4 else 0)
+                b.odds += ODDS["heading"] * heading + ODDS["plain"]
                 out.append(b)
             pieces, linked = [], []
 
