@@ -103,13 +103,17 @@ def _listed(kinds: list[str], spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def _is(kind: int):
+    return lambda x: x["kind"] == kind
+
+
 def secret_report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs`` (doc_id, text; others are ignored)."""
     rows = findings(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path)
     every = F.coalesce("__spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     rows = rows.select("doc_id", every.alias("s"))
     kinds = [r.name for r in RULES]
-    counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{r.name}") for k, r in enumerate(BASE)]
+    counts = [F.size(F.filter("s", _is(k))).cast("long").alias(f"n_{r.name}") for k, r in enumerate(BASE)]
     base = F.filter("s", lambda x: x["kind"] < len(BASE))
     return rows.select("doc_id", *counts, F.sha2(_listed(kinds, base), 256).alias("base_sha256"), _listed(kinds, F.col("s")).alias("spans"))
 
