@@ -27,7 +27,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_number, line) of every line that isn't a JSON object. Each file is one row: for files that fit a task."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     return whole.where("trim(line) <> '' and (try_parse_json(line) is null or schema_of_variant(try_parse_json(line)) not like 'OBJECT%')").select("path", (F.col("i") + 1).alias("line_number"), "line")
 
 
