@@ -9,7 +9,8 @@ Exact, without a pair for every two members of a group:
    class whose dropped shingles fill that prefix has no partner. The rest of the prefix are the inverted lists to join.
    Lists with the same members are kept once.
 4. In every list one leader, its most typical member, is compared with the members of other components, then components are
-   formed anew: a group of copies is settled in a number of comparisons linear in its size. What lists still hold members
+   formed anew: a group of copies is settled in a number of comparisons linear in its size. In the first round each class
+   meets one leader only, that of its longest list, which settles most of a group that shares many lists. What lists still hold members
    of several components after some rounds are searched in full, block by block, for links across components.
 5. Each comparison is a T-occurrence search by DivideSkip: the short inverted lists of a query are merged by a heap, and
    what reaches T less the number of long lists is looked up in each long list by binary search.
@@ -34,7 +35,7 @@ from .graph import components
 PERCENT = 80
 HASH_BITS = 48
 #: Shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
-FLUSH, BLOCK, ROUNDS = 1 << 21, 512, 3
+FLUSH, BLOCK, ROUNDS = 1 << 21, 512, 4
 #: Postings that a heap merges at most, long lists probed at a time.
 HEAP, PROBED = 2048, 64
 _M48 = np.uint64((1 << HASH_BITS) - 1)
@@ -283,14 +284,19 @@ def class_links(classes: DataFrame) -> DataFrame:
     sets = classes.select("class", "n", "hashes")
     links = tested = None
     roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         open_ = _open(members, roots)
         # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
         size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
-        main = size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
-        lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"))
+        main = size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members"))
+        lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"), F.max("members").alias("members"))
         pairs = open_.join(lead, "list").where("root <> q.root").where(f"100 * least(n, q.n) >= {PERCENT} * greatest(n, q.n)")
-        pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb")).distinct()
+        pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb"), "members", "q.common")
+        if turn:
+            pairs = pairs.select("a", "b", "ra", "rb").distinct()
+        else:  # a group of copies shares many lists: first each class meets the leader of its longest list alone
+            longest = F.max(F.struct("members", "common", "a", "ra")).alias("m")
+            pairs = pairs.groupBy("b", "rb").agg(longest).select("m.a", "b", "m.ra", "rb")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
