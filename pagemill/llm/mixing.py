@@ -19,6 +19,8 @@ from .common import cut
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents whose copies are numbered in one window, and candidates of each size class for the last correction.
 BLOCK, TRIES = 20_000, 8
+#: Parts of a source's size class while its documents are counted.
+SALTS = 256
 TOLERANCE, ITERATIONS = 1e-9, 60
 
 
@@ -83,20 +85,21 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("m").isNull(), float(cap)).otherwise(tilted(F.lit(1.0), F.col("m"), cap))
     rates = goals.join(dual, "key").select("key", "source_size", "target", rate.alias("rate"))
     # blocks: sources by falling size class, each cut by hash into parts of about BLOCK documents
-    rows = rows.withColumn("k", F.floor(F.log2(F.col("size") + 1.0)).cast("int"))
-    counted = rows.groupBy("key", "k").agg(F.count("*").alias("n"))
-    rows = rows.join(counted, ["key", "k"]).withColumn("s", F.pmod("h", F.expr(f"(n - 1) div {BLOCK} + 1")).cast("int"))
+    rows = rows.withColumn("k", F.floor(F.log2(F.col("size") + 1.0)).cast("int")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    counted = rows.groupBy("key", "k", "salt").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(W.partitionBy("key", "k")))
+    rows = rows.join(counted, ["key", "k", "salt"]).withColumn("s", F.pmod("h", F.expr(f"(n - 1) div {BLOCK} + 1")).cast("int"))
     blocks = rows.groupBy("key", "k", "s").agg(F.count("*").alias("n"))
     ahead = W.partitionBy("key").orderBy(F.desc("k"), "s").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("key", "k", "s", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    blocks = blocks.select("key", "k", "s", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")).join(rates, "key")
     within = W.partitionBy("key", "k", "s").orderBy(F.desc("size"), "h")
-    rows = rows.drop("n").withColumn("i", F.row_number().over(within)).join(blocks, ["key", "k", "s"]).join(rates, "key")
+    rows = rows.drop("n").withColumn("i", F.row_number().over(within)).join(blocks, ["key", "k", "s"])
     place = F.col("ahead") + F.col("i")
     whole = F.floor(F.col("rate") * place + 0.5) - F.floor(F.col("rate") * (place - 1) + 0.5)
     rows = cut(rows.select("doc_id", "h", "key", "k", "s", "i", "size", "source_size", "target", F.least(whole, F.lit(cap)).cast("long").alias("copies")))
     # the correction: of every source and size class a few documents may be taken once more or once less
-    over = rows.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-    free = rows.join(over, "key").where("size > 0 and size < 2 * abs(missing)").where(((F.col("missing") > 0) & (F.col("copies") < cap)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
+    over = rows.groupBy("key", "k", "s").agg(F.first("target").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("words"))
+    over = over.select("key", "k", "s", (F.col("goal") - F.sum("words").over(W.partitionBy("key"))).alias("missing"))
+    free = rows.join(over, ["key", "k", "s"]).where("size > 0 and size < 2 * abs(missing)").where(((F.col("missing") > 0) & (F.col("copies") < cap)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
     tries = free.groupBy("key", "k", F.pmod("h", F.lit(TRIES)).alias("try")).agg(F.min(F.struct("h", "i", "size", "s", "missing")).alias("c"))
     tries = tries.groupBy("key").agg(F.first("c.missing").alias("missing"), F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("less"), F.col("c.h").alias("h"), "k", F.col("c.s").alias("s"), F.col("c.i").alias("i")))).alias("c"))
     fold = """aggregate(c, struct(abs(missing) as rest, cast(array() as array<struct<k:int,s:int,i:int>>) as taken),
