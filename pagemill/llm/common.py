@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of lineages cut so far; else they stay on the executors' disks until the driver next collects."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def scan_bytes(df: DataFrame) -> int:
     """The size of the files that ``df`` scans; where it comes from elsewhere or from a join, that of its texts (a scan)."""
     plan = df._jdf.queryExecution().optimizedPlan()

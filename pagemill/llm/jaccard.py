@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_batches_small, mix, scan_bytes, shingles, slices
+from .common import cut, keep_batches_small, mix, release, scan_bytes, shingles, slices
 from .graph import components
 
 PERCENT = 80
@@ -310,6 +310,7 @@ def class_links(classes: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         roots = cut(components(links))
+        release(classes.sparkSession)
     # what is still open is searched whole; partners are at most one size class of a quarter apart
     open_ = _open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int"))
     k = open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("k"))
