@@ -5,7 +5,8 @@ closest in (bounded) relative entropy to the corpus, token by token. Its dual is
 by which a document of base rate q is tilted to ``cap q e^m / (cap - q + q e^m)``. Newton's method solves it: each iteration sums
 the gradient (tokens now taken less the target) and the curvature over the documents' cells of (source, base rate) and moves all
 multipliers at once. Rates are then rounded to whole copies: along each source's documents, largest first, the sum of copies
-follows the sum of rates to half a copy, and a few documents of falling size settle what words are still over or missing.
+follows the sum of rates to half a copy. Where a long document holds much of a source that is off by up to half of its words; all other
+free documents of the source settle what is over or missing, so that the words are off by less than the smallest free document has.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Documents whose copies are numbered in one window, and candidates of each size class for the last correction.
-BLOCK, TRIES = 20_000, 8
+#: Documents whose copies are numbered in one window.
+BLOCK = 20_000
+#: Rounds of the correction that spread the residue evenly, and how much smaller than it a document is that takes part.
+SPREAD, FINE = 2, 16
 #: Parts of a source's size class while its documents are counted.
 SALTS = 256
 TOLERANCE, ITERATIONS = 1e-9, 60
@@ -96,19 +99,48 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     place = F.col("ahead") + F.col("i")
     whole = F.floor(F.col("rate") * place + 0.5) - F.floor(F.col("rate") * (place - 1) + 0.5)
     rows = cut(rows.select("doc_id", "h", "key", "k", "s", "i", "size", "source_size", "target", F.least(whole, F.lit(cap)).cast("long").alias("copies")))
-    # the correction: of every source and size class a few documents may be taken once more or once less
-    over = rows.groupBy("key", "k", "s").agg(F.first("target").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("words"))
-    over = over.select("key", "k", "s", (F.col("goal") - F.sum("words").over(W.partitionBy("key"))).alias("missing"))
-    free = rows.join(over, ["key", "k", "s"]).where("size > 0 and size < 2 * abs(missing)").where(((F.col("missing") > 0) & (F.col("copies") < cap)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
-    tries = free.groupBy("key", "k", F.pmod("h", F.lit(TRIES)).alias("try")).agg(F.min(F.struct("h", "i", "size", "s", "missing")).alias("c"))
-    tries = tries.groupBy("key").agg(F.first("c.missing").alias("missing"), F.array_sort(F.collect_list(F.struct((-F.col("c.size")).alias("less"), F.col("c.h").alias("h"), "k", F.col("c.s").alias("s"), F.col("c.i").alias("i")))).alias("c"))
-    fold = """aggregate(c, struct(abs(missing) as rest, cast(array() as array<struct<k:int,s:int,i:int>>) as taken),
-        (a, x) -> if(-x.less < 2 * a.rest, struct(abs(a.rest + x.less) * if(a.rest + x.less < 0, 0, 1) as rest, array_append(a.taken, struct(x.k as k, x.s as s, x.i as i)) as taken), a)).taken"""
-    moves = tries.select("key", F.signum("missing").cast("long").alias("move"), F.explode(F.expr(fold)).alias("x")).select("key", "x.*", "move")
-    rows = rows.join(moves, ["key", "k", "s", "i"], "left")
-    return rows.select("doc_id", "h", "size", "source_size", "target", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
+    return settled(rows, cap).select("doc_id", "h", "size", "source_size", "target", "copies")
 
 
+def _short(rows: DataFrame, cap: int) -> tuple[DataFrame, Column]:
+    """(key, k, s, missing): the words that the block's source lacks, below 0 if over; and whether a row can be moved to mend that."""
+    own = rows.groupBy("key", "k", "s").agg(F.first("target").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("words"))
+    short = own.select("key", "k", "s", (F.col("goal") - F.sum("words").over(W.partitionBy("key"))).alias("missing"))
+    free = (F.col("size") > 0) & (((F.col("missing") > 0) & (F.col("copies") < cap)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
+    return cut(short), free
+
+
+def settled(rows: DataFrame, cap: int) -> DataFrame:
+    """``rows`` with copies moved by one at a time until no free document of a source is as small as what its words are off.
+
+    The first rounds spread the residue evenly over all free documents far smaller than it, which is one rate more for them;
+    the others take free documents, largest first, up to the residue, which leaves two thirds of it at most. Last, a single document
+    may overshoot, if that is nearer.
+    """
+    block, move = ["key", "k", "s"], F.signum("missing").cast("long")
+    within, ahead = W.partitionBy(*block).orderBy("i").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("key").orderBy(F.desc("k"), "s").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.partitionBy("key")
+    turn = 0
+    while True:
+        spread, turn = turn < SPREAD, turn + 1
+        short, free = _short(rows, cap)
+        can = free & (F.col("size") <= F.abs("missing") / (FINE if spread else 1))
+        sums = rows.join(short, block).where(can).groupBy(*block).agg(F.first("missing").alias("missing"), F.count("*").alias("n"), F.sum("size").alias("words"))
+        share = F.least(F.lit(1.0), F.abs("missing") / F.sum("words").over(everything))
+        sums = cut(sums.select(*block, "missing", share.alias("share"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_ahead"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("words_ahead")))
+        if sums.isEmpty():
+            if spread:
+                continue
+            break
+        marked = rows.join(sums, block, "left").withColumn("can", F.coalesce(can, F.lit(False)))
+        place = F.col("n_ahead") + F.sum(F.col("can").cast("long")).over(within)
+        words = F.col("words_ahead") + F.sum(F.when(F.col("can"), F.col("size")).otherwise(0)).over(within)
+        taken = F.floor(F.col("share") * place + 0.5) > F.floor(F.col("share") * (place - 1) + 0.5) if spread else words <= F.abs("missing")
+        rows = cut(marked.withColumn("copies", F.col("copies") + F.when(F.col("can") & taken, move).otherwise(0)).select(*rows.columns))
+    near = rows.join(short, block).where(free & (F.col("size") < 2 * F.abs("missing")))
+    near = near.groupBy("key").agg(F.min(F.struct("size", "h", "k", "s", "i", move.alias("move"))).alias("x")).select("key", "x.k", "x.s", "x.i", "x.move")
+    return rows.join(near, [*block, "i"], "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0)))
+
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: the words that the mix takes of it, repeats counted."""
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -166,6 +166,20 @@ def test_op3_rows_follow_copies(docs):
     assert Counter(r.doc_id for r in mixing.mixed(docs).select("doc_id").collect()) == +plan
 
 
+@pytest.mark.parametrize("n, size, long", [(1000, 500, 500_000), (3000, 50, 200_000)])
+def test_op3_long_document(spark, n, size, long):
+    """One document holds much of a source: the many others settle what rounding it leaves."""
+    b = n * size + long
+    spec = [(i, "b", size + i % 7) for i in range(n)] + [(n, "b", long)] + [(n + 1 + i, "a", b * 315 // 1000 // 400) for i in range(400)]
+    docs = spark.createDataFrame(spec, "doc_id long, source string, n long").repartition(4)
+    got = mixing.mixture(docs.select("doc_id", F.expr("repeat('w ', cast(n as int))").alias("text"), "source")).collect()
+    of = {i: s for i, s, _ in spec}
+    for s in "ab":
+        mine = [r for r in got if of[r.doc_id] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) < min(r.size for r in mine)
+        assert all(r.taken % r.size == 0 and r.taken <= 3 * r.size for r in mine)
+
+
 def test_op4(docs, rows, none):
     got = {}
     for r in fingerprint.fingerprints(docs, part_bytes=1 << 16).collect():
