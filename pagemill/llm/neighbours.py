@@ -1,7 +1,8 @@
 """Approximate nearest neighbours (operator 7) by cross-polytope hashing.
 
-Vectors are scaled by the largest norm and, where norms differ, get one more coordinate that makes them unit vectors, so the
-largest inner product is the nearest vector. A hash is a pseudo-rotation (signs and fast Hadamard transforms, three times) followed by
+Directions are hashed, so the largest inner product is the nearest vector as long as norms are alike. Rows whose norm is near
+the median are hashed if they are nearly all; the others are kept by ranges of norm, each scored whole, unless its largest norm rules
+it out for a query. So what is hashed is found as often as among vectors of one norm. A hash is a pseudo-rotation (signs and fast Hadamard transforms, three times) followed by
 the nearest signed axis. Each table has a rotation of its own; a query probes in each the axes that it is nearest to, in
 order, and every vector in a probed bucket is a candidate, scored exactly.
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TABLES, PROBES, BLOCK = 6, 20, 4096
+#: Norms up to this factor from the median are alike; the share of rows from which on these are hashed; rows of largest norm whose scores bound a query's.
+ALIKE, MOSTLY, LEAD = 1.05, 0.9, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,13 +53,6 @@ def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
-def _unit(v: np.ndarray, top: float, query: bool) -> np.ndarray:
-    n2 = (v * v).sum(axis=1, keepdims=True)
-    if query:
-        return np.hstack([v / np.sqrt(n2), np.zeros((len(v), 1))])
-    return np.hstack([v / top, np.sqrt(np.maximum(0, 1 - n2 / top**2))])
-
-
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: of every row with vec_id divisible by ``every`` its ``k`` nearest other rows found.
 
@@ -74,30 +70,57 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABL
     ids = ids.withColumn("i", F.row_number().over(W.partitionBy("name").orderBy("vec_id"))).where(f"i <= {k + 1}")
     groups = cut(ids.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     kinds = rows.join(groups.select("name", F.col("ids")[0].alias("vec_id")), ["name", "vec_id"])
-    norms = rows.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("top"), F.min(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("low"), F.max(F.size("v")).alias("d")).first()
-    if norms.top is None:
+    kinds = kinds.withColumn("norm", F.sqrt(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")))
+    middle = kinds.agg(F.percentile_approx("norm", 0.5, 10_000)).first()[0]
+    if middle is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    top, level = float(norms.top) ** 0.5, norms.low > norms.top * (1 - 1e-6)
-
-    def hashed(query: bool):
-        def go(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                u = v / np.linalg.norm(v, axis=1, keepdims=True) if level else _unit(v, top, query)
+    alike = F.col("norm").between(middle / ALIKE, middle * ALIKE)
+    if kinds.agg(F.avg(alike.cast("double"))).first()[0] < MOSTLY:
+        alike = F.lit(False)
+    kinds = cut(kinds.withColumn("span", F.when(~alike, F.floor(F.log2(F.col("norm") / middle)))))
+    spans = np.array([tuple(r) for r in kinds.where("span is not null").groupBy("span").agg(F.max("norm")).collect()], float).reshape(-1, 2)
+    lead = np.array([r.v for r in kinds.orderBy(F.desc("norm")).limit(LEAD).collect()]) if len(spans) else None
+
+    def hashed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            span = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            rest = np.flatnonzero(~np.isnan(span))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rest)), batch.column(1).take(pa.array(rest)), pa.array(span[rest].astype(np.int64) - (1 << 20))], ["id", "v", "bucket"])
+            where = np.flatnonzero(np.isnan(span))
+            if len(where):
+                u = v[where] / np.linalg.norm(v[where], axis=1, keepdims=True)
                 for t in range(tables):
-                    a = axes(u, t, probes if query else 1)
-                    n = a.shape[1]
-                    where = pa.array(np.repeat(np.arange(len(v)), n))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array((a + t * 4096 * 4096).ravel(), pa.int64())], ["id", "v", "bucket"])
-
-        return go
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array((axes(u, t, 1) + t * 4096 * 4096).ravel(), pa.int64())], ["id", "v", "bucket"])
+
+    def probed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            if len(spans):
+                least = -np.inf  # a query's k + 1 best among the rows of largest norm: no row that scores less is in the result
+                if len(lead) > k:
+                    least = np.partition(v @ lead.T, len(lead) - k - 1, axis=1)[:, len(lead) - k - 1][:, None]
+                    least = least - 1e-9 * np.abs(least)
+                i, j = np.nonzero(norm * spans[:, 1] >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(spans[j, 0].astype(np.int64) - (1 << 20))], ["id", "v", "bucket"])
+            for t in range(tables):
+                a = axes(v / norm, t, probes)
+                i = pa.array(np.repeat(np.arange(len(v)), a.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), pa.array((a + t * 4096 * 4096).ravel(), pa.int64())], ["id", "v", "bucket"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     schema = "id long, v array<double>, bucket long"
-    data = kinds.select("vec_id", "v").mapInArrow(hashed(False), schema)
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(hashed(True), schema)
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    return _scored(rows, kinds, groups, kinds.select("vec_id", "v", "span").mapInArrow(hashed, schema), asked.mapInArrow(probed, schema), k)
+
+
+def _scored(rows: DataFrame, kinds: DataFrame, groups: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query among the kinds of vectors that share a bucket with it; data, asked: id, v, bucket."""
     # blocks of each bucket, on either side; there are as many buckets as tables times signed axes
     n_data = data.groupBy("bucket").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("nd"))
     n_asked = asked.groupBy("bucket").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("nq"))

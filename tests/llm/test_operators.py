@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,41 @@ def test_op7(spark):
     assert neighbours.nearest(e.limit(0)).count() == 0
 
 
+def _recall(spark, x, every=20):
+    """The share of the 20 best rows of every query that is found; no query may lack rows."""
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, hits, total = defaultdict(set), 0, 0
+    for r in neighbours.nearest(e, every).collect():
+        got[r.query_id].add(r.vec_id)
+    for i in range(0, len(x), every):
+        s = x @ x[i]
+        s[i] = -np.inf
+        n = min(20, len(x) - 1)
+        assert len(got[i]) == n
+        hits, total = hits + len(got[i] & set(np.argsort(-s)[:n].tolist())), total + n
+    return hits / total
+
+
+def _vectors():
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id")["embedding"]
+    return np.array(rows.combine_chunks().flatten(), dtype=np.float64).reshape(len(rows), -1)
+
+
+@pytest.mark.parametrize("norms", ["one doubled", "one times 10", "log-normal", "near", "two kinds"])
+def test_op7_uneven_norms(spark, norms):
+    x = _vectors()
+    rng = np.random.default_rng(3)
+    if norms == "one doubled":
+        x[77] *= 2
+    elif norms == "one times 10":
+        x[77] *= 10
+    elif norms == "two kinds":
+        x[::20] *= 3
+    else:
+        x *= rng.lognormal(0, 0.25 if norms == "log-normal" else 0.02, len(x))[:, None]
+    assert _recall(spark, x) >= 0.93
+
+
 def test_op8(docs, rows, none):
     got, e = packing.pack(docs, BYTE).collect(), encoder(BYTE)
     sequences, pieces = defaultdict(list), defaultdict(list)
