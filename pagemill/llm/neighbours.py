@@ -4,7 +4,8 @@ Directions are hashed, so the largest inner product is the nearest vector as lon
 the median are hashed if they are nearly all; the others are kept by ranges of norm, each scored whole, unless its largest norm rules
 it out for a query. So what is hashed is found as often as among vectors of one norm. A hash is a pseudo-rotation (signs and fast Hadamard transforms, three times) followed by
 the nearest signed axis. Each table has a rotation of its own; a query probes in each the axes that it is nearest to, in
-order, and every vector in a probed bucket is a candidate, scored exactly.
+order, and every vector in a probed bucket is a candidate, scored exactly. A query left with fewer rows than wanted is scored
+against all rows.
 
 Equal vectors are one candidate, of which the smallest ids are kept: as many as a result may hold. Buckets are joined as groups
 of one block of vectors and one of queries, so neither a full bucket nor a much probed one lands in one task.
@@ -116,7 +117,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABL
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
     schema = "id long, v array<double>, bucket long"
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    return _scored(rows, kinds, groups, kinds.select("vec_id", "v", "span").mapInArrow(hashed, schema), asked.mapInArrow(probed, schema), k)
+    found = cut(_scored(rows, kinds, groups, kinds.select("vec_id", "v", "span").mapInArrow(hashed, schema), asked.mapInArrow(probed, schema), k))
+    few = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    few = cut(asked.join(few, "vec_id", "left_anti"))
+    if few.isEmpty():
+        return found
+    whole = F.lit(0).cast("long").alias("bucket")
+    again = _scored(rows, kinds, groups, *(x.select(F.col("vec_id").alias("id"), F.col("v").alias("v"), whole) for x in (kinds, few)), k)
+    return found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
 def _scored(rows: DataFrame, kinds: DataFrame, groups: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> DataFrame:

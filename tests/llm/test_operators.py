@@ -301,6 +301,16 @@ def test_op7_uneven_norms(spark, norms):
     assert _recall(spark, x) >= 0.93
 
 
+def test_op7_few_candidates(spark):
+    x = _vectors()
+    assert _recall(spark, x[:15], 1) == 1.0
+    x = x[:420] * 1e-3 + np.eye(64)[0]  # rows of one direction, and queries that lie apart from all of them
+    x[::20] = 0
+    for i in range(0, 420, 20):
+        x[i, i // 20 + 1] = 1
+    _recall(spark, x)
+
+
 def test_op8(docs, rows, none):
     got, e = packing.pack(docs, BYTE).collect(), encoder(BYTE)
     sequences, pieces = defaultdict(list), defaultdict(list)
