@@ -97,11 +97,11 @@ def rgb_hex(r, g, b) -> Column:
 
 
 def column_name(index: Column | str) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA: digits of 26 without a zero; four letters at most."""
-    names, rest = [], _col(index).cast("long")
-    for _ in range(4):
-        names.append(F.when(rest >= 0, F.char(rest % 26 + 65)).otherwise(""))
-        rest = F.when(rest >= 0, F.floor(rest / 26) - 1).otherwise(rest)
+    """0 -> A, 25 -> Z, 26 -> AA: digits of 26 without a zero, as many as a long needs."""
+    x, names, first = _col(index).cast("long"), [], 0
+    for k in range(14):
+        names.append(F.when(x >= first, F.char(F.call_function("div", x - first, F.lit(26**k)) % 26 + 65)).otherwise(""))
+        first += 26 ** (k + 1)
     return F.concat(*reversed(names))
 
 

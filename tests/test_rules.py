@@ -115,3 +115,18 @@ def test_denied_terms(spark):
     docs = spark.createDataFrame([(1, "one\nA.B here\naxb")], "id int, text string")
     got = quality.forbidden_lines(docs, "id", patterns=quality.denied(["# no", "", "a.b"])).collect()
     assert [(r.line_number, r.category) for r in got] == [(2, "custom denylist 1")]
+
+
+def test_long_column_names(spark):
+    def name(i):
+        out, i = "", i + 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    ids = [i + d for k in range(1, 14) for i in [sum(26**j for j in range(1, k + 1))] for d in (-1, 0, 1)] + [2**53 + 1, 2**63 - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", t.column_name("i").alias("name")).collect()
+    assert {r.i: r.name for r in got} == {i: name(i) for i in ids}
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", t.column_name("event_id").alias("name")).collect()
+    assert all(r.name == name(r.event_id) for r in events) and max(r.event_id for r in events) >= 702
