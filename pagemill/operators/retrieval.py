@@ -5,13 +5,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_text, empty_to_null, keyword_score, query_terms, snippet
 
+#: Vectors of one block in a search of many queries.
+BLOCK = 4096
+
 
 def keyword_search(records: DataFrame, query: str, limit: int = 10, record_type: str | None = None, page_bonus: bool = True, order: str = "record_id") -> DataFrame:
     """score, record_id, record_type, page, snippet of the best ``limit`` records with a hit.
@@ -96,12 +103,74 @@ def vector_search(index: DataFrame, query: str, provider, limit: int = 10) -> Da
     return vector_top(index, provider.embed(query), limit, "chunk_id").select(F.round("score", 6).alias("score"), "chunk_id", "record_id", "text")
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Every row of ``a`` with every row of ``b``, added up in the order of ``dot``."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x[:, None] * y
+    return out
+
+
+def _squares(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for x in a.T:
+        out += x * x
+    return out
+
+
+def _six_digits(x: np.ndarray) -> np.ndarray:
+    """As SQL rounds: half away from zero of the decimal value."""
+    y = np.abs(x) * 1e6
+    out = np.sign(x) * np.floor(y + 0.5) / 1e6
+    for i in zip(*np.nonzero(np.abs(y - np.floor(y) - 0.5) < 1e-4), strict=True):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out + 0.0
+
+
 def nearest_pairs(rows: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score: each query's nearest other rows by cosine. queries must be few: they are broadcast."""
+    """query_id, id, score, rank: each query's nearest other rows by cosine; a vector that is null or holds a null scores null, which is last.
+
+    Rows and queries meet in blocks, each of which gives ``limit`` rows a query; no side is broadcast.
+    """
     from pyspark.sql import Window as W
 
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q")))
-    pairs = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).join(q, F.col("id") != F.col("query_id"))
-    pairs = pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    def dealt(df: DataFrame, mine: str, other: str, others: int) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        whole = F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False))
+        one = df.select(F.col(key).cast("long").alias("id"), F.when(whole, v).alias("v"))
+        return one.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n[mine] // BLOCK))))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-others // BLOCK) - 1)).cast("long"))))
+
+    n = {"i": rows.count(), "j": queries.count()}
+    left, right = dealt(queries, "j", "i", n["i"]), dealt(rows, "i", "j", n["j"])
+
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+        good = pc.is_valid(t.column("v")).to_numpy().astype(bool)
+        return t.column("id").to_numpy(), good, t.column("v").to_pylist()
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qi, qg, q), (di, dg, d) = read(left), read(right)
+        out = [[], [], []]
+        lengths = {len(x) for x in [*q, *d] if x is not None}
+        if len(lengths) > 1 and qg.any() and dg.any():
+            raise ValueError("vectors of different lengths")
+        zero = [0.0] * max(lengths, default=1)
+        d = np.array([zero if x is None else x for x in d], float).reshape(len(di), -1)
+        for a in range(0, len(qi) if len(di) else 0, 64):
+            part, good = qi[a : a + 64], qg[a : a + 64, None] & dg
+            x = np.array([zero if v is None else v for v in q[a : a + 64]], float)
+            norms = np.sqrt(_squares(x))[:, None], np.sqrt(_squares(d))
+            with np.errstate(all="ignore"):
+                score = np.where((norms[0] == 0) | (norms[1] == 0), 0.0, _dots(x, d) / (norms[0] * norms[1]))
+            score = _six_digits(score)
+            rank = np.where(good, np.where(np.isnan(score), np.inf, score), -np.inf)
+            for i, own in enumerate(part):
+                others = np.flatnonzero(di != own)
+                top = others[np.lexsort((di[others], -rank[i, others]))[:limit]]
+                out[0] += [own] * len(top)
+                out[1] += di[top].tolist()
+                out[2] += [float(s) if g else None for s, g in zip(score[i, top], good[i, top], strict=True)]
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

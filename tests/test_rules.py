@@ -130,3 +130,21 @@ def test_long_column_names(spark):
     assert {r.i: r.name for r in got} == {i: name(i) for i in ids}
     events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", t.column_name("event_id").alias("name")).collect()
     assert all(r.name == name(r.event_id) for r in events) and max(r.event_id for r in events) >= 702
+
+
+def test_nearest_pairs_of_many_queries(spark, monkeypatch):
+    """Every hundredth row against all, in more than one block on either side, against all pairs by SQL; no side is broadcast."""
+    monkeypatch.setattr(retrieval, "BLOCK", 13, raising=False)
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id < 2000")
+    odd = spark.sql("select 5000L as vec_id, array_repeat(float(0), 64) as embedding union all select 5001, cast(null as array<float>)")
+    e = e.select("vec_id", "embedding").where("vec_id % 10 = 0").unionByName(odd)
+    q = e.where("vec_id % 100 = 0")
+    pairs = q.selectExpr("vec_id as query_id", "cast(embedding as array<double>) as q").crossJoin(e.selectExpr("vec_id as id", "cast(embedding as array<double>) as v")).where("query_id <> id")
+    pairs = pairs.select("query_id", "id", F.round(retrieval.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    want = pairs.selectExpr("*", "row_number() over (partition by query_id order by score desc, id) as rank").where("rank <= 5")
+    got = retrieval.nearest_pairs(e, q, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert sorted(map(tuple, got.select("query_id", "rank", "id", "score").collect())) == sorted(map(tuple, want.select("query_id", "rank", "id", "score").collect()))
+    assert got.select("query_id").distinct().count() == q.count() == 21
+    assert retrieval.nearest_pairs(e, q.limit(0), 5).count() == 0
