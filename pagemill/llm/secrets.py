@@ -30,7 +30,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),  # a run counts whole or not at all, so its least length may stand in the pattern
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # headers, then all up to the END line; where that is missing, the lines of base64
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s{1,4}[A-Za-z0-9-]{1,40}:[^\r\n]{0,200}){0,8}(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{16,}+){0,1000}))", version=3),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("code_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )

@@ -230,6 +230,19 @@ def test_op5_redaction(spark, docs):
     assert got[64].text.startswith("é😀 x [SECRET]") and got[60].text is None and len(got) == len({r.doc_id for r in docs.collect()})
 
 
+def test_op5_private_key_whole(spark):
+    body = "\n".join("MIIE" + "aB3+/x9Z" * 7 + f"{i:04d}" for i in range(40))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    keys = [f"-----BEGIN {k}PRIVATE KEY-----\n{h}{body}\nQUJD\n-----END {k}PRIVATE KEY-----" for k in ("", "RSA ") for h in ("", head)]
+    keys += [keys[0].replace("\n", "\\n"), keys[0].replace("\n", "\r\n"), keys[0].split("\nQUJD")[0]]
+    texts = [f"before {k}\nafter it" for k in keys] + [f"one {keys[1]} two {keys[0]} three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secrets.redacted(docs, f"{shared_dir(spark)}/keys").orderBy("doc_id").collect()]
+    assert not any("MIIE" in x or "PRIVATE" in x for x in got)
+    assert all(x.startswith("before ") and x.endswith("\nafter it") for x in got[:-1])
+    assert got[-1].startswith("one ") and " two " in got[-1] and got[-1].endswith(" three")
+
+
 def test_op6_and_op10(spark, docs, none):
     real, labels = spark.read.parquet(f"{DIR}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DIR}/../sf0.01/labels.parquet")
     for scores, label, least in ((quality.quality_scores, "quality", 0.93), (toxicity.toxicity_scores, "toxic", 0.88)):
