@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -11,8 +13,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text hashed at a time, so that the temporary arrays stay in the cache whatever the length of a text.
-WINDOW = 1 << 18
 SHINGLE = 5
 _U = np.uint64
 
@@ -21,19 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_batches_small(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds of a partition: Arrow batches of few rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where it is unset (tests, one machine) a temporary folder is set once for the session.
+    Where it is unset, a session on one machine gets a temporary folder once; any other is refused, as its executors
+    could not see such a folder.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="pagemill-")
+        spark.sparkContext.setCheckpointDir(folder)
     return f"{jsc.getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
@@ -72,29 +73,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
-    """A random odd 64-bit value for every byte; A-Z as a-z."""
-    v = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-    v[65:91] = v[97:123]
-    return v
-
-
-BYTE = _byte_values()
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses modulo 2**64; both tables grow as needed."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, _U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: The low bytes of an eight-byte number, by their count.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Spans longer than this are hashed one by one.
+_LONG = 256
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -123,19 +109,28 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-def spans_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span (spans in order of their ends): a polynomial, from prefix sums."""
-    out, i, n = np.empty(len(begin), _U), 0, len(begin)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + WINDOW, "right")))
-        a, b = int(begin[i:j].min()), int(end[j - 1])
-        up, down = powers(b - a)
-        sums = np.zeros(b - a + 1, _U)
-        np.cumsum(values[data[a:b]] * up[: b - a], out=sums[1:])
-        s, e = begin[i:j] - a, end[i:j] - a
-        out[i:j] = (sums[e] - sums[s]) * down[s]
-        i = j
-    return mix(out + (end - begin).astype(_U) * _U(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on (A-Z as a-z, zeros after the end) as one little-endian number; a view."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=padded[: len(data)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def spans_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, A-Z as a-z: eight bytes after eight, each mixed with all before."""
+    size = end - begin
+    out = mix(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(0x9E3779B97F4A7C15))
+    eight = eights(data)
+    live = np.flatnonzero(size <= _LONG)
+    at, left, h = begin[live], size[live], out[live]
+    while len(live):
+        h = mix(h ^ (eight[at] & FIRST[np.minimum(left, 8)]))
+        out[live] = h
+        more = np.flatnonzero(left > 8)
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[begin[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 _TURN = mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
@@ -180,3 +175,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+
+
+def text_slices(texts: list[str], most: int = 2 << 20):
+    """The bytes of ``texts`` and where each begins, about ``most`` bytes at a time."""
+    i = 0
+    while i < len(texts):
+        parts, size = [], 0
+        while i < len(texts) and (not parts or size < most):
+            parts.append(texts[i].encode())
+            size += len(parts[-1])
+            i += 1
+        yield np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)

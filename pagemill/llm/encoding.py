@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Pieces kept by a Python worker: bounds its memory to about 150 MB.
-KEPT = 500_000
+#: Pieces kept by a Python worker for each tokenizer (about 30 MB), and the longest of them.
+KEPT, SHORT = 160_000, 64
 _TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
 _GAP = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than the single space and the line feed.
@@ -38,6 +38,7 @@ class PieceIds(dict):
     def __init__(self, tokenizer, kind: str, dtype, before: str = ""):
         super().__init__()
         self.tokenizer, self.kind, self.dtype, self.before = tokenizer, kind, dtype, before
+        self.share = self.room = KEPT // 2
 
     def encode(self, piece: str) -> bytes:
         if self.kind != "whole" and _LETTERS.fullmatch(piece):  # one piece for the model, too
@@ -54,7 +55,11 @@ class PieceIds(dict):
             ids = self[piece[:i]] + self.plain["\n"] + self.plain[piece[i + 1 :]]
         else:
             ids = self.encode(piece)
-        if len(self) < KEPT:
+        if len(piece) <= SHORT:
+            if self.room == 0:  # begin anew rather than keep what came first
+                self.clear()
+                self.room = self.share
+            self.room -= 1
             self[piece] = ids
         return ids
 

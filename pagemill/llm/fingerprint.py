@@ -14,12 +14,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_batches_small, mix, scan_bytes, shingles, utf8
+from .common import mix, scan_bytes, shingles, utf8
 
 BINS, BITS = 512, 4
+#: Ranges of doc_id at most; beyond, they grow with the table, and a task streams through its own.
+RANGES = 1 << 14
 _SMALL = 1 << 20
 
 
@@ -91,6 +93,16 @@ def edited(text: str, following: str) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _range_of(value: Column, edges: list[int]) -> Column:
+    """How many of the ascending ``edges`` are at most ``value`` (none for a null), by binary search."""
+    if not edges:
+        return F.lit(0)
+    steps = ",".join(str(1 << k) for k in reversed(range(len(edges).bit_length())))
+    found = F.expr(f"array({steps})")
+    listed = F.lit(edges).cast("array<bigint>")
+    return F.aggregate(found, F.lit(0), lambda k, step: k + F.when((k + step <= len(edges)) & (F.get(listed, k + step - 1) <= value), step).otherwise(0))
+
+
 def fingerprints(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     """One row of ``OUT`` a document, whose next one is that with the next larger doc_id (after the last, the first).
 
@@ -102,28 +114,22 @@ def fingerprints(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     range before it.
     """
     spark = docs.sparkSession
-    keep_batches_small(spark, 256)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = ["doc_id", F.xxhash64("text")]
-    n = max(1, -(-scan_bytes(rows) // part_bytes))
+    n = min(RANGES, max(1, -(-scan_bytes(rows) // part_bytes)))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     edges = ids.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("e")).first().e if n > 1 else []
-    edges = sorted(set(edges or []))  # at most one number for each part_bytes of input
-    part = F.expr("coalesce(aggregate(array(%s), 0, (k, e) -> k + if(doc_id >= e, 1, 0)), 0)" % ",".join(f"{e}L" for e in edges)) if edges else F.lit(0)
-    placed = ids.withColumn("part", part)
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
-    firsts = [(r.part, r["first"].doc_id) for r in firsts.orderBy("part").collect()]  # one row a part
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    # the first row of each part goes to the part before as well, as its end; parts have consecutive numbers
-    number = {p: k for k, (p, _) in enumerate(firsts)}
-    where = spark.createDataFrame([(f is None, f or 0, number[before[f]]) for _, f in firsts], "null_id boolean, first long, to int")
-    numbers = F.expr("element_at(map(%s), part)" % ",".join(f"{p},{k}" for p, k in number.items())) if number else F.lit(0)
-    placed = rows.withColumn("part", part).withColumn("part", numbers.cast("int"))
+    part = _range_of(F.col("doc_id"), sorted(set(edges or [])))
+    firsts = ids.withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"))
+    firsts = [(r.part, r["first"].doc_id) for r in firsts.orderBy("part").collect()]  # one row a range, ``RANGES`` at most
+    # the first row of each range goes to the range before it as well, as its end
+    where = spark.createDataFrame([(f is None, f or 0, firsts[k - 1][0]) for k, (_, f) in enumerate(firsts)], "null_id boolean, first long, to int")
+    placed = rows.withColumn("part", part)
     first_rows = placed.join(F.broadcast(where), F.col("doc_id").eqNullSafe(F.when(~F.col("null_id"), F.col("first"))))
     first_rows = first_rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "to", "h")
     ends = first_rows.groupBy("to", "doc_id").agg(F.min_by("text", "h").alias("text")).selectExpr("doc_id", "text", "to as part", "true as end")
     both = placed.select("doc_id", "text", "part", F.lit(False).alias("end")).unionByName(ends)
-    dealt = both.repartitionById(max(1, len(firsts)), F.col("part")) if firsts else both
+    dealt = both.repartitionById(n, F.col("part"))
     dealt = dealt.sortWithinPartitions("part", "end", *order).select("doc_id", "text", "end")
 
     def batches_of(batches):

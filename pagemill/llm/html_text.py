@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_batches_small
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
@@ -254,7 +253,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is empty; null ids and urls stay null; equal rows stay.
     """
-    keep_batches_small(pages.sparkSession, 256)
 
     def texts(batches):
         for batch in batches:

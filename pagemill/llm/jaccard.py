@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_batches_small, mix, release, scan_bytes, shingles, slices
+from .common import cut, mix, release, scan_bytes, shingles, slices
 from .graph import components
 
 PERCENT = 80
@@ -71,7 +71,6 @@ SIZES = "doc_id long, n_shingles long, class long"
 
 def set_sizes(docs: DataFrame) -> DataFrame:
     """``SIZES`` of every row: the size of its set, and the name of its class (null for an empty set)."""
-    keep_batches_small(docs.sparkSession)
 
     def sizes(batches):
         for batch in batches:
@@ -104,7 +103,6 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
     hashes: those of its shingles that others have; common: of how many classes its shingles are, on average.
     """
     spark = docs.sparkSession
-    keep_batches_small(spark)
     rows = docs.select(F.col("text").cast("string"))
     parts = max(2, -(-scan_bytes(rows) // (8 << 20)))
 

@@ -17,7 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_batches_small
 from .encoding import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -88,7 +87,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024,
     docs: doc_id, text; other columns are ignored. A null text is empty and gives ``end_id`` alone; an equal row is packed
     again. No row moves between tasks. Sequence ids are unique, not without gaps, and follow the input's splits.
     """
-    keep_batches_small(docs.sparkSession)
 
     def packed(batches):
         encode = encoder(tokenizer, "<u4")

@@ -9,10 +9,9 @@ divides its output is fitted on a fifth of the training rows that the network ha
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE, SPACE, mix, spans_hash, utf8, words
+from .common import SPACE, mix, spans_hash, text_slices, words
 from .labelled import scored, training_rows
 
 ROWS, DIM, NEAR = 1 << 16, 48, 2
@@ -35,7 +34,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def word_rows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     begin, end, row = words(data, at)
-    h = spans_hash(data, begin, end, BYTE)
+    h = spans_hash(data, begin, end)
     return begin, end, row, h, (h >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
 
 
@@ -45,13 +44,21 @@ _SIGN[33:127] = True
 _SIGN[48:58] = _SIGN[65:91] = _SIGN[97:123] = False
 
 
+def _counts(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of each text's flags are set."""
+    some = np.flatnonzero(at[:-1] < at[1:])
+    out = np.zeros(len(at) - 1)
+    if len(some):
+        out[some] = np.add.reduceat(flags, at[some], dtype=np.int64)
+    return out
+
+
 def form(data: np.ndarray, at: np.ndarray, begin, end, row, h) -> np.ndarray:
     """Measures of each text's form: lengths, shares of kinds of bytes and of words that repeat."""
     n = len(at) - 1
     size = np.diff(at)
     count = np.bincount(row, minlength=n)
-    byte_row = np.repeat(np.arange(n), size)
-    share = [np.bincount(byte_row[kind[data]], minlength=n) / np.maximum(size, 1) for kind in (_UPPER, _DIGIT, _SIGN, SPACE, _LINE)]
+    share = [_counts(kind[data], at) / np.maximum(size, 1) for kind in (_UPPER, _DIGIT, _SIGN, SPACE, _LINE)]
     order = np.lexsort((h, row))
     new = np.ones(len(h), bool)
     new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
@@ -75,16 +82,17 @@ def features(data: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarra
     return np.hstack([pooled, form(data, at, begin, end, row, h)])
 
 
-def word_vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def word_vectors(texts: list[str]) -> np.ndarray:
     index = index_vectors()
-    _, _, row, _, place = word_rows(data, at)
     around = np.zeros_like(index)
-    for step in range(1, NEAR + 1):
-        same = np.flatnonzero(row[step:] == row[:-step])
-        for i in range(0, len(same), _CHUNK):
-            s = same[i : i + _CHUNK]
-            np.add.at(around, place[s], index[place[s + step]])
-            np.add.at(around, place[s + step], index[place[s]])
+    for data, at in text_slices(texts):
+        _, _, row, _, place = word_rows(data, at)
+        for step in range(1, NEAR + 1):
+            same = np.flatnonzero(row[step:] == row[:-step])
+            for i in range(0, len(same), _CHUNK):
+                s = same[i : i + _CHUNK]
+                np.add.at(around, place[s], index[place[s + step]])
+                np.add.at(around, place[s + step], index[place[s]])
     return _unit(index + _unit(around))
 
 
@@ -142,9 +150,9 @@ class QualityModel:
     """Called with the bytes of texts and where each begins: the probabilities of label 1."""
 
     def __init__(self, texts: list[str], y: np.ndarray):
-        data, at = utf8(pa.array(texts, pa.large_string()))
-        self.vectors = word_vectors(data, at)
-        self.network = Network(features(data, at, self.vectors), y)
+        self.vectors = word_vectors(texts)
+        rows = [features(data, at, self.vectors) for data, at in text_slices(texts)]
+        self.network = Network(np.concatenate(rows) if rows else features(np.zeros(0, np.uint8), np.zeros(1, np.int64), self.vectors), y)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.network(features(data, at, self.vectors))

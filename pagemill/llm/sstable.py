@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_batches_small, mix, scan_bytes, shared_dir
+from .common import cut, mix, scan_bytes, shared_dir
 from .encoding import encoder
 
 MAGIC = b"PMSST\x00\x01\n"
@@ -179,7 +179,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wi
     ``shard_bytes``: input bytes of a shard.
     """
     spark = docs.sparkSession
-    keep_batches_small(spark)
     end = end_id.to_bytes(width, "little")
 
     def shard(batches):
@@ -197,12 +196,21 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wi
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = max(1, -(-scan_bytes(rows) // shard_bytes))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ties are broken by the text's hash and the row's place, so that rows of one id spread over ranges, too
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("k", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n, "doc_id", "h", "k").sortWithinPartitions("doc_id", "h", "k").select("doc_id", "text")
     rows.mapInArrow(shard, "part binary").select(F.col("part").cast("string")).write.text(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, at, doc_id, ids) of every entry: the shard's number, the entry's place in it, packed ids and their width."""
+ENTRIES = "shard long, at long, doc_id long, ids binary, width int"
+SUMS = "shard long, at long, doc_id long, n_tokens long, ids_crc32 long"
+
+
+def read_shards(spark: SparkSession, path: str, sums: bool = False) -> DataFrame:
+    """``ENTRIES`` of every entry: the shard's number, the entry's place in it (ids before it), packed ids and their width.
+
+    With ``sums``, ``SUMS``: number and crc32 (as little-endian 32-bit integers) in place of the ids. One shard is held at a time.
+    """
 
     def entries(batches):
         for batch in batches:
@@ -210,22 +218,27 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(content.as_buffer())
                 rows, size, at = [], 0, 0
                 for doc_id, value in shard:
-                    rows.append((number, at, doc_id, value, shard.width))
-                    size, at = size + len(value), at + len(value) // shard.width
+                    n = len(value) // shard.width
+                    if sums:
+                        rows.append((number, at, doc_id, n, zlib.crc32(np.frombuffer(value, f"<u{shard.width}").astype("<u4").tobytes())))
+                    else:
+                        rows.append((number, at, doc_id, value, shard.width))
+                    size, at = size + (64 if sums else len(value)), at + n
                     if size > 1 << 21:
-                        yield _batch(rows)
+                        yield _batch(rows, kinds)
                         rows, size = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, kinds)
 
+    names = [x.split() for x in (SUMS if sums else ENTRIES).split(", ")]
+    kinds = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for name, kind in names])
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     files = files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
-    return files.mapInArrow(entries, "shard long, at long, doc_id long, ids binary, width int")
+    return files.mapInArrow(entries, SUMS if sums else ENTRIES)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("shard", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
 
 def token_spans(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
@@ -233,15 +246,7 @@ def token_spans(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/shards"
     write_shards(docs, path, tokenizer, end_id)
-
-    def sums(batches):
-        for batch in batches:
-            wide = [np.frombuffer(v.as_buffer(), f"<u{w}") for v, w in zip(batch.column(3), batch.column(4).to_pylist(), strict=True)]
-            n = pa.array([len(x) for x in wide], pa.int64())
-            crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in wide], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, crc], ["shard", "at", "doc_id", "n_tokens", "ids_crc32"])
-
-    rows = cut(read_shards(spark, path).mapInArrow(sums, "shard long, at long, doc_id long, n_tokens long, ids_crc32 long"))
+    rows = cut(read_shards(spark, path, sums=True))
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # one row a file
     base = totals.select("shard", F.expr("sum(total) over (order by shard) - total").alias("base"))
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,178 +1,172 @@
-"""Toxicity (operator 10): subword-bag embeddings, averaged, into a linear softmax; both trained jointly in numpy.
+"""Toxicity (operator 10): subword-bag embeddings, averaged, into a linear softmax; all of it trained jointly in numpy.
 
 A word, A-Z lower-cased, is the bag of its runs of three to five bytes, with the space before and after it, so a misspelling shares most
 of its runs with the word it hides. Each run's hash names an embedding row. The embeddings of a word's runs are averaged and
-go through the softmax. A document is as toxic as its most toxic word, so a long text doesn't dilute a few words. In training
-every word of a clean text is clean; of a toxic text at first all words are toxic, then those that scored worst. A logistic
-line through the documents' worst scores gives probabilities.
+go through the softmax's linear map, which gives the word's margin (toxic less clean). A document's margin is the soft average of its
+words' margins, log(mean(exp)): a plain average for words that are alike, and one that a few words of a large margin still move in a
+long text. Embeddings, linear map and intercept are trained together on the documents' labels alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE, SPACE, mix, powers, spans_hash, utf8, words
+from .common import FIRST, SPACE, eights, mix, spans_hash, text_slices, words
 from .labelled import scored, training_rows
 
-ROWS, DIM, RUNS = 1 << 17, 8, (3, 4, 5)
+ROWS, DIM, RUNS = 1 << 17, 4, (3, 4, 5)
 #: Rows that training takes at most, and the score from which a document counts as toxic.
 TRAINING_ROWS, THRESHOLD = 6000, 0.5
+#: Rounds of training, its step, the factor on margins, the floor of a row's own scale (as a share of the largest): the lower, the faster rare runs learn.
+ROUNDS, RATE, GAIN, FLOOR = 40, 0.1, 10.0, 0.1
 _WINDOW = 1 << 18
 #: What parts words here: white space and all other ASCII signs.
 GAP = SPACE.copy()
 GAP[:128] |= [not chr(b).isalnum() for b in range(128)]
+_SHIFT = np.uint64(64 - ROWS.bit_length() + 1)
+
+
+def _row_of(eight: np.ndarray, i: np.ndarray, size: int) -> np.ndarray:
+    """The embedding row of the run of ``size`` bytes at each place ``i``."""
+    return (mix((eight[i] & FIRST[size]) ^ np.uint64(size << 56)) >> _SHIFT).astype(np.int32)
 
 
 def runs(data: np.ndarray, at: np.ndarray):
-    """(embedding row, word) arrays of all runs, window by window; the document of every word; the number of words."""
+    """(embedding row, word) arrays of all runs, window by window; the document of every word."""
     n = len(at) - 1
     # one space before each text and one after all, so that words at the edges have theirs
     spaced = np.full(len(data) + n + 1, 32, np.uint8)
     where = np.repeat(np.arange(1, n + 1), np.diff(at)) + np.arange(len(data))
-    spaced[where] = data
-    begin_doc = at[:-1] + np.arange(n)
-    space = GAP[spaced]
-    first = ~space
-    first[1:] &= space[:-1]
+    spaced[where] = np.where(GAP[data], np.uint8(32), data)
+    gap = spaced == 32
+    first = ~gap
+    first[1:] &= gap[:-1]
     begins = np.flatnonzero(first)
-    doc = np.searchsorted(begin_doc, begins, "right") - 1
-    values = np.where(GAP, np.uint64(0x2545F4914F6CDD1D), BYTE)
+    doc = np.searchsorted(at[:-1] + np.arange(n), begins, "right") - 1
+    eight = eights(spaced)
 
     def windows():
-        last = max(RUNS)
         for a in range(0, len(spaced), _WINDOW):
-            part = spaced[a : a + _WINDOW + last]
-            gap = GAP[part]
-            seen = np.concatenate([[0], np.cumsum(gap)])
-            up, down = powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+            near = gap[a : a + _WINDOW + max(RUNS)]
+            seen = np.concatenate([[0], np.cumsum(near)])
             for size in RUNS:
-                i = np.arange(max(0, min(_WINDOW, len(part) - size + 1)))
-                i = i[(seen[i + size - 1] == seen[i + 1]) & ~(gap[i] & gap[i + 1])]
-                h = mix((sums[i + size] - sums[i]) * down[i] + np.uint64(size))
-                word = np.searchsorted(begins, a + i + 1, "right") - 1
-                yield (h >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int32), word
-
-    return windows(), doc, len(doc)
-
-
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-
-
-def _bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the embedding of all runs, word by word, and where each word's begin (one more: the end)."""
-    parts, _, n = runs(data, at)
-    found = list(parts)
-    place, word = (np.concatenate(c) for c in zip(*found, strict=True))
+                i = np.arange(max(0, min(_WINDOW, len(near) - size + 1)))
+                i = i[(seen[i + size - 1] == seen[i + 1]) & ~(near[i] & near[i + 1])]
+                yield _row_of(eight, a + i, size), np.searchsorted(begins, a + i + 1, "right") - 1
+
+    return windows(), doc
+
+
+def _bags(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of all runs, word by word, and where each word's begin (one more: the end)."""
+    data = np.frombuffer(b"".join(b" " + w + b" " for w in spelled), np.uint8)
+    size = np.array([len(w) + 2 for w in spelled])
+    owner, eight = np.repeat(np.arange(len(spelled)), size), eights(data)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+    where = [np.flatnonzero(left >= k) for k in RUNS]
+    place = np.concatenate([_row_of(eight, i, k) for i, k in zip(where, RUNS)])
+    word = owner[np.concatenate(where)]
     order = np.argsort(word, kind="stable")
-    return place[order], np.searchsorted(word[order], np.arange(n + 1))
+    return place[order], np.searchsorted(word[order], np.arange(len(spelled) + 1))
+
+
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of every word of the texts, in order: its text and its number; the words by number."""
+    number: dict[int, int] = {}
+    spelled, word, doc, before = [], [], [], 0
+    for data, at in text_slices(texts):
+        data = np.where(GAP[data], np.uint8(32), data)
+        begin, end, row = words(data, at)
+        name, first, back = np.unique(spans_hash(data, begin, end), return_index=True, return_inverse=True)
+        known = np.empty(len(name), np.int64)
+        for k, (x, i) in enumerate(zip(name.tolist(), first.tolist())):
+            if x not in number:
+                number[x] = len(number)
+                spelled.append(data[begin[i] : end[i]].tobytes())
+            known[k] = number[x]
+        word.append(known[back])
+        doc.append(row + before)
+        before += len(at) - 1
+    return np.concatenate(doc), np.concatenate(word), spelled
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _pooled(margin: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """log(mean(exp)) of each document's margins (0 without words), and each word's share in it. ``doc`` ascends."""
+    some, start, count = np.unique(doc, return_index=True, return_counts=True)
+    out = np.zeros(n)
+    if not len(some):
+        return out, margin
+    top = np.maximum.reduceat(margin, start)
+    e = np.exp(margin - np.repeat(top, count))
+    total = np.add.reduceat(e, start)
+    out[some] = np.log(total / count) + top
+    return out, e / np.repeat(total, count)
 
 
 class ToxicityModel:
     """Called with the bytes of texts and where each begins: the probabilities of label 1."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, seed: int = 11):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.embedding = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
-        self.output = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    def __init__(self, texts: list[str], y: np.ndarray, seed: int = 11, rounds: int = ROUNDS):
+        y = np.asarray(y, np.float64)
         share = (y.sum() + 1) / (len(y) + 2)
-        self.bias = np.log([1 - share, share]).astype(np.float32)
-        self.line = np.array([0.0, self.bias[1] - self.bias[0]])
-        self.weight = np.zeros(ROWS, np.float32)
-        if len(set(y)) < 2:
+        self.weight, self.bias = np.zeros(ROWS, np.float32), float(np.log(share / (1 - share)))
+        if len(set(y.tolist())) < 2:
             return
-        data, at = utf8(pa.array(texts, pa.large_string()))
-        begin, end, doc = words(np.where(GAP[data], np.uint8(32), data), at)
-        name, first, word = np.unique(spans_hash(data, begin, end), return_index=True, return_inverse=True)
-        pairs = np.unique(word * len(texts) + doc)  # a word once for each document
-        word, doc = pairs // len(texts), pairs % len(texts)
-        seen = np.bincount(word)
-        common = np.flatnonzero(seen >= (3 if len(texts) > 1000 else 2))  # rarer words tell about their texts, not about words
-        raw = data.tobytes()
-        place, at_word = _bags(*_joined([raw[begin[i] : end[i]] for i in first]))
-        bad = y[doc] == 1
-        positive = np.ones(len(doc), bool)
-        for _ in range(3):
-            clean = np.minimum(np.bincount(word[~bad], minlength=len(name)), 50)
-            toxic = np.minimum(np.bincount(word[bad & positive], minlength=len(name)), 50)
-            own = np.concatenate([place[at_word[i] : at_word[i + 1]] for i in common])
-            begin_own = np.concatenate([[0], np.cumsum((at_word[1:] - at_word[:-1])[common])])
-            count = np.column_stack([clean, toxic])[common].astype(np.float32)
-            count *= count.sum() / np.maximum(count.sum(axis=0), 1) / 2
-            self.train(own, begin_own, count)
-            z = self.word_scores(place, at_word)
-            top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, doc, z[word])
-            positive = z[word] >= top[doc] - 1.0  # of a toxic text, its worst words alone stay toxic
-        self.weight = (self.embedding @ (self.output[:, 1] - self.output[:, 0])).astype(np.float32)
-        self.line = _logistic_line(np.where(np.isinf(top), 0, top), y)
-        self.embedding = self.output = None  # softmax of two classes is the logistic of their difference: a number for each row
-
-    def word_scores(self, place, begin) -> np.ndarray:
-        value = self.embedding @ (self.output[:, 1] - self.output[:, 0])
-        total = np.concatenate([[0], np.cumsum(value[place], dtype=np.float64)])
-        return (total[begin[1:]] - total[begin[:-1]]) / np.maximum(np.diff(begin), 1)
-
-    def train(self, place, begin, count, rounds: int = 40, rate: float = 0.15, decay: float = 1e-3) -> None:
-        """Adam on the softmax's loss over words, each counted in clean and toxic texts; embeddings and output together."""
-        size = np.maximum(np.diff(begin), 1).astype(np.float32)[:, None]
-        of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        order = np.argsort(place, kind="stable")
-        used = np.unique(place)
-        start = np.searchsorted(place[order], used)
-        of_sorted = of[order]
-        n = count.sum(axis=1, keepdims=True)
-        total = n.sum()
-        p = [self.embedding[used], self.output, self.bias]
+        doc, word, spelled = _vocabulary(texts)
+        if len(spelled):
+            self._fit(doc, word, *_bags(spelled), y, np.random.Generator(np.random.PCG64(seed)), rounds)
+
+    def _fit(self, doc, word, place, at, y, rng, rounds) -> None:
+        """Momentum on the logistic loss; both labels weigh alike at first, each document does at the end."""
+        n, kinds = len(y), len(at) - 1
+        used, local = np.unique(place, return_inverse=True)
+        size = np.diff(at).astype(np.float32)[:, None]
+        # orders in which the sums back from words to kinds of words, and from these to runs, are sums of neighbours
+        by_run = np.argsort(local, kind="stable")
+        kind_of_run, run_at = np.repeat(np.arange(kinds), np.diff(at))[by_run], np.searchsorted(local[by_run], np.arange(len(used)))
+        by_kind = np.argsort(word, kind="stable")
+        kind_at = np.searchsorted(word[by_kind], np.arange(kinds))
+        p = [rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
         m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-        local = np.searchsorted(used, place)
+        even = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         for t in range(1, rounds + 1):
-            x = np.add.reduceat(p[0][local], begin[:-1], axis=0) / size
-            z = x @ p[1] + p[2]
-            q = np.exp(z - z.max(axis=1, keepdims=True))
-            q = (q / q.sum(axis=1, keepdims=True) * n - count) / total
-            back = (q @ p[1].T) / size
-            g = [np.add.reduceat(back[of_sorted], start, axis=0) + decay / len(used) * p[0], x.T @ q, q.sum(axis=0)]
+            weight = even ** min(1.0, 2 * (1 - t / rounds))
+            mean = np.add.reduceat(p[0][local], at[:-1], axis=0) / size * GAIN
+            z = mean @ p[1]
+            pooled, part = _pooled((z[:, 1] - z[:, 0])[word], doc, n)
+            g = (_sigmoid(pooled + p[2][1] - p[2][0]) - y) * weight / n
+            back = np.add.reduceat((g[doc] * part)[by_kind], kind_at)[:, None].astype(np.float32) * np.array([-1, 1], np.float32)
+            to_mean = back @ p[1].T / size * GAIN
+            slope = [np.add.reduceat(to_mean[kind_of_run], run_at, axis=0), mean.T @ back, np.array([-g.sum(), g.sum()], np.float32)]
             for k in range(3):
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
-        self.embedding[used], self.output, self.bias = p
+                m[k] = 0.9 * m[k] + 0.1 * slope[k]
+                v[k] = 0.99 * v[k] + 0.01 * slope[k] ** 2
+                scale = np.sqrt(v[k] / (1 - 0.99**t))
+                p[k] = p[k] - RATE * (1 - t / (rounds + 1)) * (m[k] / (1 - 0.9**t)) / ((1 - FLOOR) * scale + FLOOR * scale.max() + 1e-9)
+        # a softmax of two classes is the logistic of their difference: one number for each row is all that scoring needs
+        self.weight[used] = GAIN * (p[0] @ (p[1][:, 1] - p[1][:, 0]))
+        self.bias = float(p[2][1] - p[2][0])
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        parts, doc, n = runs(data, at)
-        total, size = np.zeros(n), np.zeros(n)
+        parts, doc = runs(data, at)
+        total, size = np.zeros(len(doc)), np.zeros(len(doc))
         for place, word in parts:
             if len(word):
                 low, most = int(word[0]), int(word[-1]) + 1
                 total[low:most] += np.bincount(word - low, self.weight[place], minlength=most - low)
                 size[low:most] += np.bincount(word - low, minlength=most - low)
-        best = np.full(len(at) - 1, -np.inf)
-        np.maximum.at(best, doc, total / np.maximum(size, 1))
-        best[np.isinf(best)] = 0.0  # no words
-        return 1 / (1 + np.exp(-np.clip(self.line[0] * best + self.line[1], -30, 30)))
-
-
-def _logistic_line(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Slope and intercept of y on x, by Newton's method."""
-    a, b = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (p - y) + ridge * b)
-        b = b - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return b
+        return _sigmoid(_pooled(total / np.maximum(size, 1), doc, len(at) - 1)[0] + self.bias)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text; others are ignored).
 
-    Learns ``labels.toxic`` from at most ``most`` rows; see ``training_rows``. A null text is empty and scored as such. Without labels
-    of both kinds every score is the share of label 1 (a half without any).
+    Learns ``labels.toxic`` from at most ``most`` rows; see ``training_rows``. A null text is empty and scored as such; a text without words
+    gets what the intercept says. Without labels of both kinds, or without words, every score is the share of label 1 (a half without any).
     """
     return scored(docs, ToxicityModel(*training_rows(docs, labels, "toxic", most)), threshold)
