@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces kept by a Python worker for each tokenizer (about 30 MB), and the longest of them.
-KEPT, SHORT = 160_000, 64
-_TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: Pieces kept by a Python worker for each tokenizer (under 100 MB), and the longest of them.
+KEPT, SHORT = 480_000, 64
+#: ASCII signs other than the apostrophe.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _GAP = re.compile(r"(?<=\S)(?= \S)")
 #: White space other than the single space and the line feed.
 _ODD = re.compile(r"[^\S \n]")
@@ -33,36 +35,45 @@ _SIGNS = _byte_signs()
 
 
 class PieceIds(dict):
-    """Piece of a text -> its ids as packed little-endian integers. ``before``: what precedes every piece."""
+    """Piece of a text -> its ids as packed integers. ``before``: what precedes every piece; ``share``: pieces of a generation."""
 
-    def __init__(self, tokenizer, kind: str, dtype, before: str = ""):
+    def __init__(self, tokenizer, kind: str, dtype, share: int, before: str = ""):
         super().__init__()
-        self.tokenizer, self.kind, self.dtype, self.before = tokenizer, kind, dtype, before
-        self.share = self.room = KEPT // 2
+        self.tokenizer, self.model, self.kind, self.before = tokenizer, tokenizer.model, kind, before
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.share = self.room = share
+        self.old: dict[str, bytes] = {}
 
     def encode(self, piece: str) -> bytes:
-        if self.kind != "whole" and _LETTERS.fullmatch(piece):  # one piece for the model, too
-            word = (self.before + piece if self.kind == "space first" else piece.lower()).encode()
-            ids = [t.id for t in self.tokenizer.model.tokenize("".join(map(_SIGNS.__getitem__, word)))]
-        else:
-            ids = self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        if self.kind == "whole" or not _LETTERS.fullmatch(piece):
+            return array(self.code, self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
+        word = self.before + piece if self.kind == "space first" else piece.lower()  # one piece for the model, too
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if m := _TAIL.fullmatch(piece):  # a letter, then ASCII signs other than the apostrophe: split there by either pattern
-            ids = self[m[1]] + self.plain[m[2]]
+        if (ids := self.old.get(piece)) is not None:
+            self.keep(piece, ids)
+            return ids
+        if piece.isalpha():
+            ids = self.encode(piece)
+        elif (body := piece.rstrip(_TAIL)) and len(body) < len(piece) and body[-1].isalpha():  # either pattern splits there
+            ids = self[body] + self.plain[piece[len(body) :]]
         elif self.kind == "space first" and 0 < (i := piece.find("\n")) < len(piece) - 1 and not piece[i - 1].isspace() and not piece[i + 1].isspace():
             ids = self[piece[:i]] + self.plain["\n"] + self.plain[piece[i + 1 :]]
         else:
             ids = self.encode(piece)
         if len(piece) <= SHORT:
-            if self.room == 0:  # begin anew rather than keep what came first
-                self.clear()
-                self.room = self.share
-            self.room -= 1
-            self[piece] = ids
+            self.keep(piece, ids)
         return ids
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        if self.room == 0:  # what hasn't been looked up since the last time goes
+            self.old = dict(self)
+            self.clear()
+            self.room = self.share
+        self.room -= 1
+        self[piece] = ids
+
     @property
     def plain(self) -> PieceIds:
         return self
@@ -90,8 +101,10 @@ class TextIds:
             self.kind = "space first"
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and pre["pretokenizers"][0].get("invert"):
             self.kind = "space dropped"
-        self.pieces = PieceIds(tokenizer, self.kind, dtype)
-        self.spaced = SpacedIds(tokenizer, self.kind, dtype, " ")
+        # each keeps two generations of its share
+        first = KEPT // (8 if self.kind == "space first" else 2)
+        self.pieces = PieceIds(tokenizer, self.kind, dtype, first)
+        self.spaced = SpacedIds(tokenizer, self.kind, dtype, KEPT // 2 - first, " ")
         self.spaced.plain = self.pieces
 
     def __call__(self, text: str) -> bytes:
