@@ -1,18 +1,23 @@
 """Approximate nearest neighbours (operator 7) by cross-polytope hashing.
 
-Directions are hashed, so the largest inner product is the nearest vector as long as norms are alike. Rows whose norm is near
-the median are hashed if they are nearly all; the others are kept by ranges of norm, each scored whole, unless its largest norm rules
-it out for a query. So what is hashed is found as often as among vectors of one norm. A hash is a pseudo-rotation (signs and fast Hadamard transforms, three times) followed by
-the nearest signed axis. Each table has a rotation of its own; a query probes in each the axes that it is nearest to, in
-order, and every vector in a probed bucket is a candidate, scored exactly. A query left with fewer rows than wanted is scored
-against all rows.
-
-Equal vectors are one candidate, of which the smallest ids are kept: as many as a result may hold. Buckets are joined as groups
-of one block of vectors and one of queries, so neither a full bucket nor a much probed one lands in one task.
+A hash is a pair of pseudo-rotations (signs and fast Hadamard transforms, three times), each followed by the nearest signed
+axis; a bucket is a pair of axes, and each of ``TABLES`` tables has rotations of its own. A query ranks the buckets of a table by the inner
+product that a vector in them is expected to have with it, probes the best ones, and every vector in a probed bucket is a candidate,
+scored exactly. The share of the buckets that is probed falls with the number of vectors, as ``share`` says.
+
+Directions are hashed, so the largest inner product is the nearest vector as far as norms are alike. Vectors are therefore kept by ranges
+of norm, each with tables of its own, searched from the largest norm on until no vector of the next could be a result.
+
+Vectors and queries are dealt in blocks of bounded size, and every block of queries meets every block of vectors once: a vector is
+sent once for each block of queries, a query once for each block of vectors, and only its best rows of the block come back. Equal
+vectors are one candidate, of which the smallest ids are kept: as many as a result may hold. A query left with fewer rows than
+wanted is scored against all rows.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,144 +26,249 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-TABLES, PROBES, BLOCK = 6, 20, 4096
-#: Norms up to this factor from the median are alike; the share of rows from which on these are hashed; rows of largest norm whose scores bound a query's.
-ALIKE, MOSTLY, LEAD = 1.05, 0.9, 512
+TABLES = 24
+#: Bytes of vectors in a block: of those searched, of queries.
+BLOCK, ASKED = 4 << 20, 2 << 20
+#: The probed share of a table's buckets at ``AT`` vectors, and the power by which it falls above and rises below.
+SHARE, AT, ABOVE, BELOW = 0.011, 2000, 0.33, 0.55
+#: The ratio of norms that are one range.
+RANGE = 1.1
+_CHUNK = 128
+
+
+def share(n: int) -> float:
+    """Of a table's buckets, the share that is probed where ``n`` vectors are hashed: for a recall of over nine tenths of random ones."""
+    return min(1.0, SHARE * (AT / n) ** (ABOVE if n > AT else BELOW))
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of rows whose length is a power of two, orthonormal."""
-    n, d = x.shape
+def hadamard(y: np.ndarray) -> np.ndarray:
+    """The fast Walsh-Hadamard transform of columns whose length is a power of two, orthonormal."""
+    d, n = y.shape
     step = 1
     while step < d:
-        x = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
+        pairs = y.reshape(d // (2 * step), 2, step, n)
+        y = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=y[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=y[:, 1])
         step *= 2
-    return x.reshape(n, d) / np.sqrt(d)
+    return y.reshape(d, n) * np.float32(d**-0.5)
 
 
-def rotated(x: np.ndarray, table: int, seed: int = 5) -> np.ndarray:
-    d = 1 << max(1, (x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), d))
-    y[:, : x.shape[1]] = x
-    rng = np.random.Generator(np.random.PCG64([seed, table]))
-    for _ in range(3):
-        y = hadamard(y * rng.choice((-1.0, 1.0), d))
+@cache
+def signs(d: int, number: int, seed: int = 5) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([seed, number])).choice(np.array([-1, 1], np.float32), (3, d, 1))
+
+
+def width(x: np.ndarray) -> int:
+    return 1 << max(1, (x.shape[1] - 1).bit_length())
+
+
+def rotated(x: np.ndarray, number: int) -> np.ndarray:
+    """The rows of ``x``, as columns, after a pseudo-rotation."""
+    d = width(x)
+    y = np.zeros((d, len(x)), np.float32)
+    y[: x.shape[1]] = x.T
+    for s in signs(d, number):
+        y = hadamard(y * s)
     return y
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """Of each row the signed axes (2 i, or 2 i + 1 if negative) nearest to it, in order."""
-    y = rotated(x, table)
-    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def nearest_axes(x: np.ndarray, number: int) -> np.ndarray:
+    """Of each row the nearest signed axis: 2 i is axis i, 2 i + 1 its negative."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), _CHUNK * 8):
+        y = rotated(x[i : i + _CHUNK * 8], number).T
+        best = np.abs(y).argmax(axis=1)
+        out[i : i + len(y)] = 2 * best + (y[np.arange(len(y)), best] < 0)
+    return out
+
+
+def signed(y: np.ndarray) -> np.ndarray:
+    """The inner product with every signed axis."""
+    return np.stack([y, -y], axis=2).reshape(len(y), -1)
+
+
+@cache
+def rank_pairs(axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ranks that can be among the ``probes`` largest sums of one number of each of two falling lists."""
+    i = np.repeat(np.arange(axes), [min(axes, probes // (k + 1)) for k in range(axes)])
+    j = np.concatenate([np.arange(min(axes, probes // (k + 1))) for k in range(axes)])
+    return i, j
+
+
+def probed(q: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """Of each direction the ``probes`` best buckets of a table."""
+    first, second = (signed(rotated(q, 2 * table + k).T) for k in (0, 1))
+    axes = first.shape[1]
+    if probes >= axes * axes:
+        return np.broadcast_to(np.arange(axes * axes), (len(q), axes * axes))
+    a, b = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
+    i, j = rank_pairs(axes, probes)
+    total = np.take_along_axis(first, a, 1)[:, i] + np.take_along_axis(second, b, 1)[:, j]
+    best = np.argpartition(-total, probes - 1, axis=1)[:, :probes]
+    return np.take_along_axis(a, i[best], 1) * axes + np.take_along_axis(b, j[best], 1)
+
+
+class Index:
+    """The tables of a block's vectors, by ranges of norm from the largest on. counts: how many vectors all blocks have in each range."""
+
+    def __init__(self, v: np.ndarray, span: np.ndarray, counts: dict[int, int], tables: int, whole: bool):
+        self.parts = []
+        top = np.abs(v).max(axis=1, keepdims=True)
+        for s in np.unique(span)[::-1]:
+            rows = np.flatnonzero(span == s)
+            u = v[rows] / top[rows]
+            length = np.linalg.norm(u, axis=1, keepdims=True)
+            with np.errstate(over="ignore"):
+                most = float((top[rows] * length).max())
+            portion = 1.0 if whole else share(counts[int(s)])
+            codes = None
+            if portion < 1:
+                u /= length
+                hashes = [nearest_axes(u, k) for k in range(2 * tables)]
+                axes = 2 * width(v)
+                codes = [hashes[2 * t] * axes + hashes[2 * t + 1] for t in range(tables)]
+            self.parts.append((rows, most, portion, codes))
+
+    def candidates(self, q: np.ndarray, part: int) -> np.ndarray:
+        """A flag for each direction and vector of the range."""
+        rows, _, portion, codes = self.parts[part]
+        out = np.zeros((len(q), len(rows)), bool)
+        if codes is None:
+            out[:] = True
+            return out
+        axes = 2 * width(q)
+        probes = max(1, int(np.ceil(portion * axes * axes)))
+        for t, code in enumerate(codes):
+            open_ = np.zeros((len(q), axes * axes), bool)
+            np.put_along_axis(open_, probed(q, t, probes), True, 1)
+            out |= open_[:, code]
+        return out
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def _exact(d: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with ``q``, their terms added one after another."""
+    out = np.zeros(len(d))
+    for k in range(len(q)):
+        out = out + d[:, k] * q[k]
+    return out
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: of every row with vec_id divisible by ``every`` its ``k`` nearest other rows found.
 
-    vectors: vec_id, embedding (all of one length; others are ignored). Score: the inner product of the given vectors in double
-    precision; ties go to the smaller vec_id. Null ids, and vectors that are null, empty, zero or hold a component that is null or not finite,
-    take no part. A repeated row counts once.
+    vectors: vec_id, embedding (others are ignored). Score: the inner product of the given vectors in double precision; ties go to the
+    smaller vec_id. Null ids, and vectors that are null, empty, zero or hold a component that is null or not finite, take no part. Of rows with
+    the same id one counts (that of the least hash of its vector). Vectors of different lengths have no product: a query
+    meets those of its own length alone. A pair whose sum isn't a number (of components so large that terms overflow) is no result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = cut(rows.withColumn("v", F.expr("transform(v, x -> x + 0D)")).withColumn("name", F.sha2(F.concat_ws(",", F.expr("transform(v, x -> string(x))")), 256)).distinct())
+    rows = rows.withColumn("v", F.expr("transform(v, x -> x + 0D)")).withColumn("name", F.sha2(F.concat_ws(",", F.expr("transform(v, x -> string(x))")), 256))
+    rows = cut(rows.groupBy("vec_id").agg(F.min(F.struct("name", "v")).alias("x")).select("vec_id", "x.name", "x.v"))
     # of equal vectors the k + 1 smallest ids (one may be the query's own): first within a part, then of all
     part = W.partitionBy("name", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     ids = rows.select("name", "vec_id").withColumn("i", F.row_number().over(part)).where(f"i <= {k + 1}")
     ids = ids.withColumn("i", F.row_number().over(W.partitionBy("name").orderBy("vec_id"))).where(f"i <= {k + 1}")
-    groups = cut(ids.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    kinds = rows.join(groups.select("name", F.col("ids")[0].alias("vec_id")), ["name", "vec_id"])
-    kinds = kinds.withColumn("norm", F.sqrt(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")))
-    middle = kinds.agg(F.percentile_approx("norm", 0.5, 10_000)).first()[0]
-    if middle is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    alike = F.col("norm").between(middle / ALIKE, middle * ALIKE)
-    if kinds.agg(F.avg(alike.cast("double"))).first()[0] < MOSTLY:
-        alike = F.lit(False)
-    kinds = cut(kinds.withColumn("span", F.when(~alike, F.floor(F.log2(F.col("norm") / middle)))))
-    spans = np.array([tuple(r) for r in kinds.where("span is not null").groupBy("span").agg(F.max("norm")).collect()], float).reshape(-1, 2)
-    lead = np.array([r.v for r in kinds.orderBy(F.desc("norm")).limit(LEAD).collect()]) if len(spans) else None
-
-    def hashed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            span = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            rest = np.flatnonzero(~np.isnan(span))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rest)), batch.column(1).take(pa.array(rest)), pa.array(span[rest].astype(np.int64) - (1 << 20))], ["id", "v", "bucket"])
-            where = np.flatnonzero(np.isnan(span))
-            if len(where):
-                u = v[where] / np.linalg.norm(v[where], axis=1, keepdims=True)
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where)), pa.array((axes(u, t, 1) + t * 4096 * 4096).ravel(), pa.int64())], ["id", "v", "bucket"])
-
-    def probed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            if len(spans):
-                least = -np.inf  # a query's k + 1 best among the rows of largest norm: no row that scores less is in the result
-                if len(lead) > k:
-                    least = np.partition(v @ lead.T, len(lead) - k - 1, axis=1)[:, len(lead) - k - 1][:, None]
-                    least = least - 1e-9 * np.abs(least)
-                i, j = np.nonzero(norm * spans[:, 1] >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(spans[j, 0].astype(np.int64) - (1 << 20))], ["id", "v", "bucket"])
-            for t in range(tables):
-                a = axes(v / norm, t, probes)
-                i = pa.array(np.repeat(np.arange(len(v)), a.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), pa.array((a + t * 4096 * 4096).ravel(), pa.int64())], ["id", "v", "bucket"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
-    schema = "id long, v array<double>, bucket long"
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    found = cut(_scored(rows, kinds, groups, kinds.select("vec_id", "v", "span").mapInArrow(hashed, schema), asked.mapInArrow(probed, schema), k))
-    few = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    few = cut(asked.join(few, "vec_id", "left_anti"))
+    groups = ids.groupBy("name").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    kinds = rows.join(groups.withColumn("vec_id", F.col("ids")[0]), ["name", "vec_id"]).select("vec_id", "v", "ids")
+    # the logarithm of the norm, of components as large as may be
+    top = F.expr("array_max(transform(v, x -> abs(x)))")
+    size = F.log("top") + 0.5 * F.log(F.expr("aggregate(v, 0D, (a, x) -> a + (x / top) * (x / top))"))
+    kinds = cut(kinds.withColumn("top", top).withColumn("span", F.round(size / float(np.log(RANGE))).cast("int")).drop("top"))
+    # one row for each length of vectors and range of norm, of which doubles have fewer than 15,000
+    counts: dict[int, dict[int, int]] = {}
+    for r in kinds.groupBy(F.size("v").alias("d"), "span").count().collect():
+        counts.setdefault(r.d, {})[r.span] = r["count"]
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = cut(_best(_searched(asked, kinds, counts, k, tables, False), k))
+    if not counts:
+        return found
+    few = cut(asked.join(found.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti"))
     if few.isEmpty():
         return found
-    whole = F.lit(0).cast("long").alias("bucket")
-    again = _scored(rows, kinds, groups, *(x.select(F.col("vec_id").alias("id"), F.col("v").alias("v"), whole) for x in (kinds, few)), k)
-    return found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    again = _best(_searched(few, kinds, counts, k, tables, True), k)
+    return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(again)
 
 
-def _scored(rows: DataFrame, kinds: DataFrame, groups: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best rows of each query among the kinds of vectors that share a bucket with it; data, asked: id, v, bucket."""
-    # blocks of each bucket, on either side; there are as many buckets as tables times signed axes
-    n_data = data.groupBy("bucket").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("nd"))
-    n_asked = asked.groupBy("bucket").agg(F.expr(f"(count(*) - 1) div {BLOCK} + 1").alias("nq"))
-    blocks = F.broadcast(cut(n_data.join(n_asked, "bucket")))
-    data = data.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "nd")).withColumn("j", F.explode(F.expr("sequence(0L, nq - 1)")))
-    asked = asked.join(blocks, "bucket").withColumn("j", F.pmod(F.xxhash64("id"), "nq")).withColumn("i", F.explode(F.expr("sequence(0L, nd - 1)")))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, ["query_id", "kind"])
-        q, d = (np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (left, right))
-        qi, di = left.column("id").to_numpy(), right.column("id").to_numpy()
-        m = min(k + 1, len(di))
-        out_q, out_d = [], []
-        for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ d.T
-            near = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            # all that tie with the last one, too: rounding may order equal scores in any way
-            low = np.take_along_axis(s, near, 1).min(axis=1)
-            x, y = np.nonzero(s >= (low - 1e-9 * np.abs(low) - 1e-300)[:, None])
-            out_q.append(qi[a : a + 256][x])
-            out_d.append(di[y])
-        return pa.Table.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_d))], ["query_id", "kind"])
-
-    pairs = asked.groupBy("bucket", "i", "j").cogroup(data.groupBy("bucket", "i", "j")).applyInArrow(best, "query_id long, kind long")
-    pairs = pairs.distinct()
-    # exact scores, in one fixed order of additions, then the ids of each kind of vector
-    pairs = pairs.join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(kinds.select(F.col("vec_id").alias("kind"), "v", "name"), "kind")
-    pairs = pairs.select("query_id", "name", F.expr("aggregate(zip_with(q, v, (x, y) -> x * y), 0D, (a, x) -> a + x)").alias("score"))
-    pairs = pairs.withColumn("i", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(f"i <= {k + 1}")
-    found = pairs.join(groups, "name").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(rows: DataFrame, v: str, size: int, n: str) -> DataFrame:
+    """(d, n): into how many blocks of ``size`` bytes the vectors of each length go."""
+    return rows.groupBy(F.size(v).alias("d")).agg(F.count("*").alias("k")).select("d", F.expr(f"cast((k * d * 8) div {size} as int) + 1").alias(n))
+
+
+def _searched(asked: DataFrame, kinds: DataFrame, counts: dict[int, dict[int, int]], k: int, tables: int, whole: bool) -> DataFrame:
+    """(query_id, vec_id, score): of each query and block of vectors the ``k`` best rows among the candidates, or among all."""
+    n = cut(_blocks(kinds, "v", BLOCK, "nd").join(_blocks(asked, "q", ASKED, "nq"), "d"))  # a row for each length
+
+    def dealt(rows: DataFrame, name: str, v: str, own: str, other: str, i: str, j: str) -> DataFrame:
+        rows = rows.withColumn("d", F.size(v)).join(n, "d")
+        return rows.withColumn(i, F.pmod(F.xxhash64(name), F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nd", "nq")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            q, d = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, -1) for t, c in ((left, "q"), (right, "v")))
+            names, ids = left.column("query_id").to_pylist(), right.column("ids").to_pylist()
+            index = Index(d, right.column("span").to_numpy(), counts[d.shape[1]], tables, whole)
+            for a in range(0, len(q), _CHUNK):
+                out += _block_best(names[a : a + _CHUNK], q[a : a + _CHUNK], d, ids, index, k)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    left = dealt(asked, "query_id", "q", "nq", "nd", "j", "i").groupBy("d", "i", "j")
+    right = dealt(kinds, "vec_id", "v", "nd", "nq", "i", "j").groupBy("d", "i", "j")
+    return left.cogroup(right).applyInArrow(best, "query_id long, vec_id long, score double")
+
+
+def _block_best(names: list[int], q: np.ndarray, d: np.ndarray, ids: list[list[int]], index: Index, k: int) -> list[tuple]:
+    """(query's id, id, score) of the ``k`` best rows of a block for each query."""
+    top = np.abs(q).max(axis=1, keepdims=True)
+    u = q / top
+    length = np.linalg.norm(u, axis=1, keepdims=True)
+    directions = u / length
+    rows: list[list[np.ndarray]] = [[] for _ in names]
+    scores: list[list[np.ndarray]] = [[] for _ in names]
+    least = np.full(len(names), -np.inf)
+    for part, (members, most, _, _) in enumerate(index.parts):
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = (top * length)[:, 0] * most * (1 + 1e-9)
+        todo = np.flatnonzero(~(bound < least))  # the others have k + 1 rows that no vector of this range can reach
+        if not len(todo):
+            continue
+        flags = index.candidates(directions[todo], part)
+        for x, t in enumerate(todo):
+            near = members[flags[x]]
+            if not len(near):
+                continue
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = d[near] @ q[t]
+                if not np.isfinite(s).all():  # then the order of additions decides
+                    s = _exact(d[near], q[t])
+                    near, s = near[~np.isnan(s)], s[~np.isnan(s)]
+            rows[t].append(near)
+            scores[t].append(s)
+            if part + 1 < len(index.parts):
+                every = np.concatenate(scores[t])
+                if len(every) > k:
+                    rows[t], scores[t] = [np.concatenate(rows[t])], [every]
+                    low = np.partition(every, len(every) - k - 1)[len(every) - k - 1]
+                    least[t] = low - 1e-9 * abs(low) if np.isfinite(low) else -np.inf
+    out = []
+    for t, name in enumerate(names):
+        if not rows[t]:
+            continue
+        near, s = np.concatenate(rows[t]), np.concatenate(scores[t])
+        if len(s) > k + 1:  # all that may be among the k + 1 best once their terms are added in order
+            low = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            near = near[~(s < low - 1e-9 * abs(low) - 1e-300)] if np.isfinite(low) else near
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = _exact(d[near], q[t])
+        got = [(-x, i) for x, r in zip(s.tolist(), near.tolist()) for i in ids[r] if i != name]
+        got.sort()
+        out += [(name, i, -x) for x, i in got[:k]]
+    return out

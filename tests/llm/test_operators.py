@@ -324,6 +324,36 @@ def test_op7_few_candidates(spark):
     _recall(spark, x)
 
 
+def test_op7_odd_vectors(spark):
+    """Other lengths, components near the largest double, a repeated id."""
+    rng = np.random.default_rng(8)
+    wide, flat = rng.normal(size=(60, 5)), rng.normal(size=(25, 3))
+    huge = rng.normal(size=(10, 5)) * 1e307
+    rows = [(i, v.tolist()) for i, v in enumerate([*wide, *huge, *flat])] + [(3, wide[3].tolist()), (7, [9.0] * 5)]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1, 4).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(95)) and all(len(x) == 4 for x in got.values())
+    for i in (75, 80, 90):
+        s = flat @ flat[i - 70]
+        s[i - 70] = -np.inf
+        assert [v for _, v, _ in sorted(got[i])] == [70 + int(j) for j in np.argsort(-s)[:4]]
+    for i in (0, 20):  # the huge ones come first, where their product is positive
+        s = np.concatenate([wide, huge]) @ wide[i]
+        s[[i, 7]] = -np.inf
+        assert [v for _, v, _ in sorted(got[i])] == [int(j) for j in np.argsort(-s)[:4]]
+
+
+def test_op7_candidates_fall():
+    """What is scored of a table of random vectors: less than a quarter, and less of a larger table."""
+    x, shares = _vectors(), []
+    more = np.random.default_rng(1).normal(size=(16000, 64))
+    for v in (x, more / np.linalg.norm(more, axis=1, keepdims=True)):
+        index = neighbours.Index(v, np.zeros(len(v), int), {0: len(v)}, neighbours.TABLES, False)
+        shares.append(index.candidates(v[::20][:128], 0).mean())
+    assert shares[0] < 0.25 and shares[1] < 0.7 * shares[0]
+
+
 def test_op8(docs, rows, none):
     got, e = packing.pack(docs, BYTE).collect(), encoder(BYTE)
     sequences, pieces = defaultdict(list), defaultdict(list)
