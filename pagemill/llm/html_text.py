@@ -1,10 +1,15 @@
 """HTML extraction (operator 1): the main text of a page by a minimum cut over its blocks.
 
-A page becomes a row of blocks, each with what stands about it in the tree. A classifier's log-odds that a block is content
-become its capacity to the source (content) or the sink (boilerplate). Edges that a cut must pay for join blocks that follow one
-another, the stronger the fewer tree steps part them, and blocks with the same parent. Max-flow finds the cheapest
-labelling. Blocks whose own capacity outweighs all their edges keep their side in any cheapest cut: they are fixed and
-folded into their neighbours first, and max-flow runs on what is left.
+A page becomes a row of blocks, each with what stands about it in the tree. A linear classifier's log-odds that a block is content
+become its capacity to the source (content) or the sink (boilerplate). Its features: whether an element above says what it holds by its tag or
+role (navigation, forms, an article), by the words of its class and id, and of the block itself its length against the page's mean, share of links, kind of element and
+whether it ends as a sentence does. Class names are weak evidence: a name that also has words of other kinds counts the less, the more of the
+page's text the element holds. Edges that a cut must pay for join blocks that follow one another, the stronger the fewer tree steps part
+them, and the neighbours among the children of one element. Max-flow (Dinic) finds the cheapest labelling, so a block whose own
+evidence is weak takes the side of those about it. Blocks whose own capacity outweighs all their edges keep their side in any
+cheapest cut: they are fixed and folded into their neighbours first, and max-flow runs on what is left.
+
+The weights are set by hand: pages carry no labels to fit them on.
 """
 
 from __future__ import annotations
@@ -24,13 +29,20 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "template", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "xmp", "svg", "math", "canvas", "object", "audio", "video")}
+#: Elements without text of the page: up to the end tag or else to the page's end.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+#: The same where there is an end tag; without one they are as if they weren't there.
+_DROPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("template", "noscript", "svg", "canvas", "object", "audio", "video", "annotation", "annotation-xml")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd "
+    "template noscript svg canvas object audio video picture".split()
+)
 #: What an opening tag closes, if it is the nearest of its kind below a list, table or part of the page.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _STOPS = set("ul ol dl table body article section main div nav aside header footer form select".split())
-_APART = set("nav footer aside form button select menu dialog fieldset legend dir datalist optgroup option label input".split())
+_APART = set("nav footer aside form button select menu dialog fieldset legend dir datalist optgroup option".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 _BAD = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription "
@@ -38,48 +50,90 @@ _BAD = set(
     "respond disqus discussion widget login search copyright legal disclaimer pagination pager toolbar skip hidden tags byline outbrain taboola".split()
 )
 _GOOD = set("article content post entry story body text main maincontent articlebody".split())
+#: Words that say where something stands or how it is laid out.
+_PLACE = set("area bar block bottom box center col column container fixed group head heading inner item items layout left link links list main module outer page panel right row section site small sticky title top wrap wrapper".split())
 _WORDS = re.compile(r"[a-z]+")
-#: Log-odds of the classifier.
-ODDS = {"apart": -7.0, "bad": -5.0, "good": 3.0, "heading": 1.0, "plain": 0.4, "links": -4.0, "length": 0.6}
-#: Weights of the edges: to the next block, to the next one with the same parent.
-NEXT, SIBLING = 1.0, 0.4
+#: Log-odds: of an element, whose blocks inherit them; of a block.
+APART, ARTICLE, NAMED, NAMED_GOOD = -6.0, 0.8, -4.0, 0.4
+PLAIN, HEADING, LENGTH, SENTENCE, LINKS = 0.5, 0.5, 0.6, 0.3, -5.0
+#: Weights of the edges: to the next block, to the next one with the same parent; the steps that an edge of a part of the page counts for.
+NEXT, SIBLING, PART = 4.0, 0.8, 5
+_PARTS = set("article main section nav aside header footer form dialog".split())
 
 
 class Block:
-    __slots__ = ("depth", "links", "odds", "parent", "path", "text")
+    __slots__ = ("element", "odds", "text", "words")
+
+
+class Page:
+    """Blocks with text, in order; of each element that isn't inline its parent (a smaller number), depth and log-odds."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.depth, self.step = [0], [0], [1]
+        self.known, self.named = [0.0], [False]  # evidence that stands, and whether a name is against it that may be discounted
+        self.odds: list[float] = []
+
+    def element(self, parent: int, step: int, known: float, named: bool) -> int:
+        self.parent.append(parent)
+        self.step.append(step)
+        self.depth.append(self.depth[parent] + 1)
+        self.known.append(known)
+        self.named.append(named)
+        return len(self.parent) - 1
+
+    def weigh(self) -> None:
+        """Sums the evidence down the tree, and adds the elements' to the blocks'."""
+        held = [0] * len(self.parent)
+        for b in self.blocks:
+            held[b.element] += len(b.text)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        total = max(1, held[0])
+        self.odds = [0.0] * len(held)
+        for k in range(1, len(held)):
+            own = self.known[k] + (NAMED * (1 - held[k] / total) if self.named[k] else 0.0)
+            self.odds[k] = max(-8.0, min(4.0, self.odds[self.parent[k]] + own))
+        mean = sum(b.words for b in self.blocks) / max(1, len(self.blocks))
+        for b in self.blocks:
+            b.odds += self.odds[b.element] + LENGTH * max(-3.0, min(2.0, math.log2(b.words / mean)))
 
 
-def _element_odds(tag: str, attributes: str, inside: bool) -> float:
-    odds = 0.0
-    if tag in _APART:
-        odds += ODDS["apart"]
-    elif tag == "header":
-        odds += ODDS["good"] / -6 if inside else ODDS["apart"]
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
+    """Of an element's tag and attributes: the log-odds, and whether its name speaks against it, but not clearly."""
+    odds, doubt, named = 0.0, False, 0
+    if tag in _APART or (tag == "header" and not inside):
+        odds += APART
     elif tag in ("article", "main"):
-        odds += ODDS["good"]
+        odds += ARTICLE
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                found = set(_WORDS.findall(value))
-                if found & _BAD:
-                    odds += ODDS["bad"]
-                elif found & _GOOD:
-                    odds += ODDS["good"] / 2
+                for one in value.split():
+                    found = set(_WORDS.findall(one))
+                    if found & _BAD:
+                        if found <= _BAD | _PLACE:
+                            named = min(named, -1)
+                        else:
+                            doubt = True
+                    elif found & _GOOD:
+                        named = named or 1
             elif (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                odds += ODDS["apart"]
+                odds += APART
             elif name == "role" and value in ("main", "article"):
-                odds += ODDS["good"]
-    return odds
+                odds += ARTICLE
+    if named:
+        odds += NAMED if named < 0 else NAMED_GOOD
+    return odds, doubt and named >= 0
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The page's blocks with text, in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, odds from the root on, number of the element
+def page_of(html: str) -> Page:
+    page = Page()
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, the nearest element that isn't inline
     pieces: list[str] = []
     linked: list[str] = []
-    number = links = heading = 0
+    links = heading = inside = 0
     at = 0
 
     def end_block():
@@ -88,36 +142,35 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
                 b = Block()
-                b.text, b.path = text, [n for t, _, n in stack if t not in _INLINE]
-                b.parent, b.depth = b.path[-1], len(b.path)
-                b.links = min(1.0, len(" ".join(unescape("".join(linked)).split())) / len(text))
-                n = text.count(" ") + 1
-                b.odds = stack[-1][1] + ODDS["links"] * max(0.0, b.links - 0.3) + ODDS["length"] * max(-1.5, min(3.0, math.log2(n / 6)))
-                b.odds += ODDS["heading"] * heading + ODDS["plain"]
-                out.append(b)
+                b.text, b.element = text, stack[-1][1]
+                share = min(1.0, len(" ".join(unescape("".join(linked)).split())) / len(text))
+                b.odds = PLAIN + LINKS * max(0.0, share - 0.3) + HEADING * (heading > 0) + SENTENCE * (text[-1] in _ENDS)
+                b.words = text.count(" ") + 1
+                page.blocks.append(b)
             pieces, linked = [], []
 
     def close(k: int):
-        nonlocal links, heading
+        nonlocal links, heading, inside
         while len(stack) > k:
             tag = stack.pop()[0]
             links -= tag == "a"
-            heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading -= tag in _HEADINGS
+            inside -= tag in ("article", "main")
 
-    skip_to = 0
-    for m in _TOKEN.finditer(html):
-        begin = m.start()
-        if begin < skip_to:
+    for m in _tokens(html):
+        if isinstance(m, int):  # the end of what is left out
+            at = m
             continue
+        begin = m.start()
         if begin > at:
             pieces.append(html[at:begin])
             if links:
                 linked.append(pieces[-1])
         at = m.end()
-        tag = m[2] or m[5]
+        tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
+        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag not in _INLINE:
             end_block()
         elif tag == "br":
@@ -125,16 +178,13 @@ def blocks_of(html: str) -> list[Block]:
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    end_block() if any(t not in _INLINE for t, _, _ in stack[k:]) else None
+                    end_block() if any(t not in _INLINE for t, _ in stack[k:]) else None
                     close(k)
                     break
                 if tag in _INLINE and stack[k][0] in _STOPS:
                     break
             continue
-        if tag in _RAW and not (m[3] or m[6] or "").rstrip().endswith("/"):
-            at = skip_to = _RAW[tag].search(html, at).end()
-            continue
-        if tag in _VOID:
+        if tag in _VOID or tag in _RAW or tag in _DROPPED:
             continue
         if tag not in _INLINE:
             for k in range(len(stack) - 1, 0, -1):
@@ -150,32 +200,57 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[k][0] in _STOPS:
                     break
-        number += 1
-        odds = stack[-1][1]
-        if tag not in ("html", "body"):
-            odds += _element_odds(tag, m[3] or m[6] or "", odds > 0)
-        stack.append((tag, max(-20.0, min(6.0, odds)), number))
+        above = stack[-1][1]
+        if tag not in _INLINE:
+            above = page.element(above, PART if tag in _PARTS else 1, *((0.0, False) if tag in ("html", "body") else _evidence(tag, attributes, inside > 0)))
+        stack.append((tag, above))
         links += tag == "a"
-        heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading += tag in _HEADINGS
+        inside += tag in ("article", "main")
     if at < len(html):
         pieces.append(html[at:])
+        if links:
+            linked.append(pieces[-1])
     end_block()
-    return out
+    page.weigh()
+    return page
 
 
-def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_ENDS = ".!?…:;\"'”’»)"
+
+
+def _tokens(html: str):
+    """The matches of tags and comments; after a tag whose content is left out, the place at which that ends."""
+    skip_to = 0
+    for m in _TOKEN.finditer(html):
+        if m.start() < skip_to:
+            continue
+        yield m
+        tag = (m[2] or m[5] or "").lower()
+        if (tag in _RAW or tag in _DROPPED) and not (m[1] or m[4]) and not (m[3] or m[6] or "").rstrip().endswith("/"):
+            end = (_RAW.get(tag) or _DROPPED[tag]).search(html, m.end())
+            if end:
+                skip_to = end.end()
+                yield skip_to
+
+
+def edges_of(page: Page) -> dict[tuple[int, int], float]:
+    """Weights by pairs of places of blocks; the steps between blocks that follow one another are, in sum, at most twice the elements."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
+    parent, depth = page.parent, page.depth
+    for i, b in enumerate(page.blocks):
         if i:
-            a = blocks[i - 1]
-            common = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                common += 1
-            edges[i - 1, i] = NEXT / (1 + (a.depth - common) + (b.depth - common))
-        above = b.path[-2] if len(b.path) > 1 else 0
+            x, y, steps = page.blocks[i - 1].element, b.element, 0
+            while x != y:
+                deeper = depth[x] - depth[y]
+                if deeper >= 0:
+                    steps, x = steps + page.step[x], parent[x]
+                if deeper <= 0:
+                    steps, y = steps + page.step[y], parent[y]
+            edges[i - 1, i] = NEXT / (1 + steps)
+        above = parent[b.element]
         if above in last:
             key = (last[above], i)
             edges[key] = edges.get(key, 0.0) + SIBLING
@@ -183,6 +258,9 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     return edges
 
 
+_LEAST = 1e-12
+
+
 def min_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """The labels (True: source) that cost least: |odds| for each block against its sign, an edge's weight where its ends differ."""
     n = len(odds)
@@ -210,38 +288,57 @@ def min_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool
 
 
 def _source_side(core: list[int], odds: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Max-flow by shortest augmenting paths; what the source reaches in the residual graph."""
+    """Max-flow by Dinic's phases; what the source reaches in the residual graph."""
     left = {i: dict(near[i]) for i in core}
     source, sink = {i: max(0.0, odds[i]) for i in core}, {i: max(0.0, -odds[i]) for i in core}
     while True:
-        came: dict[int, int | None] = {i: None for i in core if source[i] > 1e-12}
-        queue, end = deque(came), None
+        level = {i: 0 for i in core if source[i] > _LEAST}
+        queue, met = deque(level), False
         while queue:
             i = queue.popleft()
-            if sink[i] > 1e-12:
-                end = i
-                break
+            met = met or sink[i] > _LEAST
             for j, w in left[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
+                if w > _LEAST and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if end is None:
-            return set(came)
-        path = [end]
-        while came[path[-1]] is not None:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min([source[path[0]], sink[end], *(left[a][b] for a, b in zip(path, path[1:]))])
-        source[path[0]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:]):
-            left[a][b] -= flow
-            left[b][a] = left[b].get(a, 0.0) + flow
+        if not met:
+            return set(level)
+        untried = {i: list(left[i]) for i in level}
+        for first in [i for i in level if level[i] == 0]:
+            while source[first] > _LEAST:
+                path = [first]
+                while path and sink[path[-1]] <= _LEAST:  # forward as long as there is a way, else back
+                    i, onward = path[-1], None
+                    while untried[i]:
+                        j = untried[i][-1]
+                        if left[i].get(j, 0.0) > _LEAST and level.get(j, -1) == level[i] + 1:
+                            onward = j
+                            break
+                        untried[i].pop()
+                    if onward is None:
+                        path.pop()
+                        if path:
+                            untried[path[-1]].pop()
+                    else:
+                        path.append(onward)
+                if not path:
+                    break
+                flow = min([source[first], sink[path[-1]], *(left[a][b] for a, b in zip(path, path[1:]))])
+                source[first] -= flow
+                sink[path[-1]] -= flow
+                for a, b in zip(path, path[1:]):
+                    left[a][b] -= flow
+                    left[b][a] = left[b].get(a, 0.0) + flow
+
+
+def labelled_blocks(html: str) -> tuple[list[Block], list[bool]]:
+    """The page's blocks, with their own log-odds, and whether each is content."""
+    page = page_of(html)
+    return page.blocks, min_cut([b.odds for b in page.blocks], edges_of(page))
 
 
 def main_text(html: str) -> str:
-    blocks = blocks_of(html)
-    keep = min_cut([b.odds for b in blocks], edges_of(blocks))
+    blocks, keep = labelled_blocks(html)
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 

@@ -100,8 +100,56 @@ def test_op1_min_cut_is_least():
         assert abs(cost(html_text.min_cut(odds, edges)) - best) < 1e-9
 
 
+def test_op1_content_stays():
+    one = "<p>A paragraph of the article that has a number of words.</p>"
+    text = html_text.main_text(one)
+    for left_open in ("canvas", "svg", "object", "video", "template", "noscript"):
+        assert html_text.main_text(f"<article>{one}<{left_open}>{one}{one}</article>") == "\n".join([text] * 3)
+    assert html_text.main_text(f"<article>{one}<svg><text>drawn</text></svg>{one}<object>no plugin</object></article>") == f"{text}\n{text}"
+    assert html_text.main_text("<p>The value of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is two.</p>") == "The value of x=2 is two."
+    for name in ("related-news", "post-with-comment-count", "with-sidebar"):
+        for tag in ("article", "div"):
+            assert html_text.main_text(f'<{tag} class="{name}">{one}</{tag}>') == text
+    assert html_text.main_text("<p>Yes.</p><p>No.</p>") == "Yes.\nNo."
+
+
+def test_op1_boilerplate_goes():
+    story = "".join(f"<p>{' '.join(_story(i, 40))}.</p>" for i in range(3))
+    whole = html_text.main_text(story)
+    for part in ('<div class="related-posts"><p>Another story that may be of interest to you.</p></div>', '<div class="comment-list"><p>I liked this article very much and read it twice.</p></div>', '<div id="site-footer">All rights reserved by us.</div>',
+                 '<ul class=x><li><a href=/a>Home</a><li><a href=/b>Sports and games</a></ul>', '<div role="banner"><p>The best paper in this town.</p></div>', "<footer><p>Printed on paper.</p></footer>", "<form><p>Your name, please.</p></form>"):
+        assert html_text.main_text(f"{part}<div class=entry>{story}</div>") == whole == html_text.main_text(f"<div class=entry>{story}</div>{part}")
+
+
+def test_op1_page_by_brute_force():
+    """Of whole pages every labelling is tried; and of the given ones the cut changes some labels from what a block's own evidence says."""
+    rng = np.random.default_rng(5)
+    parts = ["<p>Oh.</p>", '<div class="ad">buy it</div>', "<li><a href=x>menu</a>", "<div><div><p>some words more, as a sentence.</p></div></div>", "<article><p>Hm.<p>", "</article>", "<section><h2>Title</h2>"]
+    for _ in range(60):
+        page = html_text.page_of("".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 9))))
+        odds, edges = [b.odds for b in page.blocks], html_text.edges_of(page)
+        keep = html_text.min_cut(odds, edges)
+        cost = lambda x: sum(abs(o) for o, k in zip(odds, x) if (o > 0) != k) + sum(w for (i, j), w in edges.items() if x[i] != x[j])  # noqa: B023, E731
+        assert abs(cost(keep) - min(cost([bool(m >> i & 1) for i in range(len(odds))]) for m in range(1 << len(odds)))) < 1e-9
+    changed = 0
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        blocks, keep = html_text.labelled_blocks(html)
+        changed += sum((b.odds > 0) != k for b, k in zip(blocks, keep))
+    assert changed > 0
+
+
+def test_op1_long_and_deep_pages():
+    assert html_text.main_text("<div>" * 20000 + "<p>a b c" * 20000).count("a b c") == 20000
+    rng = np.random.default_rng(6)
+    parts = ["<p><a href=x>menu</a></p>", "<p>Some words.</p>", '<div class="ad">buy it now</div>', "<div class=x><div><p>more words are here, friends.</p></div></div>"]
+    assert html_text.main_text("".join(parts[k] for k in rng.integers(0, 4, 20000)))
+    assert html_text.main_text("<p>" + "word " * 300_000).count("word") == 300_000
+
+
 def test_op1_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>Just some words in a page without any frame.</p>")], "page_id long, url string, html string").withColumn("text", F.lit(0))
+    pages = pages.unionByName(pages.where("page_id = 2"))
+    assert html_text.extract(pages).count() == 4 and html_text.extract(pages.limit(0)).count() == 0
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
     assert got[1] == ("", 0) and got[None] == ("", 0) and got[2][0].startswith("Just")
 
