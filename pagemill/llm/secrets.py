@@ -12,27 +12,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern that counts where ``group`` has ``least`` characters at least; a new pattern needs a new version."""
+    """A pattern that counts where ``group`` has ``least`` characters at least; a new pattern needs a new version.
+
+    ``needle``: what every match contains; a text without it isn't matched.
+    """
 
     name: str
     pattern: str
     group: int = 0
     least: int = 0
     version: int = 1
+    needle: str = ""
 
 
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, needle="AKIA"),
     Rule("hex", r"[0-9a-f]{16,}"),  # a run counts whole or not at all, so its least length may stand in the pattern
 )
 MORE = (
     # headers, then all up to the END line; where that is missing, the lines of base64
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s{1,4}[A-Za-z0-9-]{1,40}:[^\r\n]{0,200}){0,8}(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{16,}+){0,1000}))", version=3),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s{1,4}[A-Za-z0-9-]{1,40}:[^\r\n]{0,200}){0,8}(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{16,}+){0,1000}))", version=3, needle="-----BEGIN "),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needle="eyJ"),
     Rule("code_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
@@ -42,17 +48,20 @@ _SPANS = "array<struct<start:int,end:int>>"
 
 def spans(text: Column, rule: Rule) -> Column:
     """Begin and end (code points, end exclusive) of the rule's leftmost matches that don't overlap, without failing ones."""
-    pattern = F.lit(rule.pattern)
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
-    measured = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    parts = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"), measured.alias("v")), lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["v"]).alias("v")))
+    # the text is matched twice, for the matches and for what lies between; only lengths are kept of either
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    value = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.length
+    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.struct(F.length(m).alias("size"), value(m).alias("v")))
+    parts = F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), m["size"].alias("size"), m["v"].alias("v")))
+    parts = F.slice(parts, 1, F.size(found))  # there is one gap more
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         begin, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["size"]
         return F.struct(end.alias("at"), F.when(x["v"] >= rule.least, F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, zero, step)["out"]).otherwise(F.array().cast(_SPANS))
+    may = text.contains(rule.needle) & text.rlike(rule.pattern) if rule.needle else text.rlike(rule.pattern)
+    return F.when(may, F.aggregate(parts, zero, step)["out"]).otherwise(F.array().cast(_SPANS))
 
 
 def scan(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -95,6 +104,7 @@ def findings(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> Dat
     number = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.name}:{r.version}", k)])
     found = ledger.select("blob", F.explode("found").alias("f")).select("blob", number[F.concat_ws(":", "f.rule", "f.version")].alias("kind"), F.explode("f.spans").alias("x"))
     found = found.where("kind is not null").groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("x.start", "kind", "x.end"))).alias("__spans"))
+    found = cut(found)  # so that the join below is a stage of its own, in which Spark splits the rows of a text with many copies
     rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     return rows.join(found.withColumnRenamed("blob", "__blob"), "__blob", "left").drop("__blob")
 
