@@ -1,28 +1,28 @@
 """N-gram Jaccard join by T-occurrence search (operator 9): which documents share at least 80 % of their word shingles.
 
-Exact, without a pair for every two members of a group:
+Without a pair for every two members of a group, and losing no link:
 
-1. Every text becomes its set of shingles (48-bit hashes); texts of equal sets are one class, named by a 64-bit hash of the set.
+1. Every text becomes its set of shingles, each a 64-bit hash of its words' 64-bit hashes; two different shingles are taken for one with
+   probability 2**-64, which is all that is not exact here. Texts of equal sets are one class, named by two 64-bit sums over the set; classes
+   whose first sums agree, but not the second, get another name.
 2. Postings (shingle, class) are dealt by ranges of the hash, in packed arrays. A shingle of a single class can't count
-   for any pair and is dropped; of the others, the number of classes goes back to the classes.
+   for any pair and is dropped; of the others, the number of classes goes back to the classes. Shingles of very many classes
+   (``HEAVY``) are known beforehand: they count as the most frequent ones, and no task holds their lists.
 3. Of its n shingles, a class's n - ceil(0.8 n) + 1 rarest (rarest first, ties by hash) must hold one of every partner's. A
    class whose dropped shingles fill that prefix has no partner. The rest of the prefix are the inverted lists to join.
    Lists with the same members are kept once.
 4. In every list one leader, its most typical member, is compared with the members of other components, then components are
    formed anew: a group of copies is settled in a number of comparisons linear in its size. In the first round each class
-   meets one leader only, that of its longest list, which settles most of a group that shares many lists. What lists still hold members
-   of several components after some rounds are searched in full, block by block, for links across components.
-5. Each comparison is a T-occurrence search by DivideSkip: the short inverted lists of a query are merged by a heap, and
-   what reaches T less the number of long lists is looked up in each long list by binary search.
-
-One shingle's list of classes is held by one task, 20 bytes for each class.
+   meets one leader only, that of its longest list, which settles most of a group that shares many lists. In lists that still hold members
+   of several components after some rounds, all members outside the largest component are searched for among all members, in blocks.
+5. Each comparison is a T-occurrence search by DivideSkip: the short inverted lists of a query are merged, and
+   what reaches T less the number of long lists is looked up in each long list by binary search. Ascending lists laid end to end are merged by a
+   stable sort, which merges runs, rather than by a heap of single entries: the same counts, at 30 times the speed in Python.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,13 @@ from .common import cut, mix, release, scan_bytes, shingles, slices
 from .graph import components
 
 PERCENT = 80
-HASH_BITS = 48
-#: Shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
-FLUSH, BLOCK, ROUNDS = 1 << 21, 512, 4
-#: Postings that a heap merges at most, long lists probed at a time.
-HEAP, PROBED = 2048, 64
-_M48 = np.uint64((1 << HASH_BITS) - 1)
+#: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
+PART, FLUSH, BLOCK, ROUNDS = 4 << 20, 1 << 21, 512, 4
+#: Long lists probed at a time.
+PROBED = 64
+#: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
+#: many classes together, at least a ten-thousandth of all rows: so at most 10,000 times as many are heavy as a set has on average.
+HEAVY, HEAVY_SHARE, LOCAL, HEAVY_ROWS = 100_000, 0.05, 32, 10_000
 
 
 def needed(n: int, m, percent: int = PERCENT):
@@ -49,35 +50,54 @@ def needed(n: int, m, percent: int = PERCENT):
 # --- sets -------------------------------------------------------------------------------------------------------------
 
 
-def text_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of each distinct shingle, by row and hash; of each row the size of its set and its class."""
+def text_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row and hash of each distinct shingle, by row and hash; of each row the size of its set, its class and the class's second sum."""
     row, h = shingles(data, at)
-    h &= _M48
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     row, h = row[new], h[new]
     n = np.bincount(row, minlength=len(at) - 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
-    end = np.cumsum(n)
-    name = mix(sums[end] - sums[end - n] + n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return row, h, n, name
+    end, names = np.cumsum(n), []
+    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(mix(h + salt) ^ salt), out=sums[1:])
+        names.append(mix(sums[end] - sums[end - n] + n.astype(np.uint64) * salt))
+    return row, h, n, *names
+
+
+def renamed(name: np.ndarray, second: np.ndarray, others: dict[tuple[int, int], int]) -> np.ndarray:
+    """The classes' names, those in ``others`` (name and second sum to name) replaced."""
+    if others and len(hit := np.flatnonzero(np.isin(name, np.array([k[0] for k in others], np.uint64)))):
+        name = name.copy()
+        for i in hit:
+            name[i] = others.get((int(name[i]), int(second[i])), name[i])
+    return name
 
 
-SIZES = "doc_id long, n_shingles long, class long"
+SIZES = "doc_id long, n_shingles long, class long, second long"
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """``SIZES`` of every row: the size of its set, and the name of its class (null for an empty set)."""
+def set_sizes(docs: DataFrame, local: int = LOCAL, share: float = HEAVY_SHARE) -> DataFrame:
+    """``SIZES`` of every row: the size of its set, the name of its class and the second sum (null for an empty set).
+
+    Rows of size -1 tell of shingles that many classes of a slice have: the hash as class, the number as second.
+    """
 
     def sizes(batches):
         for batch in batches:
             for part, data, at in slices(batch, "text"):
-                _, _, n, name = text_sets(data, at)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(name.view(np.int64), mask=n == 0)], ["doc_id", "n_shingles", "class"])
-
+                row, h, n, name, second = text_sets(data, at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(name.view(np.int64), mask=n == 0), pa.array(second.view(np.int64), mask=n == 0)], names)
+                classes, first, back = np.unique(name, return_index=True, return_inverse=True)
+                common, count = np.unique(h[first[back[row]] == row], return_counts=True)
+                often = count >= max(local, share * len(classes))
+                if often.any():
+                    k = int(often.sum())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(common[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names)
+
+    names = [x.split()[0] for x in SIZES.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sizes, SIZES)
 
 
@@ -97,21 +117,27 @@ def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=np.zeros(1, x.dtype))
 
 
-def shared_shingles(docs: DataFrame) -> DataFrame:
+_MOST = np.uint32((1 << 32) - 1)
+
+
+def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """(class, n, hashes, prefix, common) of each class that may have a partner.
 
     hashes: those of its shingles that others have; common: of how many classes its shingles are, on average.
+    heavy: ascending hashes of shingles of very many classes; others: classes with other names, see ``renamed``.
     """
+    heavy, others = (np.zeros(0, np.uint64) if heavy is None else heavy), others or {}
     spark = docs.sparkSession
     rows = docs.select(F.col("text").cast("string"))
-    parts = max(2, -(-scan_bytes(rows) // (8 << 20)))
+    parts = max(2, -(-scan_bytes(rows) // PART))
+    step = (1 << 64) // parts
 
     def postings(batches):
         held, total = [], 0
         for batch in batches:
             for _, data, at in slices(batch, "text"):
-                row, h, n, name = text_sets(data, at)
-                held.append((row, h, n, name))
+                row, h, n, name, second = text_sets(data, at)
+                held.append((row, h, n, renamed(name, second, others)))
                 total += len(h)
                 if total > FLUSH or len(held) > 100:
                     yield from dealt(held)
@@ -128,26 +154,46 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         name, first, back = np.unique(name, return_index=True, return_inverse=True)  # equal sets once
         once = first[back[row]] == row
         ref, h, n = back[row][once], h[once], n[first].astype(np.uint32)
+        out = []
+        if len(heavy) and (known := heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h).any():
+            # straight to the classes, through any part
+            for to, *columns in back_to_classes(name[ref[known]], h[known], np.full(known.sum(), _MOST), n[ref[known]]):
+                out.append((int(h[known][0] % np.uint64(parts)), *columns, to))
+            ref, h = ref[~known], h[~known]
         order = np.argsort(h, kind="stable")
         ref, h = ref[order], h[order]
-        edges = np.searchsorted(h, (np.arange(parts + 1, dtype=np.float64) * (2.0**HASH_BITS / parts)).astype(np.uint64))
-        edges[-1] = len(h)
-        out = []
-        for part, (i, j) in enumerate(zip(edges, edges[1:])):
+        edges = np.searchsorted(h, np.array([k * step for k in range(parts)], np.uint64))
+        for part, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)])):
             if i < j:
                 used, ref_ = np.unique(ref[i:j], return_inverse=True)
-                out.append((part, _zip(_deltas(h[i:j])), _zip(ref_.astype(np.uint32)), _zip(name[used]), _zip(n[used])))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["part", "h", "ref", "name", "n"])
+                out.append((part, _zip(_deltas(h[i:j])), _zip(ref_.astype(np.uint32)), _zip(name[used]), _zip(n[used]), None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["part", "h", "ref", "name", "n", "to"])
+
+    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
 
-    def counted(group: pa.Table) -> pa.Table:
+    def back_to_classes(name, h, df, n):
+        """Packed rows of postings, by the part that holds their class: part, name, h, df, n."""
+        to = (name % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((name, to))
+        name, h, df, n, to = name[order], h[order], df[order], n[order], to[order]
+        edges = np.searchsorted(to, np.arange(parts + 1))
+        return [(p, _zip(_deltas(name[i:j])), _zip(h[i:j]), _zip(df[i:j]), _zip(n[i:j])) for p, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
+
+    def counted(batches):
+        """One part: all postings of its range of hashes."""
         h, ref, name, n, at = [], [], [], [], 0
-        for blob in group.to_batches():
-            for a, b, c, d in zip(*(blob.column(k).to_pylist() for k in ("h", "ref", "name", "n")), strict=True):
+        for batch in batches:
+            for a, b, c, d, to in zip(*(batch.column(k).to_pylist() for k in ("h", "ref", "name", "n", "to")), strict=True):
+                if to is not None:  # heavy ones: their columns are in the order of ``back_to_classes``
+                    yield _blobs([(to, a, b, c, d)])
+                    continue
                 h.append(np.cumsum(_unzip(a, np.uint64), dtype=np.uint64))
                 name.append(_unzip(c, np.uint64))
                 n.append(_unzip(d, np.uint32))
                 ref.append(_unzip(b, np.uint32).astype(np.int64) + at)
                 at += len(name[-1])
+        if not h:
+            return
         h, ref, name, n = map(np.concatenate, (h, ref, name, n))
         order = np.argsort(h, kind="stable")
         h, ref = h[order], ref[order]
@@ -163,25 +209,30 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         new[1:] = (h[1:] != h[:-1]) | (name_[1:] != name_[:-1])  # a class that several tasks have met
         h, name_, n_ = h[new], name_[new], n_[new]
         if not len(h):
-            return _blobs([])
+            return
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         group_of = np.cumsum(new) - 1
         df = np.bincount(group_of)[group_of].astype(np.uint32)
         keep = df > 1
         h, name_, n_, df = h[keep], name_[keep], n_[keep], df[keep]
-        to = (name_ % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((name_, to))
-        h, name_, n_, df, to = h[order], name_[order], n_[order], df[order], to[order]
-        edges = np.searchsorted(to, np.arange(parts + 1))
-        return _blobs([(p, _zip(_deltas(name_[i:j])), _zip(h[i:j]), _zip(df[i:j]), _zip(n_[i:j])) for p, (i, j) in enumerate(zip(edges, edges[1:])) if i < j])
+        yield _blobs(back_to_classes(name_, h, df, n_))
 
-    def prefixes(group: pa.Table) -> pa.Table:
-        columns = [group.column(k).to_pylist() for k in ("name", "h", "df", "n")]
+    def prefixes(batches):
+        """One part: all classes whose names fall there, with their postings."""
+        columns = [[] for _ in range(4)]
+        for batch in batches:
+            for k, c in enumerate(("name", "h", "df", "n")):
+                columns[k] += batch.column(c).to_pylist()
+        if not columns[0]:
+            return
         name = np.concatenate([np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in columns[0]])
         h, df, n = (np.concatenate([_unzip(x, k) for x in c]) for c, k in zip(columns[1:], (np.uint64, np.uint32, np.uint32)))
         order = np.lexsort((h, df, name))
         name, h, df, n = name[order], h[order], df[order], n[order].astype(np.int64)
+        again = np.zeros(len(h), bool)
+        again[1:] = (name[1:] == name[:-1]) & (h[1:] == h[:-1])  # heavy ones of a class that several tasks have met
+        name, h, df, n = name[~again], h[~again], df[~again], n[~again]
         begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         end = np.append(begin[1:], len(name))
         n = n[begin]
@@ -190,18 +241,25 @@ def shared_shingles(docs: DataFrame) -> DataFrame:
         out = []
         for i, j, size, k in zip(begin, end, n, length):
             if k > 0:
-                out.append((int(name[i : i + 1].view(np.int64)[0]), int(size), np.sort(h[i:j]).tobytes(), h[i : i + k].astype(np.int64), (float(df[i:j].sum()) + size - (j - i)) / size))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds)], ["class", "n", "hashes", "prefix", "common"])
+                out.append((int(name[i : i + 1].view(np.int64)[0]), int(size), np.sort(h[i:j]).tobytes(), h[i : i + k].view(np.int64), (float(df[i:j].sum()) + size - (j - i)) / size))
+            if len(out) == 4096:
+                yield _classes(out)
+                out = []
+        yield _classes(out)
 
-    blobs = rows.mapInArrow(postings, "part long, h binary, ref binary, name binary, n binary")
-    back = blobs.groupBy("part").applyInArrow(counted, "part long, name binary, h binary, df binary, n binary")
-    return back.groupBy("part").applyInArrow(prefixes, "class long, n long, hashes binary, prefix array<long>, common double")
+    blobs = rows.mapInArrow(postings, "part long, h binary, ref binary, name binary, n binary, to long")
+    back = blobs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(counted, "part long, name binary, h binary, df binary, n binary")
+    return back.repartitionById(parts, F.col("part").cast("int")).mapInArrow(prefixes, "class long, n long, hashes binary, prefix array<long>, common double")
 
 
-def _blobs(out: list[tuple]) -> pa.Table:
+def _blobs(out: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] + [pa.binary()] * 4
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds)], ["part", "name", "h", "df", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds)], ["part", "name", "h", "df", "n"])
+
+
+def _classes(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds)], ["class", "n", "hashes", "prefix", "common"])
 
 
 # --- T-occurrence search ----------------------------------------------------------------------------------------------
@@ -235,15 +293,11 @@ class Lists:
         lists = lists[np.argsort(length, kind="stable")]
         n_long = min(t - 1, int(t / (mu * math.log2(int(length.max()) + 1) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        total = int((self.end[short] - self.begin[short]).sum())
         need = needed(n, self.sizes)
-        if total <= HEAP:
-            merged = heapq.merge(*(self.who[self.begin[x] : self.end[x]].tolist() for x in short))
-            who, count = np.array([(w, sum(1 for _ in times)) for w, times in groupby(merged)], np.int64).reshape(-1, 2).T
-        else:  # so many that counting places is the faster merge
-            counts = np.bincount(np.concatenate([self.who[self.begin[x] : self.end[x]] for x in short]), minlength=len(self.sizes))
-            who = np.flatnonzero(counts)
-            count = counts[who]
+        # the short lists, each ascending, merged to one
+        merged = np.sort(np.concatenate([self.who[self.begin[x] : self.end[x]] for x in short]), kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        who, count = merged[first], np.diff(np.append(first, len(merged)))
         alive = count >= t - n_long
         who, count = who[alive], count[alive]
         for i in range(0, n_long, PROBED):  # of each long list, only the candidates are looked up
@@ -258,16 +312,18 @@ class Lists:
 
 
 def _compared(group: pa.Table) -> pa.Table:
-    """Rows (class, n, hashes, root, side) of one block: the pairs (a, b) that link across roots and sides (side 2 is both)."""
+    """Rows (class, n, hashes, root, side) of one block: the pairs (a, b) that link a member of side 0 with one of side 1 of another root."""
     cls, n, root, side = (group.column(k).to_numpy() for k in ("class", "n", "root", "side"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-    # a pair across roots has an end outside the most common root, so the others are all the queries there need be
-    names, count = np.unique(root, return_counts=True)
-    queries = np.flatnonzero(side == 0) if (side == 0).sum() == 1 else np.flatnonzero(root != names[np.argmax(count)])
-    lists, pairs = Lists(sets, n.tolist()), [np.zeros((0, 2), np.int64)]
+    queries, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(queries) > len(others):  # the fewer are the queries: linked are both or none
+        queries, others = others, queries
+    if not len(queries):
+        return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+    lists, pairs = Lists([sets[i] for i in others], n[others].tolist()), [np.zeros((0, 2), np.int64)]
     for q in queries:
-        found = lists.search(sets[q], int(n[q]))
-        found = found[(root[found] != root[q]) & ((side[found] != side[q]) | (side[found] == 2))]
+        found = others[lists.search(sets[q], int(n[q]))]
+        found = found[root[found] != root[q]]
         pairs.append(np.column_stack([np.full(len(found), cls[q]), cls[found]]))
     pairs = np.concatenate(pairs)
     return pa.Table.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["a", "b"])
@@ -286,8 +342,10 @@ def class_links(classes: DataFrame) -> DataFrame:
         open_ = _open(members, roots)
         # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
         size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
-        main = size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members"))
+        # written, so that each join below is a stage of its own, in which Spark splits the members of a long list
+        main = cut(size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members")))
         lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"), F.max("members").alias("members"))
+        lead = cut(lead)
         pairs = open_.join(lead, "list").where("root <> q.root").where(f"100 * least(n, q.n) >= {PERCENT} * greatest(n, q.n)")
         pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb"), "members", "q.common")
         if turn:
@@ -309,19 +367,21 @@ def class_links(classes: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         roots = cut(components(links))
         release(classes.sparkSession)
-    # what is still open is searched whole; partners are at most one size class of a quarter apart
+    # what is still open is searched whole: all outside the largest component among all; partners are at most one size class of a quarter apart
     open_ = _open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int"))
-    k = open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("k"))
-    near = k.select("list", F.col("c").alias("d"), F.col("k").alias("kd"))
-    rows = open_.join(k, ["list", "c"]).withColumn("s", F.expr("cast(pmod(xxhash64(class), k) as int)"))
-    both = rows.join(near, "list").where("abs(c - d) <= 1").withColumn("t", F.explode(F.expr("sequence(0, kd - 1)")))
-    own = (F.col("c") == F.col("d")) & (F.col("s") == F.col("t"))
-    first = F.when(F.struct("c", "s") <= F.struct("d", "t"), True).otherwise(False)
-    both = both.withColumn("side", F.when(own, 2).when(first, 0).otherwise(1))
-    block = F.when(first, F.concat_ws(":", "list", "c", "s", "d", "t")).otherwise(F.concat_ws(":", "list", "d", "t", "c", "s"))
-    both = cut(both.select(block.alias("q"), "class", "root", "side"))
-    if both.isEmpty():
+    size = open_.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
+    open_ = cut(open_.join(cut(size), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")))
+    if open_.isEmpty():
         return roots
+    apart = F.expr(f"cast((count_if(not in_main) - 1) div {BLOCK} + 1 as int)").alias("ks")
+    k = cut(open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("kt"), apart, F.count_if(~F.col("in_main")).alias("outside")))
+    near = k.select("list", F.col("c").alias("d"), F.col("kt").alias("kd"))
+    asked = open_.where("not in_main").join(k, ["list", "c"]).withColumn("s", F.expr("cast(pmod(xxhash64(class), ks) as int)")).join(near, "list").where("abs(c - d) <= 1")
+    asked = asked.withColumn("t", F.explode(F.expr("sequence(0, kd - 1)"))).select("list", "c", "s", "d", "t", "class", "root", F.lit(0).alias("side"))
+    near = k.where("outside > 0").select("list", F.col("c").alias("e"), F.col("ks").alias("ke"))
+    others = open_.join(k, ["list", "c"]).withColumn("t", F.expr("cast(pmod(xxhash64(class), kt) as int)")).join(near, "list").where("abs(c - e) <= 1")
+    others = others.withColumn("s", F.explode(F.expr("sequence(0, ke - 1)"))).select("list", F.col("e").alias("c"), "s", F.col("c").alias("d"), "t", "class", "root", F.lit(1).alias("side"))
+    both = asked.unionByName(others).select(F.concat_ws(":", "list", "c", "s", "d", "t").alias("q"), "class", "root", "side")
     found = both.join(sets, "class").groupBy("q").applyInArrow(_compared, "a long, b long")
     return components(found if links is None else links.unionByName(found))
 
@@ -333,15 +393,34 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(several, "list")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """``rows`` with other classes for sets that share a name, and those: (name, second sum) to name.
+
+    Of n classes about n**2 / 2**65 share a name, which are all that comes to the driver.
+    """
+    same = rows.where("class is not null").groupBy("class").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x < y").select("class", "x")
+    pairs = rows.join(same, "class").where("second > x").select("class", "second").distinct().collect()
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    others = {(unsigned(r["class"]), unsigned(r.second)): int(mix(mix(np.array([r["class"]], np.int64).view(np.uint64)) ^ np.array([r.second], np.int64).view(np.uint64))[0]) for r in pairs}
+    if others:
+        table = rows.sparkSession.createDataFrame([(r["class"], r.second, (v := others[unsigned(r["class"]), unsigned(r.second)]) - ((v >> 63) << 64)) for r in pairs], "class long, second long, other long")
+        rows = rows.join(table, ["class", "second"], "left").withColumn("class", F.coalesce("other", "class"))
+    return rows.select("doc_id", "n_shingles", "class"), others
+
+
+def jaccard_components(docs: DataFrame, heavy: int = HEAVY, local: int = LOCAL) -> DataFrame:
     """Of every row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id.
 
     component_id: the smallest doc_id that can be reached by links, its own included. A null or wordless text has an empty
     set and no links, so its component is itself; a null doc_id takes part and is never the smallest, unless alone (then null).
     Equal rows stay, each with the same result.
     """
-    rows = cut(set_sizes(docs))
-    roots = class_links(cut(shared_shingles(docs)))
+    rows = cut(set_sizes(docs, local))
+    told, rows = rows.where("n_shingles < 0"), rows.where("n_shingles >= 0")
+    many = told.groupBy("class").agg(F.sum("second").alias("k")).where(F.col("k") >= max(heavy, rows.count() // HEAVY_ROWS))
+    many = np.array([r["class"] for r in many.collect()], np.int64).view(np.uint64)
+    rows, others = _told_apart(rows)
+    roots = class_links(cut(shared_shingles(docs, np.sort(many), others)))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -451,6 +451,31 @@ def test_op9(docs, rows, none, rounds, monkeypatch):
         assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_op9_heavy_shingles(docs, rows):
+    """The same links where no list of a shingle that several documents have is held."""
+    want = components({r[0]: r[1] for r in rows if r[0] is not None})
+    got = jaccard.jaccard_components(docs, heavy=3, local=2).collect()
+    assert len(got) == len(rows) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
+def test_op9_words_that_a_polynomial_takes_for_one(spark):
+    swap = str.maketrans("ab", "ba")
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate(swap)
+    texts = [x[:2048], x[2048:], x[:2048].upper(), f"one {x[:2048]} two three four five", f"one {x[2048:]} two three four five"]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 2, 3), (4, 2, 4)]
+
+
+def test_op9_sets_that_share_a_name(spark):
+    rows, others = jaccard._told_apart(spark.createDataFrame([(1, 5, 7, 1), (2, 5, 7, 2), (3, 5, 8, 3), (4, 5, 7, 1), (5, 0, None, None)], "doc_id long, n_shingles long, class long, second long"))
+    got = {r.doc_id: r["class"] for r in rows.collect()}
+    assert got[1] == got[4] == 7 and got[3] == 8 and got[5] is None and got[2] not in (7, 8, None)
+    new = jaccard.renamed(np.array([7, 7, 8], np.uint64), np.array([1, 2, 2], np.uint64), others).view(np.int64)
+    assert new.tolist() == [7, got[2], 8]
+
+
 def test_op9_search():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 40, 400, dtype=np.uint64)
