@@ -9,9 +9,8 @@ goes to sequences whose lengths are powers of two and need no padding.
 
 from __future__ import annotations
 
-import zlib
+from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,6 +22,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _KIND = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 #: Sequence ids of a task begin at its partition's number times this.
 SEQUENCES = 1 << 36
+WIDTH = 4
 
 
 def lengths(n: int, capacity: int, slack: float) -> list[int]:
@@ -40,32 +40,43 @@ def lengths(n: int, capacity: int, slack: float) -> list[int]:
 
 
 class Packer:
+    """Takes documents as packed ids of ``WIDTH`` bytes each."""
+
     def __init__(self, first_sequence: int, capacity: int, slack: float):
         self.next, self.capacity, self.slack = first_sequence, capacity, slack
         self.open: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
+        self.cuts: dict[int, list[int]] = {}  # the pieces of what is left of a document after whole sequences, by its length
 
     def close(self, pieces: list[tuple]) -> None:
         offset = 0
         for doc_id, start, ids, n in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, self.next, offset))
-            offset += len(ids)
+            length = len(ids) // WIDTH
+            self.rows.append((doc_id, start, length, crc32(ids), n, self.next, offset))
+            offset += length
         self.next += 1
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        start, n = 0, len(ids)
-        for x in lengths(n, self.capacity, self.slack):
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        start, n = 0, len(ids) // WIDTH
+        rest = n % self.capacity
+        if rest not in self.cuts:
+            self.cuts[rest] = lengths(rest, self.capacity, self.slack)
+        for x in [self.capacity] * (n // self.capacity) + self.cuts[rest]:
+            piece = (doc_id, start, ids[start * WIDTH : (start + x) * WIDTH], n)
+            start += x
             j = self.capacity // x
+            if j == 1:
+                self.close([piece])
+                continue
             bin_ = self.open.setdefault(j, [])
-            bin_.append((doc_id, start, ids[start : start + x].copy(), n))
-            start += x
+            bin_.append(piece)
             if len(bin_) == j:
                 self.close(self.open.pop(j))
 
     def finish(self) -> None:
         left = [p for j in sorted(self.open) for p in self.open[j]]
         self.open = {}
-        total = sum(len(p[2]) for p in left)
+        total = sum(len(p[2]) for p in left) // WIDTH
         sizes = [self.capacity] * (total // self.capacity)
         sizes += [1 << k for k in reversed(range(self.capacity.bit_length())) if (total % self.capacity) >> k & 1]
         i = at = 0
@@ -73,10 +84,11 @@ class Packer:
             pieces = []
             while size:
                 doc_id, start, ids, n = left[i]
-                part = ids[at : at + size]
+                part = ids[at * WIDTH : (at + size) * WIDTH]
                 pieces.append((doc_id, start + at, part, n))
-                size, at = size - len(part), at + len(part)
-                if at == len(ids):
+                taken = len(part) // WIDTH
+                size, at = size - taken, at + taken
+                if at * WIDTH == len(ids):
                     i, at = i + 1, 0
             self.close(pieces)
 
@@ -90,11 +102,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024,
 
     def packed(batches):
         encode = encoder(tokenizer, "<u4")
-        end = np.array([end_id], "<u4").tobytes()
+        end = end_id.to_bytes(WIDTH, "little")
         packer = Packer(TaskContext.get().partitionId() * SEQUENCES, capacity, slack)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
+                packer.add(doc_id, encode(text.as_py() or "") + end)
                 if len(packer.rows) > 5000:
                     yield _rows(packer)
         packer.finish()
