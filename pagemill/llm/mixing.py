@@ -1,10 +1,12 @@
 """Mixing sources to target weights (operator 3) by entropy balancing, with DataFrame operations alone.
 
-Of all mixes whose source totals equal the targets and which take no document more than ``cap`` times, the wanted one is
-closest in (bounded) relative entropy to the corpus, token by token. Its dual is convex: a multiplier m for each source,
-by which a document of base rate q is tilted to ``cap q e^m / (cap - q + q e^m)``. Newton's method solves it: each iteration sums
-the gradient (tokens now taken less the target) and the curvature over the documents' cells of (source, base rate) and moves all
-multipliers at once. Rates are then rounded to whole copies: along each source's documents, largest first, the sum of copies
+Of all document rates that make each source's words meet its target and that take no document more than ``cap`` times, the wanted ones are
+closest in (bounded) relative entropy to the corpus, document by document. Its dual is convex, with a multiplier m for each source's constraint on
+words: a document of base rate q whose size is x times its source's mean is tilted to ``cap q e^(m x) / (cap - q + q e^(m x))``, so the words that a
+source has too few or too many of come from its long documents first, and short ones stay near their base rate. Newton's method solves it: each
+iteration sums the gradient (words now taken less the target) and the curvature over the cells of documents of one source, size and base rate, and moves all
+multipliers at once; a step that would leave the interval known to hold a multiplier halves that instead, so it always converges. Sums are
+of integers, so reruns agree. Rates are then rounded to whole copies: along each source's documents, largest first, the sum of copies
 follows the sum of rates to half a copy. Where a long document holds much of a source that is off by up to half of its words; all other
 free documents of the source settle what is over or missing, so that the words are off by less than the smallest free document has.
 """
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Documents whose copies are numbered in one window.
-BLOCK = 20_000
+#: Documents to each part of a table whose copies are numbered by themselves in each source and size class; parts at most.
+BLOCK, PARTS = 1000, 100_000
+#: Of a rate, the unit in which rates are summed.
+UNIT = 1 << 24
 #: Rounds of the correction that spread the residue evenly, and how much smaller than it a document is that takes part.
 SPREAD, FINE = 2, 16
-#: Parts of a source's size class while its documents are counted.
-SALTS = 256
-TOLERANCE, ITERATIONS = 1e-9, 60
+#: How near the words come to the target (as a share) before copies are rounded.
+TOLERANCE, ITERATIONS = 1e-6, 200
 
 
 def _key() -> Column:
@@ -55,50 +58,63 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CA
 
 
 def balanced(rows: DataFrame, goals: DataFrame, cap: float = CAP, base: Column | None = None) -> DataFrame:
-    """(key, m) of every source: the multipliers that make the tilted rates meet ``goals`` (a null m: the rate is ``cap``)."""
-    cells = cut(rows.withColumn("q", (F.lit(1.0) if base is None else base).cast("double")).groupBy("key", "q").agg(F.sum("size").alias("words")))
+    """(key, m, mean) of every source: the multiplier that makes the tilted rates meet ``goals`` (a null m: the rate is ``cap``), the mean size."""
+    cells = cut(rows.where("size > 0").withColumn("q", (F.lit(1.0) if base is None else base).cast("double")).groupBy("key", "size", "q").agg(F.count("*").alias("n")))
+    means = cells.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
-    dual = cut(goals.select("key", "target", F.when(~full, 0.0).alias("m")))
+    start = goals.join(means, "key", "left").select("key", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.when(~full, 0.0).alias("m"))
+    done = start.where("m is null").select("key", "m", "mean")
+    dual = cut(start.where("m is not null").select("*", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
+    words = (F.col("size") * F.col("n")).cast("decimal(20,0)")
     for _ in range(ITERATIONS):
-        rate = tilted(F.col("q"), F.col("m"), cap)
-        sums = cells.join(dual, "key").groupBy("key", "target", "m").agg(F.sum(F.col("words") * rate).alias("now"), F.sum(F.col("words") * rate * (1 - rate / cap)).alias("slope"))
+        x = F.col("size") / F.col("mean")
+        rate = tilted(F.col("q"), F.col("m") * x, cap)
+        now = F.sum(words * F.round(rate * UNIT).cast("decimal(18,0)")).cast("double") / UNIT
+        slope = F.sum(words * F.round(x * rate * (1 - rate / cap) * UNIT).cast("decimal(18,0)")).cast("double") / UNIT
+        sums = cells.join(dual, "key").groupBy("key", "target", "mean", "m", "low", "high").agg(now.alias("now"), slope.alias("slope"))
         gap = F.col("now") - F.col("target")
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))  # far from the solution the curve is steeper than its tangent
-        dual = cut(sums.select("key", "target", (F.col("m") - step).alias("m"), (F.abs(gap) / F.col("target")).alias("gap")))
-        worst = dual.agg(F.max("gap")).first()[0]
-        if worst is None or worst < TOLERANCE:
-            break
-    return dual.select("key", "m")
+        sums = sums.withColumn("gap", gap).withColumn("low", F.when(gap < 0, F.col("m")).otherwise(F.col("low"))).withColumn("high", F.when(gap < 0, F.col("high")).otherwise(F.col("m")))
+        step = F.when(F.col("slope") > 0, F.col("m") - F.col("gap") / F.col("slope"))
+        inside = (step > F.col("low")) & (step < F.col("high"))
+        wide = F.when(F.col("high") == float("inf"), 2 * F.abs("m") + 1).when(F.col("low") == float("-inf"), -2 * F.abs("m") - 1).otherwise((F.col("low") + F.col("high")) / 2)
+        far = F.abs(F.col("gap")) > TOLERANCE * F.col("target")
+        dual = cut(sums.select("key", "target", "mean", F.when(~far, F.col("m")).when(inside, step).otherwise(wide).alias("m"), "low", "high", far.alias("far")))
+        if not dual.where("far").limit(1).count():
+            return done.unionByName(dual.select("key", "m", "mean"))
+        dual = dual.drop("far")
+    raise RuntimeError(f"the multipliers of the mix haven't converged in {ITERATIONS} iterations")
 
 
-def tilted(q: Column, m: Column, cap: float) -> Column:
-    return F.lit(float(cap)) * q / (q + (F.lit(float(cap)) - q) * F.exp(-m))
+def tilted(q: Column, tilt: Column, cap: float) -> Column:
+    return F.lit(float(cap)) * q / (q + (F.lit(float(cap)) - q) * F.exp(-tilt))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, h, size, source_size, target, copies) of every row of ``docs`` (doc_id, text, source; others are ignored).
 
     A null text has no words; a null source is a source; rows of equal id and text are rows of their own, and which of them
-    gets a further copy doesn't show. A document without words is taken as often as its source's rate says, no words
-    each time. An empty table gives none.
+    gets a further copy doesn't show. A document without words is taken as often as its base rate says, no words
+    each time, or never where its source's target is 0. An empty table gives none.
     """
     rows = cut(sizes(docs))
     goals = cut(targets(rows, weights, cap))
     dual = balanced(rows, goals, cap)
-    rate = F.when(F.col("target") <= 0, 0.0).when(F.col("m").isNull(), float(cap)).otherwise(tilted(F.lit(1.0), F.col("m"), cap))
-    rates = goals.join(dual, "key").select("key", "source_size", "target", rate.alias("rate"))
-    # blocks: sources by falling size class, each cut by hash into parts of about BLOCK documents
-    rows = rows.withColumn("k", F.floor(F.log2(F.col("size") + 1.0)).cast("int")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    counted = rows.groupBy("key", "k", "salt").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(W.partitionBy("key", "k")))
-    rows = rows.join(counted, ["key", "k", "salt"]).withColumn("s", F.pmod("h", F.expr(f"(n - 1) div {BLOCK} + 1")).cast("int"))
-    blocks = rows.groupBy("key", "k", "s").agg(F.count("*").alias("n"))
+    rates = cut(goals.join(dual, "key").select("key", "source_size", "target", "m", "mean"))
+    # blocks: sources by falling size class, each cut by hash into the same number of parts
+    parts = min(PARTS, rows.count() // BLOCK + 1)
+    rows = rows.withColumn("k", F.floor(F.log2(F.col("size") + 1.0)).cast("int")).withColumn("s", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+    # documents of a block and a size have one rate: its sums need the sizes alone
+    rate = F.when(F.col("target") <= 0, 0.0).when(F.col("m").isNull(), float(cap)).otherwise(tilted(F.lit(1.0), F.col("m") * F.col("size") / F.col("mean"), cap))
+    unit = F.round(rate * UNIT).cast("long")
+    cells = rows.groupBy("key", "k", "s", "size").agg(F.count("*").alias("n")).join(rates, "key")
+    blocks = cells.groupBy("key", "k", "s", "source_size", "target", "m", "mean").agg(F.sum(F.col("n") * unit).alias("units"))
     ahead = W.partitionBy("key").orderBy(F.desc("k"), "s").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("key", "k", "s", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead")).join(rates, "key")
+    blocks = cut(blocks.withColumn("ahead", F.coalesce(F.sum("units").over(ahead), F.lit(0))).drop("units"))
     within = W.partitionBy("key", "k", "s").orderBy(F.desc("size"), "h")
-    rows = rows.drop("n").withColumn("i", F.row_number().over(within)).join(blocks, ["key", "k", "s"])
-    place = F.col("ahead") + F.col("i")
-    whole = F.floor(F.col("rate") * place + 0.5) - F.floor(F.col("rate") * (place - 1) + 0.5)
-    rows = cut(rows.select("doc_id", "h", "key", "k", "s", "i", "size", "source_size", "target", F.least(whole, F.lit(cap)).cast("long").alias("copies")))
+    rows = rows.join(blocks, ["key", "k", "s"]).withColumn("unit", unit).withColumn("i", F.row_number().over(within))
+    upto = F.col("ahead") + F.sum("unit").over(within.rowsBetween(W.unboundedPreceding, 0))
+    whole = F.expr(f"(upto + {UNIT // 2}) div {UNIT} - (upto - unit + {UNIT // 2}) div {UNIT}")
+    rows = cut(rows.withColumn("upto", upto).select("doc_id", "h", "key", "k", "s", "i", "size", "source_size", "target", F.least(whole, F.lit(cap)).cast("long").alias("copies")))
     return settled(rows, cap).select("doc_id", "h", "size", "source_size", "target", "copies")
 
 
@@ -148,9 +164,10 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``copies`` says."""
-    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    plan = copies(docs).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("copies")).alias("copies"))  # more than one of equal rows alone
     names = docs.columns
-    rows = docs.withColumn("__h", h).withColumn("__i", F.row_number().over(W.partitionBy("doc_id", "__h").orderBy("__h")))
-    taken = rows.join(plan.toDF("__id", "__g", "__copies"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")))
-    return taken.withColumn("__n", F.explode(F.expr("sequence(1, element_at(__copies, __i))"))).where("element_at(__copies, __i) > 0 and __n > 0").select(*names)
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    plan = copies(docs).withColumn("__i", F.row_number().over(W.partitionBy("doc_id", "h").orderBy(F.desc("copies"))))  # above 1 for equal rows alone
+    plan = cut(plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"), "__i", F.col("copies").alias("__copies")))
+    rows = docs.withColumn("__h", h).withColumn("__j", F.row_number().over(W.partitionBy("doc_id", "__h").orderBy("__h")))
+    taken = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")) & (F.col("__j") == F.col("__i")))
+    return taken.withColumn("__n", F.explode(F.expr("sequence(1, cast(__copies as int))"))).select(*names)
