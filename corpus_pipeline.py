@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import jaccard, labelled, mixing, packing, quality, secrets
-from pagemill.llm.common import shared_dir, table
+from pagemill.llm.common import cut, shared_dir, table
 from pagemill.llm.encoding import tokenizer_path
 from pagemill.llm.queries import BYTE_TOKENIZER
 
@@ -18,14 +18,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; a row that repeats whole stays once.
+    """Of each group of linked documents the one with the smallest id; rows that are equal in every column stay once.
 
-    Rows that share an id stay or go together. A null id is in no other's group and stays, if its group has no id.
+    Rows that share an id stay or go together: those that differ in any column all stay. A null id is in no other's group and stays, if its
+    group has no id.
     """
-    names = docs.columns
     first = jaccard.jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).select(*names)
+    rows = docs.join(cut(first), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # equal rows have equal ids, so only rows of a repeated id are looked at as a whole
+    names = [f"`{n}`" for n in docs.columns]
+    marked = rows.select("*", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256).alias("__h"))
+    return marked.dropDuplicates(["doc_id", "__h"]).select(*names)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ STAGES = [
     ("source mixing", mixed_sources),
     ("packing", packed_sequences),
 ]
-#: None: neither a trained network nor a tokenizer can be said in SQL; tests hold each stage against brute force.
+#: None: neither a trained network nor a tokenizer can be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
