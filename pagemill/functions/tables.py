@@ -70,8 +70,3 @@ def image_class(area, mean, contrast, alpha) -> Column:
     """Background, near-blank or content image (fixed thresholds)."""
     a, m, c, t = (F.col(x) if isinstance(x, str) else x for x in (area, mean, contrast, alpha))
     return F.when((a >= 0.85) & (m >= 215) & (c <= 35), "background_image").when((m >= 245) & (c <= 8) & (t >= 250), "near_blank_image").otherwise("content_image")
-
-
-def cells(rows: str = "rows") -> list[Column]:
-    """Use with two explodes: (row, column, text) of every cell that isn't blank; see ``layout.table_cells``."""
-    return [F.posexplode(rows).alias("row", "cells")]

@@ -44,7 +44,7 @@ def query_terms(query: str) -> list[str]:
 
 def occurrences(text: Column, term: str) -> Column:
     """How often ``term`` occurs in ``text`` without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("long")
 
 
 def keyword_score(text, record_type, extra: list[Column], terms: list[str], page_bonus: bool = True) -> Column:
@@ -60,7 +60,7 @@ def snippet(x: Column | str, terms: list[str], limit: int = 180, lead: int = 45)
     low = F.lower(text)
     first = F.array_min(F.array_compact(F.array(*[F.nullif(F.instr(low, t), F.lit(0)) for t in terms])))
     start = F.greatest(F.coalesce(first - 1, F.lit(0)) - lead, F.lit(0))
-    part = F.trim(F.substring(text, start + 1, F.lit(limit)))
+    part = F.substring(text, start + 1, F.lit(limit))
     dotted = F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(start + limit < F.length(text), "...").otherwise(""))
     return F.when(F.length(text) <= limit, text).otherwise(dotted)
 
@@ -97,8 +97,8 @@ def rgb_hex(r, g, b) -> Column:
 
 
 def column_name(index: Column | str) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA: digits of 26 without a zero, as many as a long needs."""
-    x, names, first = _col(index).cast("long"), [], 0
+    """1 -> A, 26 -> Z, 27 -> AA: digits of 26 without a zero, as many as a long needs; 0 has none."""
+    x, names, first = _col(index).cast("long") - 1, [], 0
     for k in range(14):
         names.append(F.when(x >= first, F.char(F.call_function("div", x - first, F.lit(26**k)) % 26 + 65)).otherwise(""))
         first += 26 ** (k + 1)
@@ -165,13 +165,15 @@ def page_list(x: Column | str) -> Column:
 
 
 def chunk_label(pages: Column | str) -> Column:
-    return F.format_string("%03d-%03d", _col(pages)[0], F.element_at(_col(pages), -1))
+    """"005" of one page, "005-009" of more."""
+    p = _col(pages)
+    return F.when(F.size(p) == 1, F.format_string("%03d", p[0])).otherwise(F.format_string("%03d-%03d", p[0], F.element_at(p, -1)))
 
 
 def page_filter(pages: Column | str) -> Column:
     """"a-b" of pages without a gap, else "a,b,...". """
     p = _col(pages)
-    dense = F.element_at(p, -1) - p[0] + 1 == F.size(p)
+    dense = (F.element_at(p, -1) - p[0] + 1 == F.size(p)) & (F.size(p) > 1)
     return F.when(dense, F.concat_ws("-", p[0].cast("string"), F.element_at(p, -1).cast("string"))).otherwise(F.array_join(p.cast("array<string>"), ","))
 
 
@@ -211,11 +213,18 @@ def chunk_text(x: Column | str, most: int = 1400) -> Column:
     """Words packed greedily into chunks of at most ``most`` characters; a longer word is a chunk of its own; empty: none."""
     if most <= 0:
         raise ValueError("a chunk must hold a character")
-    tokens = F.filter(F.split(clean_text(x), " "), lambda t: t != "")
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    zero = F.struct(F.lit(1).alias("start"), F.lit(0).alias("size"), F.array().cast("array<struct<start:int,size:int>>").alias("out"))
 
     def step(a: Column, t: Column) -> Column:
-        fits = F.length(a["now"]) + 1 + F.length(t) <= most
-        return F.when(a["now"] == "", F.struct(a["out"].alias("out"), t.alias("now"))).when(fits, F.struct(a["out"].alias("out"), F.concat(a["now"], F.lit(" "), t).alias("now"))).otherwise(F.struct(F.array_append(a["out"], a["now"]).alias("out"), t.alias("now")))
-
-    return F.aggregate(tokens, zero, step, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.array_append(a["out"], a["now"])))
+        n, first = F.length(t), a["size"] == 0
+        more = F.when(first, n).otherwise(a["size"] + 1 + n)
+        here = F.struct(a["start"].alias("start"), a["size"].alias("size"))
+        full = F.struct((a["start"] + a["size"] + 1).alias("start"), n.alias("size"), F.array_append(a["out"], here).alias("out"))
+        return F.when(first | (more <= most), F.struct(a["start"].alias("start"), more.alias("size"), a["out"].alias("out"))).otherwise(full)
+
+    def packed(text: Column) -> Column:
+        """Places and lengths of the chunks are folded over the words; texts are cut out once."""
+        cuts = F.aggregate(F.split(text, " "), zero, step, lambda a: F.array_append(a["out"], F.struct(a["start"].alias("start"), a["size"].alias("size"))))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(cuts, lambda c: F.substring(text, c["start"], c["size"])))
+
+    return F.transform(F.array(clean_text(x)), packed)[0]

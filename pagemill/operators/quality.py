@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import stripped
+
 Rule = tuple[str, Column]
 
 
@@ -95,12 +98,62 @@ def denied(terms: list[str]) -> dict[str, str]:
     return {f"custom denylist {i}": "(?i)" + re.escape(t) for i, t in enumerate((t for t in kept if t and not t.startswith("#")), 1)}
 
 
+#: The ends of a line.
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def text_lines(x: Column | str) -> Column:
+    """A text's lines without their ends; what follows the last end is a line only if it isn't empty."""
+    parts = F.split(x if isinstance(x, Column) else F.col(x), LINE_ENDS)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def forbidden_lines(docs: DataFrame, key: str, text: str = "text", patterns: dict[str, str] | None = None) -> DataFrame:
-    """(key, line_number, category, line) of each line and category that matches; one pass, no join with the patterns."""
+    """(key, line_number, category, line) of each line and category that matches, the line stripped; no join with the patterns.
+
+    Texts that match no pattern as a whole aren't split.
+    """
     patterns = FORBIDDEN if patterns is None else patterns
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    may = reduce(lambda a, b: a | b, [F.col(text).rlike(p) for p in patterns.values()])
+    lines = docs.where(may).select(key, F.posexplode(text_lines(text)).alias("i", "line"))
     hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(c)) for c, p in patterns.items()]))
-    return lines.select(key, (F.col("i") + 1).cast("long").alias("line_number"), F.explode(hits).alias("category"), "line")
+    return lines.select(key, (F.col("i") + 1).cast("long").alias("line_number"), F.explode(hits).alias("category"), stripped(F.col("line")).alias("line"))
+
+
+#: Which files of a public export are looked at, and which must not be there.
+TEXT_SUFFIXES = (".bat", ".cfg", ".css", ".csv", ".html", ".ini", ".js", ".json", ".md", ".ps1", ".py", ".svg", ".toml", ".txt", ".xml", ".yaml", ".yml", ".pdf")
+SKIPPED_PARTS, GENERATED_PARTS, GENERATED_SUFFIXES = (".git", ".mypy_cache", ".pytest_cache"), (".ruff_cache", "__pycache__"), (".pyc", ".pyo")
+
+
+def _suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def _parts(path: Column) -> Column:
+    return F.split(path, "/")
+
+
+def scanned(path: str = "path", own_name: str = "") -> Column:
+    """Whether a file (relative path) is read: its suffix is of a text, no folder is skipped, and it isn't the scanner itself."""
+    p = F.col(path)
+    return _suffix(p).isin(*TEXT_SUFFIXES) & ~F.arrays_overlap(_parts(p), F.array(*map(F.lit, SKIPPED_PARTS))) & (F.element_at(_parts(p), -1) != own_name)
+
+
+def export_findings(files: DataFrame, public_sources: str, patterns: dict[str, str] | None = None) -> DataFrame:
+    """(path, line_number, category, line) of a public export's files (path, text): what their paths (line 0) and lines must not hold.
+
+    public_sources: a pattern of the source PDFs that may be there. A private source or generated file isn't read.
+    """
+    patterns = FORBIDDEN if patterns is None else patterns
+    p = F.col("path")
+    folders = F.slice(_parts(p), 1, F.size(_parts(p)))
+    private = (_suffix(p) == ".pdf") & F.array_contains(folders, "source") & ~p.rlike(public_sources)
+    made = F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_PARTS))) | _suffix(p).isin(*GENERATED_SUFFIXES)
+    marked = files.withColumn("__private", private).withColumn("__made", made & ~private)
+    found = F.array_compact(F.array(F.when(F.col("__private"), F.lit("private source pdf")), *[F.when(p.rlike(x), F.lit(c)) for c, x in patterns.items()], F.when(F.col("__made"), F.lit("generated file"))))
+    why = F.when(F.col("category") == "private source pdf", "source PDFs must be public sample fixtures only").when(F.col("category") == "generated file", "remove generated cache/artifact from public export").otherwise("matched path")
+    paths = marked.select("path", F.lit(0).cast("long").alias("line_number"), F.explode(found).alias("category")).withColumn("line", why)
+    return paths.unionByName(forbidden_lines(marked.where(~F.col("__private") & ~F.col("__made") & scanned()), "path", patterns=patterns))
 
 
 def last_wins(reports: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -125,12 +178,12 @@ def below_minimum(records: DataFrame, least: dict[str, int]) -> DataFrame:
     """(record_type, required, found) of required types that have too few records; none at all is -1."""
     wanted = records.sparkSession.createDataFrame(list(least.items()), "record_type string, required long")
     found = records.groupBy("record_type").agg(F.count("*").alias("found"))
-    return F.broadcast(wanted).join(found, "record_type", "left").select("record_type", "required", F.coalesce("found", F.lit(-1).cast("long")).alias("found")).where("found < required")
+    return wanted.join(found, "record_type", "left").select("record_type", "required", F.coalesce("found", F.lit(-1).cast("long")).alias("found")).where("found < required")
 
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, link): each page's distinct local links, sorted within the page; absolute ones and anchors are left out."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?:href|src)="([^"]+)"'), F.lit(1))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r"""(?i)(?:href|src)=["']([^"']+)["']"""), F.lit(1))))
     return pages.select(key, F.explode(found).alias("link")).where("not contains(link, '://') and not startswith(link, '#')")
 
 

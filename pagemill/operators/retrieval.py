@@ -20,17 +20,20 @@ from ..functions.text import chunk_text, empty_to_null, keyword_score, query_ter
 BLOCK = 4096
 
 
-def keyword_search(records: DataFrame, query: str, limit: int = 10, record_type: str | None = None, page_bonus: bool = True, order: str = "record_id") -> DataFrame:
-    """score, record_id, record_type, page, snippet of the best ``limit`` records with a hit.
+def keyword_search(records: DataFrame, query: str, limit: int = 10, record_type: str | None = None, page_bonus: bool = True, order: str = "record_id", total: bool = False) -> DataFrame:
+    """score, record_id, record_type, page, snippet (and, if asked for, total: how many have a hit) of the best ``limit`` records with a hit.
 
-    Best: score, then smaller page, type, and ``order`` (the input's order). Map side only, but for the top rows.
+    Searched are text, type and, of ``metadata`` (JSON, if there is such a column), classification, review_role and layout_class.
+    Best: score, then smaller page, type, and ``order`` (the input's order). Map side only, but for the top rows and one count.
     """
     terms = query_terms(query)
     rows = records if record_type is None else records.where(F.col("record_type") == record_type)
-    rows = rows.withColumn("score", keyword_score("text", "record_type", [], terms, page_bonus)).where("score > 0")
+    extra = [F.get_json_object("metadata", f"$.{n}") for n in ("classification", "review_role", "layout_class")] if "metadata" in records.columns else []
+    rows = rows.withColumn("score", keyword_score("text", "record_type", extra, terms, page_bonus)).where("score > 0")
     page = F.coalesce("page", F.lit(0))
     top = rows.orderBy(F.desc("score"), page, F.coalesce("record_type", F.lit("")), order).limit(limit)
-    return top.select("score", "record_id", "record_type", page.alias("page"), snippet("text", terms).alias("snippet"))
+    found = top.select("score", "record_id", "record_type", page.alias("page"), snippet("text", terms).alias("snippet"))
+    return found.crossJoin(rows.agg(F.count("*").alias("total"))) if total else found
 
 
 def chunks(records: DataFrame, most: int = 1400) -> DataFrame:
@@ -40,13 +43,28 @@ def chunks(records: DataFrame, most: int = 1400) -> DataFrame:
     return rows.withColumn("chunk_id", name).drop("text").withColumnRenamed("chunk", "text")
 
 
+#: Tokens whose places a worker keeps.
+KEPT = 500_000
+_places: dict[str, int] = {}
+
+
+def _place(token: str) -> int:
+    """Four bytes of the token's hash, and its sign as the lowest bit; kept for tokens that recur."""
+    got = _places.get(token)
+    if got is None:
+        digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        got = int.from_bytes(digest[:4], "big") * 2 + digest[4] % 2
+        if len(_places) >= KEPT:
+            _places.clear()
+        _places[token] = got
+    return got
+
+
 def hash_embedding(text: str, dimensions: int) -> list[float]:
     """Signed counts of the hashes of space-parted tokens, of unit length (zeros for none)."""
-    out = [0.0] * dimensions
-    for token in (text or "").lower().replace("\n", " ").split(" "):
-        if token:
-            digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-            out[int.from_bytes(digest[:4], "big") % dimensions] += 1.0 if digest[4] % 2 == 0 else -1.0
+    places = np.fromiter(map(_place, filter(None, (text or "").lower().replace("\n", " ").split(" "))), np.int64)
+    counts = np.bincount(places // 2 % dimensions * 2 + places % 2, minlength=2 * dimensions).reshape(-1, 2)
+    out = (counts[:, 0] - counts[:, 1]).astype(float).tolist()
     norm = math.sqrt(math.fsum(v * v for v in out))
     return [v / norm for v in out] if norm else out
 
@@ -84,16 +102,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 if a norm is 0; other lengths are an error."""
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+def cosine(a: Column, b: Column, norm: Column | None = None) -> Column:
+    """0 if a norm is 0; other lengths are an error. norm: that of ``a``, where it is known."""
+    na, nb = F.sqrt(dot(a, a)) if norm is None else norm, F.sqrt(dot(b, b))
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different lengths")).cast("double")).when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / (na * nb))
 
 
 def vector_top(rows: DataFrame, query: list[float], limit: int, key: str, vector: str = "embedding") -> DataFrame:
-    """The ``limit`` rows nearest by cosine; ties by ``key``. The query is a literal, so the scan has no join."""
+    """The ``limit`` rows nearest by cosine; ties by ``key``. The query is a literal, so the scan has no join; a column norm is used."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("score", cosine(F.col(vector).cast("array<double>"), q)).orderBy(F.desc("score"), key).limit(limit)
+    norm = F.col("norm") if "norm" in rows.columns else None
+    return rows.withColumn("score", cosine(F.col(vector).cast("array<double>"), q, norm)).orderBy(F.desc("score"), key).limit(limit)
 
 
 def vector_search(index: DataFrame, query: str, provider, limit: int = 10) -> DataFrame:
