@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_lines
 from .functions import geometry as g
 from .functions import tables as tb
 from .functions import text as t
-from .operators import layout, quality, records, retrieval
+from .operators import layout, lines, quality, records, retrieval
 from .plans import views as v
 
 TERMS, TYPED = "tion the", "the"
@@ -408,10 +409,7 @@ def text_align(spark, d):
 
 @_query(f"select page, ord, row_number() over (partition by page order by round(y0, 3), round(x0, 3), ord) as place from {_BOX}")
 def reading_order(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("page").orderBy(F.round("y0", 3), F.round("x0", 3), "ord")
-    return v.boxes(spark, d).select("page", "ord", F.row_number().over(w).cast("long").alias("place"))
+    return lines.reading_order(v.boxes(spark, d)).select("page", "ord", "place")
 
 
 _VARIANT = "value / 500 as line_width, (event_id % 97) / 97.0 as source_line, (event_id % 89) / 89.0 as bounded, case when event_id % 3 > 0 then (event_id % 83) / 83.0 end as path_fidelity, case when event_id % 4 > 0 then (event_id % 79) / 79.0 end as background, event_id % 2 as tables, event_id % 5 as kept_widths, event_id % 7 as reflowed, event_id % 3 as converted, event_id % 31 = 0 as overlay"
@@ -427,8 +425,7 @@ def variant_argmin(spark, d):
 
 @_query("select conv_id, string_agg(text, ' ' order by turn) as text from conversations group by 1")
 def transcript_text(spark, d):
-    c = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return c.select("conv_id", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+    return lines.ordered_text(v.table(spark, d, "conversations"), ["conv_id"], "turn")
 
 
 @_query("""select event_id, upper(printf('%06x', event_id * 7919 & 16777215)) as color, cast(round_even(value * 20, 0) as bigint) as twips,
@@ -484,8 +481,8 @@ def greedy_span_match(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return _Q | catalog_lines.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_lines.oracle_sql()
