@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, release, scan_bytes, shingles, slices
-from .graph import components
+from .graph import EDGES, components
 
 PERCENT = 80
 #: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
-PART, FLUSH, BLOCK, ROUNDS = 4 << 20, 1 << 21, 512, 4
+PART, FLUSH, BLOCK, ROUNDS = 4 << 20, 1 << 21, 512, 2
 #: Long lists probed at a time.
 PROBED = 64
 #: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
@@ -312,8 +312,8 @@ class Lists:
 
 
 def _compared(group: pa.Table) -> pa.Table:
-    """Rows (class, n, hashes, root, side) of one block: the pairs (a, b) that link a member of side 0 with one of side 1 of another root."""
-    cls, n, root, side = (group.column(k).to_numpy() for k in ("class", "n", "root", "side"))
+    """Rows (class, n, hashes, root, side) of one block: the pairs of roots (a, b) of which a member of side 0 links with one of side 1."""
+    n, root, side = (group.column(k).to_numpy() for k in ("n", "root", "side"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
     queries, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if len(queries) > len(others):  # the fewer are the queries: linked are both or none
@@ -324,7 +324,8 @@ def _compared(group: pa.Table) -> pa.Table:
     for q in queries:
         found = others[lists.search(sets[q], int(n[q]))]
         found = found[root[found] != root[q]]
-        pairs.append(np.column_stack([np.full(len(found), cls[q]), cls[found]]))
+        found = np.unique(root[found])
+        pairs.append(np.column_stack([np.full(len(found), root[q]), found]))
     pairs = np.concatenate(pairs)
     return pa.Table.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["a", "b"])
 
@@ -335,17 +336,19 @@ def class_links(classes: DataFrame) -> DataFrame:
     lists = members.groupBy("list").agg(F.count("*").alias("k"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
     lists = lists.where("k > 1").groupBy("k", "mark").agg(F.min("list").alias("list"))  # equal lists once
     members = cut(members.join(lists.select("list"), "list"))
+    few = members.count() // EDGES + 1  # partitions of tables that have no more rows than this one
     sets = classes.select("class", "n", "hashes")
-    links = tested = None
+    tested = None
     roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
     for turn in range(ROUNDS):
+        release(classes.sparkSession)
         open_ = _open(members, roots)
         # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
         size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
         # written, so that each join below is a stage of its own, in which Spark splits the members of a long list
-        main = cut(size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members")))
+        main = cut(size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members")).coalesce(few))
         lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"), F.max("members").alias("members"))
-        lead = cut(lead)
+        lead = cut(lead.coalesce(few))
         pairs = open_.join(lead, "list").where("root <> q.root").where(f"100 * least(n, q.n) >= {PERCENT} * greatest(n, q.n)")
         pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb"), "members", "q.common")
         if turn:
@@ -355,7 +358,7 @@ def class_links(classes: DataFrame) -> DataFrame:
             pairs = pairs.groupBy("b", "rb").agg(longest).select("m.a", "b", "m.ra", "rb")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(pairs.coalesce(few))
         if pairs.isEmpty():
             break
         size = pairs.groupBy("a", "ra").agg(F.count("*").alias("k"))
@@ -363,14 +366,13 @@ def class_links(classes: DataFrame) -> DataFrame:
         queries = blocks.select(F.col("a").alias("q"), "s", F.col("a").alias("class"), F.col("ra").alias("root"), F.lit(0).alias("side"))
         others = pairs.join(size.drop("ra"), "a").select(F.col("a").alias("q"), F.expr(f"cast(pmod(xxhash64(b), (k - 1) div {BLOCK} + 1) as int)").alias("s"), F.col("b").alias("class"), F.col("rb").alias("root"), F.lit(1).alias("side"))
         found = cut(queries.unionByName(others).join(sets, "class").groupBy("q", "s").applyInArrow(_compared, "a long, b long"))
-        links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        roots = cut(components(links))
-        release(classes.sparkSession)
+        roots = _joined(roots, found, few)
+    release(classes.sparkSession)
     # what is still open is searched whole: all outside the largest component among all; partners are at most one size class of a quarter apart
     open_ = _open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int"))
     size = open_.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
-    open_ = cut(open_.join(cut(size), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")))
+    open_ = cut(open_.join(cut(size.coalesce(few)), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")))
     if open_.isEmpty():
         return roots
     apart = F.expr(f"cast((count_if(not in_main) - 1) div {BLOCK} + 1 as int)").alias("ks")
@@ -381,9 +383,18 @@ def class_links(classes: DataFrame) -> DataFrame:
     near = k.where("outside > 0").select("list", F.col("c").alias("e"), F.col("ks").alias("ke"))
     others = open_.join(k, ["list", "c"]).withColumn("t", F.expr("cast(pmod(xxhash64(class), kt) as int)")).join(near, "list").where("abs(c - e) <= 1")
     others = others.withColumn("s", F.explode(F.expr("sequence(0, ke - 1)"))).select("list", F.col("e").alias("c"), "s", F.col("c").alias("d"), "t", "class", "root", F.lit(1).alias("side"))
+    release(classes.sparkSession)
     both = asked.unionByName(others).select(F.concat_ws(":", "list", "c", "s", "d", "t").alias("q"), "class", "root", "side")
-    found = both.join(sets, "class").groupBy("q").applyInArrow(_compared, "a long, b long")
-    return components(found if links is None else links.unionByName(found))
+    found = cut(both.join(sets, "class").groupBy("q").applyInArrow(_compared, "a long, b long"))
+    return _joined(roots, found, few)
+
+
+def _joined(roots: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """(node, root) once roots that ``links`` (a, b) join are one; a node that isn't in ``roots`` was its own."""
+    release(roots.sparkSession)
+    new = components(links)
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(moved.unionByName(new.join(roots, "node", "left_anti").select("node", "root")).coalesce(parts))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -420,7 +431,9 @@ def jaccard_components(docs: DataFrame, heavy: int = HEAVY, local: int = LOCAL)
     many = told.groupBy("class").agg(F.sum("second").alias("k")).where(F.col("k") >= max(heavy, rows.count() // HEAVY_ROWS))
     many = np.array([r["class"] for r in many.collect()], np.int64).view(np.uint64)
     rows, others = _told_apart(rows)
+    release(docs.sparkSession)
     roots = class_links(cut(shared_shingles(docs, np.sort(many), others)))
+    release(docs.sparkSession)
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
