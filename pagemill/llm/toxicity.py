@@ -20,7 +20,7 @@ ROWS, DIM, RUNS = 1 << 17, 4, (3, 4, 5)
 TRAINING_ROWS, THRESHOLD = 6000, 0.5
 #: Rounds of training, its step, the factor on margins, the floor of a row's own scale (as a share of the largest): the lower, the faster rare runs learn.
 ROUNDS, RATE, GAIN, FLOOR = 40, 0.1, 10.0, 0.1
-_WINDOW = 1 << 18
+_WINDOW, _WORDS = 1 << 18, 1 << 14
 #: What parts words here: white space and all other ASCII signs.
 GAP = SPACE.copy()
 GAP[:128] |= [not chr(b).isalnum() for b in range(128)]
@@ -60,15 +60,27 @@ def runs(data: np.ndarray, at: np.ndarray):
 
 def _bags(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of all runs, word by word, and where each word's begin (one more: the end)."""
-    data = np.frombuffer(b"".join(b" " + w + b" " for w in spelled), np.uint8)
-    size = np.array([len(w) + 2 for w in spelled])
-    owner, eight = np.repeat(np.arange(len(spelled)), size), eights(data)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
-    where = [np.flatnonzero(left >= k) for k in RUNS]
-    place = np.concatenate([_row_of(eight, i, k) for i, k in zip(where, RUNS)])
-    word = owner[np.concatenate(where)]
-    order = np.argsort(word, kind="stable")
-    return place[order], np.searchsorted(word[order], np.arange(len(spelled) + 1))
+    places, counts = [], []
+    for i in range(0, len(spelled), _WORDS):
+        part = spelled[i : i + _WORDS]
+        data = np.frombuffer(b"".join(b" " + w + b" " for w in part), np.uint8)
+        size = np.array([len(w) + 2 for w in part])
+        owner, eight = np.repeat(np.arange(len(part)), size), eights(data)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+        where = [np.flatnonzero(left >= k) for k in RUNS]
+        word = owner[np.concatenate(where)]
+        places.append(np.concatenate([_row_of(eight, w, k) for w, k in zip(where, RUNS)])[np.argsort(word, kind="stable")])
+        counts.append(np.bincount(word, minlength=len(part)))
+    return np.concatenate(places), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def _sums(table: np.ndarray, index: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of ``table``'s rows ``index`` from each ``at`` to the next, some at a time."""
+    out = np.empty((len(at) - 1, table.shape[1]), table.dtype)
+    for i in range(0, len(out), _WORDS):
+        j = min(len(out), i + _WORDS)
+        out[i:j] = np.add.reduceat(table[index[at[i] : at[j]]], at[i:j] - at[i], axis=0)
+    return out
 
 
 def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -85,8 +97,8 @@ def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
                 number[x] = len(number)
                 spelled.append(data[begin[i] : end[i]].tobytes())
             known[k] = number[x]
-        word.append(known[back])
-        doc.append(row + before)
+        word.append(known[back].astype(np.int32))
+        doc.append((row + before).astype(np.int32))
         before += len(at) - 1
     return np.concatenate(doc), np.concatenate(word), spelled
 
@@ -124,25 +136,28 @@ class ToxicityModel:
     def _fit(self, doc, word, place, at, y, rng, rounds) -> None:
         """Momentum on the logistic loss; both labels weigh alike at first, each document does at the end."""
         n, kinds = len(y), len(at) - 1
-        used, local = np.unique(place, return_inverse=True)
+        used = np.unique(place)
+        local = np.searchsorted(used, place).astype(np.int32)
         size = np.diff(at).astype(np.float32)[:, None]
         # orders in which the sums back from words to kinds of words, and from these to runs, are sums of neighbours
         by_run = np.argsort(local, kind="stable")
-        kind_of_run, run_at = np.repeat(np.arange(kinds), np.diff(at))[by_run], np.searchsorted(local[by_run], np.arange(len(used)))
-        by_kind = np.argsort(word, kind="stable")
+        run_at = np.searchsorted(local[by_run], np.arange(len(used) + 1))
+        kind_of_run = np.repeat(np.arange(kinds, dtype=np.int32), np.diff(at))[by_run]
+        del by_run, place
+        by_kind = np.argsort(word, kind="stable").astype(np.int32)
         kind_at = np.searchsorted(word[by_kind], np.arange(kinds))
         p = [rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
         m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
         even = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         for t in range(1, rounds + 1):
             weight = even ** min(1.0, 2 * (1 - t / rounds))
-            mean = np.add.reduceat(p[0][local], at[:-1], axis=0) / size * GAIN
+            mean = _sums(p[0], local, at) / size * GAIN
             z = mean @ p[1]
             pooled, part = _pooled((z[:, 1] - z[:, 0])[word], doc, n)
-            g = (_sigmoid(pooled + p[2][1] - p[2][0]) - y) * weight / n
-            back = np.add.reduceat((g[doc] * part)[by_kind], kind_at)[:, None].astype(np.float32) * np.array([-1, 1], np.float32)
+            g = ((_sigmoid(pooled + p[2][1] - p[2][0]) - y) * weight / n).astype(np.float32)
+            back = np.add.reduceat((g[doc] * part)[by_kind], kind_at)[:, None] * np.array([-1, 1], np.float32)
             to_mean = back @ p[1].T / size * GAIN
-            slope = [np.add.reduceat(to_mean[kind_of_run], run_at, axis=0), mean.T @ back, np.array([-g.sum(), g.sum()], np.float32)]
+            slope = [_sums(to_mean, kind_of_run, run_at), mean.T @ back, np.array([-g.sum(), g.sum()], np.float32)]
             for k in range(3):
                 m[k] = 0.9 * m[k] + 0.1 * slope[k]
                 v[k] = 0.99 * v[k] + 0.01 * slope[k] ** 2
