@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_lines
 from .functions import geometry as g
 from .functions import tables as tb
 from .functions import text as t
@@ -480,9 +479,12 @@ def greedy_span_match(spark, d):
     return layout.greedy_match(w.where("ord % 2 = 0").select("page", F.col("ord").alias("id"), "text", "x"), w.where("ord % 2 = 1").select("page", "ord", "text", "x"))
 
 
+from . import catalog_lines, catalog_packet  # noqa: E402  they use the fragments above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _Q | catalog_lines.queries()
+    return _Q | catalog_lines.queries() | catalog_packet.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_lines.oracle_sql()
+    return _SQL | catalog_lines.oracle_sql() | catalog_packet.oracle_sql()
