@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,4 +57,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extraction, op2_token_shards, op3_source_mixing, op4_fingerprints, op5_secret_scan, op6_quality, op7_nearest_neighbours, op8_packing, op9_jaccard_join, op10_toxicity)
 }
-ORACLES: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All pairs that share a shingle, and their closure: for small tables.
+_JACCARD = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+ sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+ each as (select doc_id, len(s) as n, unnest(s) as x from sets),
+ pairs as (select a.doc_id as a, b.doc_id as b from each a join each b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2 having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ reached as (select doc_id, doc_id as seen from sets union select r.doc_id, p.b from reached r join pairs p on p.a = r.seen)
+ select doc_id, cast(any_value(n) as bigint) as n_shingles, min(seen) as component_id from reached join (select doc_id, len(s) as n from sets) using (doc_id) group by doc_id"""
+
+
+def _spans_sql(kind: int) -> str:
+    """(doc_id, start, kind, end) of a rule's matches: places come from the lengths of what lies between them."""
+    rule = secrets.RULES[kind]
+    # DuckDB has no possessive repeats, and none of bounded repeats: there a key's headers and lines may be of any number and length
+    pattern = re.sub(r"(?<=[*}])\+", "", rule.pattern).replace("'", "''")
+    for bounded, free in (("{1,4}", "+"), ("{1,40}", "+"), ("{0,200}", "*"), ("{0,8}", "*"), ("{0,1000}", "*")):
+        pattern = pattern.replace(bounded, free)
+    value = f"length(regexp_extract(m, p, {rule.group}))" if rule.group else "length(m)"
+    return f"""select doc_id, b as start, {kind} as kind, b + size as "end" from (select *, cast(sum(gap + size) over (partition by doc_id, t order by i) - size as bigint) as b from (
+ select doc_id, t, i, length(g[i]) as gap, length(f[i]) as size, {value.replace("m,", "f[i],").replace("(m)", "(f[i])")} as v from (select *, unnest(range(1, len(f) + 1)) as i from (
+ select doc_id, t, p, regexp_extract_all(t, p) as f, string_split_regex(t, p) as g from (select doc_id, coalesce(text, '') as t, '{pattern}' as p from documents) where regexp_matches(t, p))))) where v >= {rule.least}"""
+
+
+def _secrets_sql() -> str:
+    names = "[" + ", ".join(f"'{r.name}'" for r in secrets.RULES) + "]"
+    listed = f"""string_agg({names}[kind + 1] || ':' || start || ':' || "end", ',' order by start, kind)"""
+    counts = ", ".join(f"count(*) filter (kind = {k}) as n_{r.name}" for k, r in enumerate(secrets.BASE))
+    found = " union all ".join(_spans_sql(k) for k in range(len(secrets.RULES)))
+    return f"""select doc_id, {counts}, sha256(coalesce({listed} filter (kind < {len(secrets.BASE)}), '')) as base_sha256, coalesce({listed} filter (kind is not null), '') as spans
+ from documents left join ({found}) using (doc_id) group by doc_id"""
+
+
+ORACLES: dict[str, str] = {"op5_secret_scan": _secrets_sql(), "op9_jaccard_join": _JACCARD}
