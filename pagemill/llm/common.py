@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -46,6 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of lineages cut so far; else they stay on the executors' disks until the driver next collects."""
+    gc.collect()  # frames that nothing refers to any more still hold their plans
     spark.sparkContext._jvm.System.gc()
 
 

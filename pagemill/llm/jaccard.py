@@ -342,7 +342,9 @@ def class_links(classes: DataFrame) -> DataFrame:
     roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
     for turn in range(ROUNDS):
         release(classes.sparkSession)
-        open_ = _open(members, roots)
+        open_ = cut(_open(members, roots).coalesce(few))
+        if open_.isEmpty():
+            return roots
         # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
         size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
         # written, so that each join below is a stage of its own, in which Spark splits the members of a long list
@@ -370,13 +372,13 @@ def class_links(classes: DataFrame) -> DataFrame:
         roots = _joined(roots, found, few)
     release(classes.sparkSession)
     # what is still open is searched whole: all outside the largest component among all; partners are at most one size class of a quarter apart
-    open_ = _open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int"))
-    size = open_.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
-    open_ = cut(open_.join(cut(size.coalesce(few)), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")))
+    open_ = cut(_open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int")).coalesce(few))
     if open_.isEmpty():
         return roots
+    size = open_.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
+    open_ = cut(open_.join(cut(size.coalesce(few)), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")).coalesce(few))
     apart = F.expr(f"cast((count_if(not in_main) - 1) div {BLOCK} + 1 as int)").alias("ks")
-    k = cut(open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("kt"), apart, F.count_if(~F.col("in_main")).alias("outside")))
+    k = cut(open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("kt"), apart, F.count_if(~F.col("in_main")).alias("outside")).coalesce(few))
     near = k.select("list", F.col("c").alias("d"), F.col("kt").alias("kd"))
     asked = open_.where("not in_main").join(k, ["list", "c"]).withColumn("s", F.expr("cast(pmod(xxhash64(class), ks) as int)")).join(near, "list").where("abs(c - d) <= 1")
     asked = asked.withColumn("t", F.explode(F.expr("sequence(0, kd - 1)"))).select("list", "c", "s", "d", "t", "class", "root", F.lit(0).alias("side"))
