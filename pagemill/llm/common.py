@@ -6,7 +6,9 @@ import gc
 import hashlib
 import re
 import tempfile
+import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{jsc.getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+#: Seconds between releases by ``cut``; when the last one was.
+RELEASE_S = 1.5
+_released = [0.0]
+#: Bytes of an Arrow batch while this subpackage runs an action of its own.
+BATCH = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH`` bytes at most within; the session's own setting is as it was after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{BATCH}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and goes on from there: lineage ends, lost executors cost nothing."""
+    """Writes ``df`` once to the shared folder and goes on from there: lineage ends, lost executors cost nothing.
+
+    What the lineage held is released, if the last release is some seconds ago.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        out = df.checkpoint()
+    if time.monotonic() - _released[0] > RELEASE_S:
+        release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of lineages cut so far; else they stay on the executors' disks until the driver next collects."""
+    _released[0] = time.monotonic()
     gc.collect()  # frames that nothing refers to any more still hold their plans
     spark.sparkContext._jvm.System.gc()
 

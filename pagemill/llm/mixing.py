@@ -66,7 +66,7 @@ def balanced(rows: DataFrame, goals: DataFrame, cap: float = CAP, base: Column |
     done = start.where("m is null").select("key", "m", "mean")
     dual = cut(start.where("m is not null").select("*", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
     words = (F.col("size") * F.col("n")).cast("decimal(20,0)")
-    for _ in range(ITERATIONS):
+    for turn in range(ITERATIONS):
         x = F.col("size") / F.col("mean")
         rate = tilted(F.col("q"), F.col("m") * x, cap)
         now = F.sum(words * F.round(rate * UNIT).cast("decimal(18,0)")).cast("double") / UNIT
@@ -79,7 +79,7 @@ def balanced(rows: DataFrame, goals: DataFrame, cap: float = CAP, base: Column |
         wide = F.when(F.col("high") == float("inf"), 2 * F.abs("m") + 1).when(F.col("low") == float("-inf"), -2 * F.abs("m") - 1).otherwise((F.col("low") + F.col("high")) / 2)
         far = F.abs(F.col("gap")) > TOLERANCE * F.col("target")
         dual = cut(sums.select("key", "target", "mean", F.when(~far, F.col("m")).when(inside, step).otherwise(wide).alias("m"), "low", "high", far.alias("far")))
-        if not dual.where("far").limit(1).count():
+        if turn % 3 == 2 and dual.where("far").isEmpty():  # a multiplier that has arrived stays
             return done.unionByName(dual.select("key", "m", "mean"))
         dual = dual.drop("far")
     raise RuntimeError(f"the multipliers of the mix haven't converged in {ITERATIONS} iterations")

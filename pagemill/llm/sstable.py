@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, scan_bytes, shared_dir
+from .common import cut, mix, scan_bytes, shared_dir, small_batches
 from .encoding import encoder
 
 MAGIC = b"PMSST\x00\x01\n"
@@ -199,7 +199,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wi
     # ties are broken by the text's hash and the row's place, so that rows of one id spread over ranges, too
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("k", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(n, "doc_id", "h", "k").sortWithinPartitions("doc_id", "h", "k").select("doc_id", "text")
-    rows.mapInArrow(shard, "part binary").select(F.col("part").cast("string")).write.text(path)
+    with small_batches(spark):
+        rows.mapInArrow(shard, "part binary").select(F.col("part").cast("string")).write.text(path)
 
 
 ENTRIES = "shard long, at long, doc_id long, ids binary, width int"
