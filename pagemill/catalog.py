@@ -392,11 +392,15 @@ def clean_rows(spark, d):
     return v.table(spark, d, "events").select("event_id", F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "/").alias("cells"))
 
 
-@_query("""select event_id, cast(case when event_id % 5 = 0 then 'equipment_table' when event_id % 5 = 1 then 'height_weight_table' when event_id % 5 = 2 then 'stat_table' else 'structured_table' end as varchar) as class,
- cast(case when event_id % 5 >= 3 then 0.9 else 0.95 end as double) as score from events""")
+@_query("""select event_id, case when ok then kind end as class, case when ok then round(case when kind = 'structured_table' then least(0.9, 0.5 + 0.25 * dense + 0.25 * numeric) else least(0.95, 0.55 + 0.25 * dense + 0.25 * numeric) end, 6) else 0 end as score from (
+ select *, n >= 3 and (dense >= 0.45 or numeric >= 0.35) and (event_id % 4 < 3 or numeric >= 0.5) as ok, ['equipment_table', 'height_weight_table', 'stat_table', 'structured_table'][event_id % 4 + 1] as kind from (
+ select event_id, n, case when 2 + (event_id % 2 = 0)::int + (event_id % 5 > 0)::int >= 3 then 1.0::double else 0 end as dense, case when event_id % 2 = 0 then len(list_filter(range(1, n + 1), lambda i: (event_id + i) % 3 > 0)) / n::double else 0 end as numeric
+ from (select event_id, 2 + event_id % 4 as n from events)))""")
 def table_score(spark, d):
-    word = "case when event_id % 5 = 0 then 'damage' when event_id % 5 = 1 then 'height weight' when event_id % 5 = 2 then 'sdc' else 'size' end"
-    s = tb.table_score(F.expr(f"concat('table ', {word})"), F.expr("array_repeat(array('a', '1', '2', '3'), 4)"))
+    """Tables of two to five rows, more or less dense and numeric, under texts with and without a title."""
+    text = F.expr("case event_id % 4 when 0 then 'table damage' when 1 then 'height weight' when 2 then 'sdc of it' else 'plain words' end")
+    rows = F.expr("transform(sequence(1, int(2 + event_id % 4)), i -> array('a', if((event_id + i) % 3 > 0, '1', 'x'), if(event_id % 2 = 0, '$2', ' '), if(event_id % 5 > 0, 'b', '')))")
+    s = tb.table_score(text, rows)
     return v.table(spark, d, "events").select("event_id", s["class"].alias("class"), F.round(s["score"], 6).alias("score"))
 
 

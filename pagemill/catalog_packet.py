@@ -291,6 +291,63 @@ def export_findings(spark, d):
     return quality.export_findings(f, r"^source/sample_\d+\.pdf$", {"wording": "(?i)password|secret"}).select("path", "line_number", "category")
 
 
+# --- pictures, selections, sources ------------------------------------------------------------------------------------
+
+
+@_query("""select event_id, round(len(list_filter(range(0, 20), lambda i: abs((event_id * 7 + i * 13) % 256 - (user_id * 11 + i * 29) % 256) > 24)) / 20.0::double, 6) as ratio from events""")
+def picture_differences(spark, d):
+    a, b = F.expr("transform(sequence(0, 19), i -> (event_id * 7 + i * 13) % 256)"), F.expr("transform(sequence(0, 19), i -> (user_id * 11 + i * 29) % 256)")
+    return _events(spark, d).select("event_id", F.round(packet.diff_ratio(a, b), 6).alias("ratio"))
+
+
+@_query("""select event_id, round((list_avg(a) + list_avg(b)) / 2, 4) as mean, round((list_stddev_pop(a) + list_stddev_pop(b)) / 2, 4) as contrast from (
+ select event_id, list_transform(range(0, 9), lambda i: (event_id * 7 + i * 13) % 256) as a, list_transform(range(0, 9), lambda i: (event_id + i * i) % 100) as b from events)""")
+def picture_statistics(spark, d):
+    c = F.expr("array(transform(sequence(0, 8), i -> double((event_id * 7 + i * 13) % 256)), transform(sequence(0, 8), i -> double((event_id + i * i) % 100)))")
+    return _events(spark, d).select("event_id", packet.channel_stats(c).alias("s")).select("event_id", F.round("s.mean", 4).alias("mean"), F.round("s.contrast", 4).alias("contrast"))
+
+
+@_query("select event_id, cast(row_number() over (partition by user_id order by case when event_type = 'click' then 0 else 1 end, value, event_id) as int) as place from events")
+def image_order(spark, d):
+    e = _events(spark, d).select(F.col("user_id").alias("page"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "click", "background_image").otherwise("content_image").alias("classification"), F.col("value").alias("area"))
+    return packet.image_order(e).select(F.col("ord").alias("event_id"), "place")
+
+
+@_query("select event_id, event_id % 60 as page from events where event_id % 60 in (3, 4, 5, 9, 41, 50) and event_id % 60 between 4 and 45")
+def selected_pages(spark, d):
+    e = _events(spark, d).select("event_id", (F.col("event_id") % 60).alias("page"))
+    return packet.selected_pages(e, t.page_list(F.lit("3-5,9,41,50")).cast("array<bigint>"), 4, 45)
+
+
+@_query("""select event_id, case event_id % 4 when 0 then 'private_workspace' when 1 then 'public_repo' when 2 then 'external' else 'private_workspace' end as class from events""")
+def path_classes(spark, d):
+    path = F.expr("case event_id % 4 when 0 then concat('/pub/own/', event_id) when 1 then concat('/pub/', event_id) when 2 then concat('/pub', event_id) else '/pub/own' end")
+    return _events(spark, d).select("event_id", packet.path_class(path, "/pub/own", "/pub").alias("class"))
+
+
+@_query("select user_id, coalesce(min(event_type) filter (value > 150), 'default') as path from events group by 1")
+def first_or_default(spark, d):
+    e = _events(spark, d).withColumn("path", F.when(F.col("value") > 150, F.col("event_type")))
+    return packet.first_or(e, ["user_id"], F.lit("default"))
+
+
+@_query("""select event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","label":' || case when event_id % 2 = 0 then '"x"' else 'null' end || '}' as j, event_type || 'a&b' as text from events""")
+def sorted_json(spark, d):
+    e = _events(spark, d).withColumn("label", F.when(F.col("event_id") % 2 == 0, "x"))
+    return e.select("event_id", packet.sorted_json(["label", "event_type", "event_id"]).alias("j"), packet.element_text(F.concat(F.lit("<text><tspan x='1'>"), "event_type", F.lit("</tspan><tspan>a&amp;b</tspan></text>"))).alias("text"))
+
+
+@_query(f"""with b as (select * from {_BOX}), t as (select * from b where kind = 'R' and ord % 2 = 0)
+ select page, ord, case when ord % 3 = 0 then 'equipment_table' else 'structured_table' end as class, 0.98::double as confidence from t
+ union all select page, ord, 'stat_table', 0.95::double from b where kind = 'click' and ord % 5 > 0 and not exists (select 1 from t where t.page = b.page and greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) / greatest(1, (b.x1 - b.x0) * (b.y1 - b.y0)) > 0.35)""")
+def page_tables(spark, d):
+    """Detected tables (some too small), and blocks whose cells are all numbers."""
+    b = v.boxes(spark, d)
+    found = b.where("kind = 'R'").withColumn("rows", F.expr("case when ord % 2 = 0 then array(array('a', case when ord % 3 = 0 then 'Damage' else 'b' end), array('c', ' d')) else array(array('a', 'b'), array(' ', '')) end"))
+    blocks = b.where("kind = 'click'").withColumn("text", F.lit("SDC table")).withColumn("rows", F.expr("array_repeat(array('a', '1', '2', case when ord % 5 = 0 then null else '3' end), case when ord % 5 = 0 then 2 else 4 end)"))
+    return packet.page_tables(found, blocks)
+
+
 # --- files ------------------------------------------------------------------------------------------------------------
 
 

@@ -290,3 +290,88 @@ def workspace_issues(root: str, folders: list[str], public: str | None = None, c
     except (KeyError, TypeError, json.JSONDecodeError) as e:
         return [*out, (config, f"workspace config is invalid: {e}")]
     return out + [(config, message) for bad, message in tests if bad]
+
+
+# --- pictures, selections, sources ------------------------------------------------------------------------------------
+
+
+def diff_ratio(a: Column, b: Column, least: int = 24) -> Column:
+    """The share of grey values (arrays of one length) that differ by more than ``least``; null if one picture is missing."""
+    far = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d > least))
+    return F.when(F.size(a) > 0, far / F.size(a))
+
+
+def channel_stats(channels: Column) -> Column:
+    """struct<mean, contrast>: the mean over channels (arrays) of their means and of their standard deviations."""
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    spread = lambda c: F.sqrt(mean(F.transform(c, lambda x: (x - mean(c)) * (x - mean(c)))))
+    return F.struct(mean(F.transform(channels, mean)).alias("mean"), mean(F.transform(channels, spread)).alias("contrast"))
+
+
+def image_order(images: DataFrame) -> DataFrame:
+    """``images`` (page, ord, classification, area) with place: backgrounds first, then by area, then as they came."""
+    w = W.partitionBy("page").orderBy(F.when(F.col("classification") == "background_image", 0).otherwise(1), "area", "ord")
+    return images.withColumn("place", F.row_number().over(w))
+
+
+def selected_pages(pages: DataFrame, wanted: Column | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Pages that ``wanted`` (an array) names and that lie from ``first`` to ``last``; what isn't given selects all."""
+    rows = pages.where(F.array_contains(wanted, F.col("page"))) if wanted is not None else pages
+    rows = rows.where(F.col("page") >= first) if first is not None else rows
+    return rows.where(F.col("page") <= last) if last is not None else rows
+
+
+def path_class(path: Column, private: str, public: str) -> Column:
+    """private_workspace, public_repo or external, of normal paths; the private folder is asked first."""
+    below = lambda root: (path == root) | path.startswith(root.rstrip("/") + "/")
+    return F.when(below(private), "private_workspace").when(below(public), "public_repo").otherwise("external")
+
+
+def first_or(paths: DataFrame, by: list[str], fallback: Column) -> DataFrame:
+    """(``by``, path): the least path that matched (null: none), else the fallback (a column of the group)."""
+    return paths.groupBy(*by).agg(F.coalesce(F.min("path"), F.min(fallback)).alias("path"))
+
+
+def review_rows(pages: DataFrame, debug: bool = False) -> DataFrame:
+    """What a reviewer sees of a page; for debugging also what it was made from."""
+    names = ["page", "status", "editable_svg", "preview_png"]
+    return pages.select(*names, *(["source_primary_review_svg", "source_primary_review_render"] if debug else []))
+
+
+def sorted_json(row: list[str]) -> Column:
+    """A JSON object of columns with its keys in order, nulls included."""
+    return F.to_json(F.struct(*sorted(row)), {"ignoreNullFields": "false"})
+
+
+def element_text(xml: Column) -> Column:
+    """All text nodes of an element, joined."""
+    return F.array_join(F.xpath(xml, F.lit("//text()")), "")
+
+
+def page_tables(detected: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page, ord, class, confidence) of a page's tables: detected ones of two rows and columns at least, and text blocks that none of them covers
+    and whose layout scores like a table. Both: page, ord, box, rows; blocks also text."""
+    from ..functions.tables import cleaned, columns, table_class, table_score
+    from .layout import not_covered
+
+    whole = detected.withColumn("rows", cleaned(F.col("rows"))).where((F.size("rows") >= 2) & (columns(F.col("rows")) >= 2))
+    first = whole.select("page", "ord", table_class(F.col("rows")).alias("class"), F.lit(0.98).alias("confidence"))
+    score = not_covered(blocks, whole, "ord").select("page", "ord", table_score(F.col("text"), F.col("rows")).alias("s")).where("s.score > 0")
+    return first.unionByName(score.select("page", "ord", "s.class", F.round("s.score", 3).alias("confidence")))
+
+
+def recognized_pages(entries: DataFrame, files: DataFrame, root: str, reader) -> DataFrame:
+    """OCR records of a manifest's entries (corpus_id, book_id, source_path): each file's pages by ``reader``, hashed and measured."""
+    from ..sources.files import pages_of
+    from .records import ocr_pages
+
+    found = with_sources(entries, files, root)
+    pages = ocr_pages(pages_of(found, reader))
+    return pages.join(found.select("path", "corpus_id", "book_id", F.sha2("content", 256).alias("source_sha256")), "path").withColumnRenamed("page", "page_number")
+
+
+def checked(issues: DataFrame, mode: str = "internal") -> DataFrame:
+    """``issues``; in mode "internal" any of them is an error."""
+    if mode == "internal" and not issues.isEmpty():
+        raise ValueError(f"validation failed: {issues.first().asDict()}")
+    return issues
