@@ -81,10 +81,9 @@ def release(spark: SparkSession) -> None:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """The size of the files that ``df`` scans; where it comes from elsewhere or from a join, that of its texts (a scan)."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    if plan.collectLeaves().size() == 1 and size < 1 << 55:
+    """The size of the files that ``df`` scans, all columns; where it comes from elsewhere or from a join, that of its texts (a scan)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() == 1 and (size := int(str(leaves.apply(0).stats().sizeInBytes()))) < 1 << 55:
         return size
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
