@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import re
@@ -41,8 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{jsc.getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+_libc = ctypes.CDLL(None)
 #: Seconds between releases by ``cut``; when the last one was.
-RELEASE_S = 1.5
+RELEASE_S = 0.5
 _released = [0.0]
 #: Bytes of an Arrow batch while this subpackage runs an action of its own.
 BATCH = 4 << 20
@@ -77,6 +79,9 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of lineages cut so far; else they stay on the executors' disks until the driver next collects."""
     _released[0] = time.monotonic()
     gc.collect()  # frames that nothing refers to any more still hold their plans
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):  # what training has freed goes back to the system
+        _libc.malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 
