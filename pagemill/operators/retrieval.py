@@ -33,7 +33,7 @@ def keyword_search(records: DataFrame, query: str, limit: int = 10, record_type:
     page = F.coalesce("page", F.lit(0))
     top = rows.orderBy(F.desc("score"), page, F.coalesce("record_type", F.lit("")), order).limit(limit)
     found = top.select("score", "record_id", "record_type", page.alias("page"), snippet("text", terms).alias("snippet"))
-    return found.crossJoin(rows.agg(F.count("*").alias("total"))) if total else found
+    return found.withColumn("total", rows.agg(F.count("*")).scalar()) if total else found
 
 
 def chunks(records: DataFrame, most: int = 1400) -> DataFrame:
