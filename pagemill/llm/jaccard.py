@@ -34,7 +34,7 @@ from .graph import EDGES, components
 
 PERCENT = 80
 #: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
-PART, FLUSH, BLOCK, ROUNDS = 12 << 20, 3 << 20, 512, 2
+PART, FLUSH, BLOCK, ROUNDS = 16 << 20, 3 << 20, 512, 2
 #: Long lists probed at a time.
 PROBED = 64
 #: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
@@ -166,7 +166,7 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
         for part, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)])):
             if i < j:
                 used, ref_ = np.unique(ref[i:j], return_inverse=True)
-                out.append((part, _zip(_deltas(h[i:j])), _zip(ref_.astype(np.uint32)), _zip(name[used]), _zip(n[used]), None))
+                out.append((part, _zip(_deltas(h[i:j])), _zip(ref_.astype(np.uint32)), _zip(_deltas(name[used])), _zip(n[used]), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["part", "h", "ref", "name", "n", "to"])
 
     kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64()]
@@ -188,7 +188,7 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
                     yield _blobs([(to, a, b, c, d)])
                     continue
                 h.append(np.cumsum(_unzip(a, np.uint64), dtype=np.uint64))
-                name.append(_unzip(c, np.uint64))
+                name.append(np.cumsum(_unzip(c, np.uint64), dtype=np.uint64))
                 n.append(_unzip(d, np.uint32))
                 ref.append(_unzip(b, np.uint32).astype(np.int64) + at)
                 at += len(name[-1])
