@@ -51,17 +51,26 @@ BATCH = 4 << 20
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of ``BATCH`` bytes at most within; the session's own setting is as it was after."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _set(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, f"{BATCH}b")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH`` bytes at most within; the session's own setting is as it was after."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+
+
+def plain_plans(spark: SparkSession):
+    """Plans that aren't changed while they run, within: for loops of many small steps, in which each exchange of an adaptive plan would take the
+    driver a thread for a minute."""
+    return _set(spark, "spark.sql.adaptive.enabled", "false")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and goes on from there: lineage ends, lost executors cost nothing.
 

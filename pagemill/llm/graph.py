@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, plain_plans
 
 #: Edges in a partition of a written round.
 EDGES = 500_000
@@ -25,6 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     loops are ignored; an empty table gives none.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    with plain_plans(edges.sparkSession):
+        now = _stars(now)
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _stars(now: DataFrame) -> DataFrame:
+    """Edges (u, v) of which every u points to the least node it can reach."""
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -36,6 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
         low = _least(large)
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct().coalesce(parts))
-        release(edges.sparkSession)
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return now

@@ -127,7 +127,7 @@ def test_balanced_rates_by_bisection(spark):
     for r in mixing.balanced(rows, goals).collect():
         x = size[[k == r.key for k in key]]
         mean = x.mean()
-        now = lambda m: float((x * 3 / (1 + 2 * np.exp(-m * x / mean))).sum())  # noqa: B023, E731
+        now = lambda m: float((x * 3 / (1 + 2 * np.exp(np.clip(-m * x / mean, -700, 700)))).sum())  # noqa: B023, E731
         low, high = -1e3, 1e3
         for _ in range(200):
             m = (low + high) / 2
