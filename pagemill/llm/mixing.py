@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, plain_plans
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents to each part of a table whose copies are numbered by themselves in each source and size class; parts at most.
@@ -115,7 +115,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     upto = F.col("ahead") + F.sum("unit").over(within.rowsBetween(W.unboundedPreceding, 0))
     whole = F.expr(f"(upto + {UNIT // 2}) div {UNIT} - (upto - unit + {UNIT // 2}) div {UNIT}")
     rows = cut(rows.withColumn("upto", upto).select("doc_id", "h", "key", "k", "s", "i", "size", "source_size", "target", F.least(whole, F.lit(cap)).cast("long").alias("copies")))
-    return settled(rows, cap).select("doc_id", "h", "size", "source_size", "target", "copies")
+    with plain_plans(docs.sparkSession):
+        rows = settled(rows, cap)
+    return rows.select("doc_id", "h", "size", "source_size", "target", "copies")
 
 
 def _short(rows: DataFrame, cap: int) -> tuple[DataFrame, Column]:
