@@ -34,7 +34,7 @@ from .graph import EDGES, components
 
 PERCENT = 80
 #: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
-PART, FLUSH, BLOCK, ROUNDS = 16 << 20, 3 << 20, 512, 2
+PART, FLUSH, BLOCK, ROUNDS = 24 << 20, 3 << 20, 512, 2
 #: Long lists probed at a time.
 PROBED = 64
 #: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
