@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, html_text, jaccard, mixing, neighbours, packing, quality, secrets, sstable, toxicity
+from . import centroids, divergence, fingerprint, html_text, jaccard, mixing, neardup, neighbours, packing, quality, secrets, sstable, toxicity
 from .common import shared_dir, table
 from .encoding import tokenizer_path
 
@@ -54,8 +54,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_token_shards, op3_source_mixing, op4_fingerprints, op5_secret_scan, op6_quality, op7_nearest_neighbours, op8_packing, op9_jaccard_join, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_token_shards, op3_source_mixing, op4_fingerprints, op5_secret_scan, op6_quality, op7_nearest_neighbours, op8_packing, op9_jaccard_join, op10_toxicity,
+        op11_centroid_clustering, op12_embedding_neardup, op13_source_divergence,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,4 +106,47 @@ def _secrets_sql() -> str:
  from documents left join ({found}) using (doc_id) group by doc_id"""
 
 
-ORACLES: dict[str, str] = {"op5_secret_scan": _secrets_sql(), "op9_jaccard_join": _JACCARD}
+#: Every source meets every other, every kept term: for small tables.
+_DIVERGENCE = rf"""with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents),
+ w as (select i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+ kept as (select lang, term from w group by lang, term having count(distinct i) >= {divergence.LEAST}), size as (select lang, count(*) as v from kept group by lang),
+ groups as (select distinct lang, source from d), counts as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+ every as (select lang, source, term, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by lang, source) as total, v from groups join kept using (lang) join size using (lang) left join counts using (lang, source, term)),
+ p as (select lang, source, term, n, 1 + ({divergence.ONE}::hugeint * (n + {divergence.ADDED})) // (total + {divergence.ADDED} * v) as p from every),
+ q as (select lang, term, 1 + ({divergence.ONE}::hugeint * (sum(n) + {divergence.ADDED})) // (any_value(t) + {divergence.ADDED} * any_value(v)) as q from every join (select lang, sum(n) as t from counts group by lang) using (lang) group by lang, term),
+ pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+ left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+ terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p join q using (lang, term) where n > 0 and p > q),
+ ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as r from (select * from pairs union all select * from terms))
+ select lang, source, part, item, value, r::int as rank from ranked where part = 'pair' or r <= {divergence.RANKS}"""
+
+
+
+def _clusters_sql() -> str:
+    """Every round as two common tables: the nearest centroid of each vector, and the centroids that follow."""
+    width, scale = centroids.WIDTH, centroids.SCALE
+    finite = "len(embedding) = {} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)".format(width)
+    parts = [
+        f"k as materialized (select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::hugeint) as v from embeddings where {finite})",
+        f"c0 as materialized (select row_number() over (order by sha256('3:' || vec_id), v) - 1 as c, v as m from k qualify c < {centroids.CLUSTERS})",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        far = "list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{i} as materialized (select vec_id, v, arg_min(c, (e, c)) as c, min(e) as e from (select vec_id, v, c, {far}::hugeint as e from k, c{i}) group by vec_id, v)")
+        if i < centroids.ROUNDS:
+            each = f"select c, j, sum(v[j])::hugeint as s, count(*) as n from a{i}, range(1, {width + 1}) t(j) group by c, j"
+            mean = "(s - ((s % n) + n) % n) // n"
+            parts.append(f"c{i + 1} as materialized (select c, coalesce(any_value(f.m), any_value(o.m)) as m from c{i} o left join (select c, list({mean} order by j) as m from ({each}) group by c) f using (c) group by c)")
+    last = centroids.ROUNDS
+    return f"""with {", ".join(parts)} select vec_id, c::int as cluster, e::bigint as distance, (sum(e) over (partition by c))::bigint as cluster_inertia, (sum(e) over ())::bigint as inertia,
+ sha256(array_to_string(m, ',')) as centroid_sha256 from a{last} join c{last} using (c)"""
+
+
+#: All pairs of a label, and their closure: for small tables.
+_NEARDUP = f"""with recursive r as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+ good as (select * from r where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is not null and isfinite(x))) = len(v) and len(list_filter(v, lambda x: x <> 0)) > 0),
+ pairs as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= {neardup.COSINE}),
+ reached as (select vec_id, vec_id as seen from r union select x.vec_id, p.b from reached x join pairs p on p.a = x.seen)
+ select vec_id, (select count(*) from pairs where a = vec_id)::bigint as n_links, min(seen) as component_id, vec_id = min(seen) as kept from reached group by vec_id"""
+
+ORACLES: dict[str, str] = {"op12_embedding_neardup": _NEARDUP, "op11_centroid_clustering": _clusters_sql(), "op5_secret_scan": _secrets_sql(), "op9_jaccard_join": _JACCARD, "op13_source_divergence": _DIVERGENCE}
