@@ -213,7 +213,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("least", "ranks", "shard", "tile"), [(3, 50, divergence.SHARD, divergence.TILE), (1, 2, 90, 2), (10**6, 50, 64, 1)])
+@pytest.mark.parametrize(("least", "ranks", "shard", "tile"), [(3, 50, divergence.SHARD, divergence.TILE), (1, 2, 50_000, 2), (10**6, 50, 64, 1)])
 def test_op13_brute_force(spark, texts, monkeypatch, least, ranks, shard, tile):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "CELLS", divergence.CELLS if tile > 2 else 40)
