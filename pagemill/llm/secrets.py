@@ -35,9 +35,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, needle="AKIA"),
     Rule("hex", r"[0-9a-f]{16,}"),  # a run counts whole or not at all, so its least length may stand in the pattern
 )
+#: What stands between a private key's BEGIN and END, its headers aside; line ends may be escaped.
+_KEY = r"[A-Za-z0-9+/=\x09-\x0D\x20\\]"
 MORE = (
-    # headers, then all up to the END line; where that is missing, the lines of base64
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s{1,4}[A-Za-z0-9-]{1,40}:[^\r\n]{0,200}){0,8}(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr]){1,4}[A-Za-z0-9+/=]{16,}+){0,1000}))", version=3, needle="-----BEGIN "),
+    # up to 64 headers, then all up to the END line; where that is missing, all up to the last run of 16 signs of base64 that only
+    # such signs and white space part from the rest. No group repeats without bound: Java follows each turn by recursion
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x09-\x0D\x20]++[A-Za-z0-9-]++:[^\r\n]*+){{0,64}}(?:{_KEY}*+-----END [A-Z ]*PRIVATE KEY-----|{_KEY}*[A-Za-z0-9+/=]{{16}}|)", version=4, needle="-----BEGIN "),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needle="eyJ"),
     Rule("code_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
