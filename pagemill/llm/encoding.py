@@ -46,17 +46,20 @@ class PieceIds(dict):
 
     def encode(self, piece: str) -> bytes:
         if self.kind == "whole" or not _LETTERS.fullmatch(piece):
-            return array(self.code, self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
+            return self.whole(self.before + piece)
         word = self.before + piece if self.kind == "space first" else piece.lower()  # one piece for the model, too
         return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is not None:
             self.keep(piece, ids)
             return ids
         if piece.isalpha():
             ids = self.encode(piece)
-        elif (body := piece.rstrip(_TAIL)) and len(body) < len(piece) and body[-1].isalpha():  # either pattern splits there
+        elif (body := piece.rstrip(_TAIL)) and len(body) < len(piece) and _LETTERS.fullmatch(body[-1]):  # either pattern splits after a letter that no normalizer changes
             ids = self[body] + self.plain[piece[len(body) :]]
         elif self.kind == "space first" and 0 < (i := piece.find("\n")) < len(piece) - 1 and not piece[i - 1].isspace() and not piece[i + 1].isspace():
             ids = self[piece[:i]] + self.plain["\n"] + self.plain[piece[i + 1 :]]
@@ -92,9 +95,11 @@ class TextIds:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # a text that holds an added token's string, in any case, is encoded whole
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         pre = spec["pre_tokenizer"] or {}
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]:
@@ -108,6 +113,8 @@ class TextIds:
         self.spaced.plain = self.pieces
 
     def __call__(self, text: str) -> bytes:
+        if self.added is not None and self.added.search(text):
+            return self.pieces.whole(text)
         if self.kind == "space dropped":
             return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "whole":

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagemill.llm import fingerprint, html_text, jaccard, mixing, neighbours, packing, quality, secrets, sstable, toxicity
 from pagemill.llm.common import shared_dir
@@ -73,10 +75,26 @@ def crc(ids):
 
 def test_cached_ids_are_the_tokenizers(rows):
     odd = ["a  b", "a   b \n c\n\n d", "x\n y", "  lead", "it's", "café, ́x, näive", "a\x1cb \x85c", "<|endoftext|> hi", '12 34.5, "q" .a', "A\tB", "l'eau.\n\nX  ", "İstanbul ΟΔΟΣ", "a b"]
+    odd += ["<|endoftext|>", "a <|ENDOFTEXT|>b", "x<|startoftext|>!<|endoftext|>", "<|end\noftext|>", "İ!", "aİ. İ,", "Σ! ΣΑΣ."]
     for path in (WORD, BYTE):
-        e = encoder(path)
+        e, untouched = encoder(path), Tokenizer.from_file(path)
         for text in [r[1] or "" for r in rows] + odd:
-            assert np.frombuffer(e(text), "<u4").tolist() == e.pieces.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(e(text), "<u4").tolist() == untouched.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cached_ids_over_all_of_unicode(path):
+    """Every code point before and after letters, signs, spaces and marks, and random texts of all of Unicode."""
+    e, untouched = encoder(path), Tokenizer.from_file(path)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = [" ".join(x) for c in points for x in ([f"{chr(c)}!", f"a{chr(c)}. b", f"{chr(c)}a", f"{chr(c)}\n{chr(c)} 1{chr(c)}"],)]
+    rng, signs = np.random.default_rng(1), " \n\t.,'!-aZ1éİß́\u0307"
+    for _ in range(60_000):
+        texts.append("".join(chr(points[i]) if i >= 0 else signs[-i % len(signs)] for i in rng.integers(-len(points), len(points), 12)))
+    for i in range(0, len(texts), 5000):
+        want = untouched.encode_batch(texts[i : i + 5000], add_special_tokens=False)
+        for text, ids in zip(texts[i : i + 5000], want):
+            assert e(text) == np.array(ids.ids, "<u4").tobytes(), repr(text)
 
 
 def test_op1_main_text():
@@ -291,6 +309,17 @@ def test_op5_private_key_whole(spark):
     assert got[-1].startswith("one ") and " two " in got[-1] and got[-1].endswith(" three")
 
 
+@pytest.mark.parametrize("lines", [1500, 300_000])
+def test_op5_private_key_of_any_number_of_lines(spark, lines):
+    body = [("MIIE" + "aB3+/x9Z" * 7 + f"{i:06d}")[-64:] for i in range(lines)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "\n".join(f"X-Header-{i}: {'v' * (i * 20)}" for i in range(40))
+    keys = [sign.join([begin, *body, *tail]) for sign in ("\n", "\r\n", "\\n", "\n    ") for tail in ([], [end])] + ["\n".join([begin, head, "", *body, *tail]) for tail in ([], [end])]
+    docs = spark.createDataFrame([(i, f"before {k}\nplain words after it: <b>") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = [r.text for r in secrets.redacted(docs, f"{shared_dir(spark)}/keys").orderBy("doc_id").collect()]
+    assert got == ["before [SECRET]\nplain words after it: <b>"] * len(keys)
+
+
 def test_op6_and_op10(spark, docs, none):
     real, labels = spark.read.parquet(f"{DIR}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DIR}/../sf0.01/labels.parquet")
     for scores, label, least in ((quality.quality_scores, "quality", 0.93), (toxicity.toxicity_scores, "toxic", 0.88)):
