@@ -80,9 +80,9 @@ class Vocabulary:
     """Kept terms of some languages; a worker builds a language's automaton when it first meets one of its texts."""
 
     def __init__(self, rows: pa.Table):
-        self.terms: dict[str, list[str]] = {}
-        for lang, term in zip(rows.column("lang").to_pylist(), rows.column("term").to_pylist()):
-            self.terms.setdefault(lang, []).append(term)
+        self.terms: dict[str, list[tuple[str, int]]] = {}
+        for lang, term, number in zip(*(rows.column(c).to_pylist() for c in ("lang", "term", "id"))):
+            self.terms.setdefault(lang, []).append((term, number))
         self.built: dict[str, object] = {}
 
     def automaton(self, lang: str):
@@ -90,8 +90,8 @@ class Vocabulary:
             from ahocorasick import Automaton
 
             self.built[lang] = a = Automaton()
-            for i, term in enumerate(self.terms[lang]):
-                a.add_word(f" {term} ", i)
+            for term, number in self.terms[lang]:
+                a.add_word(f" {term} ", number)
             a.make_automaton()
         return self.built[lang]
 
@@ -103,16 +103,16 @@ class Vocabulary:
 
 
 def postings(docs: DataFrame, kept: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(lang, source, term, n): how often each kept term (lang, term) of its language occurs in a source, where it does.
+    """(lang, source, id, n): how often each kept term (lang, term, id) of its language occurs in a source, where it does.
 
     The vocabulary goes to the tasks in parts of about ``shard`` bytes, dealt by hash, with one scan of ``docs`` for each part.
     """
     spark = docs.sparkSession
     total = kept.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    parts, names = -(-total // shard), ["lang", "source", "term", "n"]
-    found = spark.createDataFrame([], "lang string, source string, term string, n long")
+    parts, kind = -(-total // shard), "lang string, source string, id long, n long"
+    found = spark.createDataFrame([], kind)
     for k in range(parts):
-        vocabulary = spark.sparkContext.broadcast(Vocabulary(kept.where(F.pmod(F.xxhash64("lang", "term"), F.lit(parts)) == k).select("lang", "term").toArrow()))
+        vocabulary = spark.sparkContext.broadcast(Vocabulary(kept.where(F.pmod(F.xxhash64("lang", "term"), F.lit(parts)) == k).select("lang", "term", "id").toArrow()))
 
         def count(batches, vocabulary=vocabulary):
             v: Vocabulary = vocabulary.value
@@ -120,8 +120,8 @@ def postings(docs: DataFrame, kept: DataFrame, shard: int = SHARD) -> DataFrame:
 
             def out():
                 for (lang, source), counts in seen.items():
-                    terms = v.terms[lang]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in ([lang] * len(counts), [source] * len(counts), [terms[i] for i in counts])), pa.array(counts.values(), pa.int64())], names)
+                    own = [pa.array([x] * len(counts), pa.string()) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["lang", "source", "id", "n"])
                 seen.clear()
 
             for batch in batches:
@@ -136,7 +136,7 @@ def postings(docs: DataFrame, kept: DataFrame, shard: int = SHARD) -> DataFrame:
             yield from out()
 
         # Each part goes through its own cut, so that its vocabulary need not outlive its scan
-        one = _plain(docs).mapInArrow(count, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        one = _plain(docs).mapInArrow(count, kind).groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))
         found = found.unionByName(cut(one)) if parts > 1 else cut(one)
     return found
 
@@ -152,17 +152,17 @@ def _tiles(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, f, u) of every two sources a < b (numbers) of a language: f sums the differences of their rates over ``u`` terms; a term
     outside of these occurs in neither. Sources meet by tiles, terms by blocks, so no task holds more than ``CELLS`` cells and no
     pair of rows is ever sent."""
-    block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
-    rows = counts.join(groups, ["lang", "source"]).select("lang", "s", "tiles", "term", _rate(F.col("n"), F.col("total"), F.col("size")).alias("p"), block.alias("block"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = counts.join(groups, ["lang", "source"]).select("lang", "s", "tiles", "id", _rate(F.col("n"), F.col("total"), F.col("size")).alias("p"), block.alias("block"))
     # and each source once in every block, with the rate of a term that it lacks
-    lacks = groups.select("lang", "s", "tiles", F.lit(None).cast("string").alias("term"), "p0", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    lacks = groups.select("lang", "s", "tiles", F.lit(None).cast("long").alias("id"), "p0", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows = rows.unionByName(lacks.withColumnRenamed("p0", "p")).withColumn("tile", F.expr(f"s div {TILE}")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    rows = rows.select("lang", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "s", "term", "p")
+    rows = rows.select("lang", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "s", "id", "p")
 
     def differences(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         s, p = t.column("s").to_numpy(), t.column("p").to_numpy()
-        terms = t.column("term").combine_chunks().dictionary_encode()
+        terms = t.column("id").combine_chunks().dictionary_encode()
         at = terms.indices.fill_null(-1).to_numpy(zero_copy_only=False)
         sources = np.unique(s)
         rates = np.zeros((len(sources), len(terms.dictionary)), np.int64)
@@ -193,7 +193,7 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, shard: int =
     1 has the largest value, ties go by the item's bytes. A language without kept terms gives pairs of value 0 and no
     terms; a language with one source gives no pairs; an empty table gives nothing. Repeated rows count each time.
     """
-    kept = cut(frequencies(docs).where(F.col("n") >= least).select("lang", "term"))
+    kept = cut(frequencies(docs).where(F.col("n") >= least).select("lang", "term", F.monotonically_increasing_id().alias("id")))
     counts = cut(postings(docs, kept, shard))
     size = kept.groupBy("lang").agg(F.count("*").alias("size"))
     total = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -212,11 +212,11 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, shard: int =
     both = F.explode(F.array(F.struct(F.col("source_a").alias("source"), F.col("source_b").alias("item")), F.struct(F.col("source_b").alias("source"), F.col("source_a").alias("item"))))
     pairs = pairs.select("lang", value.alias("value"), both.alias("x")).select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
 
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
+    whole = kept.join(counts.groupBy("id").agg(F.sum("n").alias("n_lang")), "id")
     all_of = groups.groupBy("lang").agg(F.sum("total").alias("total_lang"), F.first("size").alias("size"))
-    whole = whole.join(all_of, "lang").select("lang", "term", _rate(F.col("n_lang"), F.col("total_lang"), F.col("size")).alias("q"))
+    whole = whole.join(all_of, "lang").select("id", "term", _rate(F.col("n_lang"), F.col("total_lang"), F.col("size")).alias("q"))
     p = _rate(F.col("n"), F.col("total"), F.col("size"))
-    terms = counts.join(whole, ["lang", "term"]).join(groups.select("lang", "source", "total", "size"), ["lang", "source"]).withColumn("value", p - F.col("q"))
+    terms = counts.join(whole, "id").join(groups.select("lang", "source", "total", "size"), ["lang", "source"]).withColumn("value", p - F.col("q"))
     terms = terms.where("value > 0").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
 
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
