@@ -483,12 +483,12 @@ def greedy_span_match(spark, d):
     return layout.greedy_match(w.where("ord % 2 = 0").select("page", F.col("ord").alias("id"), "text", "x"), w.where("ord % 2 = 1").select("page", "ord", "text", "x"))
 
 
-from . import catalog_lines, catalog_packet  # noqa: E402  they use the fragments above
+from . import catalog_folds, catalog_lines, catalog_packet  # noqa: E402  they use the fragments above
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _Q | catalog_lines.queries() | catalog_packet.queries()
+    return _Q | catalog_lines.queries() | catalog_packet.queries() | catalog_folds.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_lines.oracle_sql() | catalog_packet.oracle_sql()
+    return _SQL | catalog_lines.oracle_sql() | catalog_packet.oracle_sql() | catalog_folds.oracle_sql()
