@@ -464,11 +464,6 @@ def hash_vector_search(spark, d):
     return retrieval.vector_search(retrieval.vector_index(r, provider), "tion the and of", provider)
 
 
-@_query()
-def row_cluster(spark, d):
-    return layout.cluster_rows(v.boxes(spark, d))
-
-
 @_query()
 def ocr_tables(spark, d):
     e = v.table(spark, d, "events").select(F.expr("event_id div 30").alias("page"), F.col("event_id").alias("ord"), F.expr("event_id % 30 div 3").alias("row"), (F.col("event_id") % 3).alias("col"), "event_type")
@@ -477,12 +472,6 @@ def ocr_tables(spark, d):
     return layout.ocr_tables(e).select("page", "table", "class", "confidence", F.to_json("rows").alias("rows"))
 
 
-@_query()
-def greedy_span_match(spark, d):
-    w = v.words(spark, d).withColumnRenamed("word", "text").withColumnRenamed("x0", "x")
-    return layout.greedy_match(w.where("ord % 2 = 0").select("page", F.col("ord").alias("id"), "text", "x"), w.where("ord % 2 = 1").select("page", "ord", "text", "x"))
-
-
 from . import catalog_folds, catalog_lines, catalog_packet  # noqa: E402  they use the fragments above
 
 

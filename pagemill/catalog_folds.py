@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _WORD
-from .operators import denylist, layout
+from .operators import denylist, layout, ordered
 from .plans import views as v
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,49 @@ def denylist_terms(spark, d):
     return found.groupBy("term").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("lines"))
 
 
+# --- folds in order ---------------------------------------------------------------------------------------------------
+
+#: Texts one after another: each state holds the spans that are taken.
+_GREEDY = f"""with recursive t as (select page, word, ord as id, x0 as x, row_number() over (partition by page, word order by ord) as i from {_WORD} where ord % 2 = 0),
+ s as (select page, word, list({{'span': ord, 'x': x0}}) as spans from {_WORD} where ord % 2 = 1 group by 1, 2),
+ f as (select page, word, 0::bigint as i, null::bigint as id, null::struct(away double, span bigint) as best, []::bigint[] as taken from s
+ union all select page, word, i, id, best, case when best is null then taken else list_append(taken, best.span) end from (
+ select f.page, f.word, t.i, t.id, f.taken, list_min(list_transform(list_filter(s.spans, lambda z: not list_contains(f.taken, z.span) and abs(z.x - t.x) <= 6), lambda z: {{'away': abs(z.x - t.x), 'span': z.span}})) as best
+ from f join t on t.page = f.page and t.word = f.word and t.i = f.i + 1 join s on s.page = f.page and s.word = f.word))
+ select page, id, best.span as span, best.away as away from f where best is not null"""
+
+
+@_query(_GREEDY)
+def greedy_span_match(spark, d):
+    w = v.words(spark, d).withColumnRenamed("word", "text").withColumnRenamed("x0", "x")
+    return layout.greedy_match(w.where("ord % 2 = 0").select("page", F.col("ord").alias("id"), "text", "x"), w.where("ord % 2 = 1").select("page", "ord", "text", "x"))
+
+
+def _rows_sql(boxes: str, order: str, edge: str, moved: str) -> str:
+    """Boxes one after another: each state holds the centres of the page's rows; ``slot`` is the row that the box joins, or a new one."""
+    return f"""with recursive b as (select page, ord, x0, {edge} as e, row_number() over (partition by page order by {order}) as i from {boxes}),
+ f as (select distinct page, 0::bigint as i, null::bigint as slot, []::struct(c double, n bigint)[] as r from b
+ union all select page, i, coalesce(nullif(slot, 0), len(r) + 1), case when coalesce(slot, 0) = 0 then list_append(r, {{'c': e, 'n': 1::bigint}}) else list_transform(r, lambda z, k: case when k = slot then {{'c': {moved}, 'n': z.n + 1}} else z end) end from (
+ select f.page, b.i, b.e, f.r, list_position(list_transform(f.r, lambda z: abs(b.e - z.c) <= 5), true) as slot from f join b on b.page = f.page and b.i = f.i + 1)),
+ last as (select page, arg_max(r, i) as r from f group by page)
+ select page, (dense_rank() over (partition by page order by c, slot) - 1)::int as row, (row_number() over (partition by page, slot order by x0, i) - 1)::int as place, ord from (
+ select page, ord, x0, i, f.slot, last.r[f.slot].c as c from f join b using (page, i) join last using (page))"""
+
+
+@_query(_rows_sql(f"(select * from {_BOX} where x1 > x0 and y1 > y0)", "y0, x0, ord", "(y0 + y1) / 2", "(z.c * z.n + e) / (z.n + 1)"))
+def row_cluster(spark, d):
+    return layout.cluster_rows(v.boxes(spark, d))
+
+
+#: Tops between whole numbers, so that bands and rows differ; by twos some stand on the edge of a band.
+_TOPS = f"(select page, ord, x0, y0 + (ord % 10) * 0.75 as y0 from {_BOX})"
+
+
+@_query(_rows_sql(_TOPS, "round_even(y0 / 5, 0), x0, ord", "y0", "(z.c + e) / 2"))
+def word_rows(spark, d):
+    return ordered.word_rows(v.boxes(spark, d).withColumn("y0", F.expr("y0 + (ord % 10) * 0.75D")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _Q
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import denylist, layout
+from pagemill.operators import denylist, layout, ordered
 
 
 # --- deny lists -------------------------------------------------------------------------------------------------------
@@ -62,3 +62,94 @@ def test_many_terms(spark):
     lines = [(r.doc_id, i, denylist.folded(x)) for r in rows if r.doc_id % 100 == 0 for i, x in enumerate((r.text or "").splitlines(), 1)]
     want = Counter({(d, i, f): n for d, i, line in lines for f, n in forms.items() if f in line})
     assert len(terms) > 45_000 and len(want) > 100 and found == want
+
+
+# --- matches ----------------------------------------------------------------------------------------------------------
+
+
+def plain_matches(texts, spans, most):
+    out, used = Counter(), set()
+    for page, i, text, x in sorted(texts, key=lambda t: t[1]):
+        if not text or re.fullmatch(r"(?:\d{1,3}|[A-Za-z])\.", text) or text in {"•", "●", "-"}:
+            continue
+        free = [(abs(sx - x), o) for p, o, s, sx in spans if (p, s) == (page, text) and o not in used]
+        if free and min(free)[0] <= most:
+            used.add(min(free)[1])
+            out[page, i, min(free)[1], min(free)[0]] += 1
+    return out
+
+
+@pytest.mark.parametrize("grain", [0.5, 3.0, 1e-3])
+def test_greedy_match(spark, grain):
+    """Crowded places with ties on both sides, chains of texts that want one span, and what has no span."""
+    rng = np.random.default_rng(8)
+    words = ["a", "b", "12.", "x.", "-", "●", ""]
+    at = lambda n: (rng.integers(0, 60, n) * grain + rng.choice([0, 0, 40], n)).tolist()
+    texts = [(int(rng.integers(0, 3)), i, words[int(rng.integers(0, 7))], x) for i, x in enumerate(at(500))]
+    spans = [(int(rng.integers(0, 3)), 1000 + i, words[int(rng.integers(0, 7))], x) for i, x in enumerate(at(400))]
+    left = spark.createDataFrame([*texts, (1, 9000, None, 1.0), (None, 9001, "a", 1.0)], "page long, id long, text string, x double").repartition(4)
+    right = spark.createDataFrame([*spans, (1, 9002, None, 1.0), (1, 9003, "a", None)], "page long, ord long, text string, x double").withColumn("id", F.lit(0))
+    got = Counter(map(tuple, layout.greedy_match(left, right).select("page", "id", "span", "away").collect()))
+    want = plain_matches(texts, spans, 6.0)
+    assert got == want and len(want) > 50
+    assert layout.greedy_match(left.limit(0), right).count() == layout.greedy_match(left, right.limit(0)).count() == 0
+
+
+def test_greedy_match_of_one_crowd():
+    """One wording at one place: each search costs little, however many there are."""
+    n = 100_000
+    got = list(ordered.cluster_matches([(i, 5.0) for i in range(n)], [(5.0 + (i % 3) * 0.5, i) for i in range(n)], 6.0))
+    assert len(got) == n and [s for _, s, _ in got[:4]] == [0, 3, 6, 9] and got[-1][2] == 1.0
+
+
+# --- rows -------------------------------------------------------------------------------------------------------------
+
+
+def plain_rows(boxes, order, edge, moved, tolerance):
+    rows = []
+    for b in sorted(boxes, key=order):
+        for row in rows:
+            if abs(row[0] - edge(b)) <= tolerance:
+                row[0] = moved(row[0], len(row[1]), edge(b))
+                row[1].append(b)
+                break
+        else:
+            rows.append([edge(b), [b]])
+    rows.sort(key=lambda r: r[0])
+    return Counter((b[0], i, k, b[1]) for i, r in enumerate(rows) for k, b in enumerate(sorted(r[1], key=lambda b: b[2])))
+
+
+@pytest.mark.parametrize("tolerance", [5.0, 3.0, 0.7])
+def test_rows_of_boxes_and_words(spark, tolerance):
+    rng = np.random.default_rng(3)
+    boxes = [(p, p * 1000 + i, float(rng.integers(0, 9)), float(rng.integers(0, 240)) / 4, 0.0, 0.0) for p in range(4) for i in range(150)]
+    boxes = [(p, o, x, y, x + int(rng.integers(0, 4)), y + float(rng.choice([-1, 0, 2, 8.5, 30]))) for p, o, x, y, _, _ in boxes]
+    df = spark.createDataFrame(boxes, "page long, ord long, x0 double, y0 double, x1 double, y1 double").repartition(5).withColumn("row", F.lit(9)).withColumn("made", F.lit(1))
+    for p in range(4):
+        mine = [b for b in boxes if b[0] == p]
+        solid = [b for b in mine if b[4] > b[2] and b[5] > b[3]]
+        got = Counter(map(tuple, ordered.box_rows(df.where(f"page = {p}"), tolerance).collect()))
+        assert got == plain_rows(solid, lambda b: (b[3], b[2], b[1]), lambda b: (b[3] + b[5]) / 2, lambda c, n, e: (c * n + e) / (n + 1), tolerance)
+        got = Counter(map(tuple, ordered.word_rows(df.where(f"page = {p}"), tolerance).collect()))
+        assert got == plain_rows(mine, lambda b: (round(b[3] / tolerance), b[2], b[1]), lambda b: b[3], lambda c, n, e: (c + e) / 2, tolerance)
+    assert ordered.box_rows(df.limit(0)).count() == 0
+
+
+def test_streamed_rows_are_those_of_the_array_fold(spark):
+    """ocr_tables folds a page as one array; its rows are the streamed ones, on all events."""
+    from pagemill.plans import views
+
+    boxes = views.boxes(spark, "/root/testdata/sf0.01")
+    array = layout._page_rows(boxes, {}, 5.0).select("page", F.posexplode("rows").alias("row", "b")).select("page", "row", F.posexplode("b").alias("place", "b")).select("page", "row", "place", "b.ord")
+    assert Counter(map(tuple, array.collect())) == Counter(map(tuple, layout.cluster_rows(boxes).collect()))
+
+
+def test_rows_hold_little(monkeypatch):
+    """Of a page of any length only the rows near the current height are open."""
+    most = 0
+    found = ordered.stacked(((float(i // 3), float(i // 3), i % 3, i) for i in range(200_000)), 0.4, True)
+    for k, (number, centre, place, _) in enumerate(found):
+        if k % 50_000 == 0:
+            most = max(most, len(found.gi_frame.f_locals["open_"]))
+        assert centre == number and place == k % 3
+    assert k == 199_999 and most <= 3
