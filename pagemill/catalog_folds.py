@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _WORD
-from .operators import denylist, layout, ordered
+from .operators import denylist, layout, ordered, trees
 from .plans import views as v
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,77 @@ def word_rows(spark, d):
     return ordered.word_rows(v.boxes(spark, d).withColumn("y0", F.expr("y0 + (ord % 10) * 0.75D")))
 
 
+# --- trees ------------------------------------------------------------------------------------------------------------
+
+#: Each page's text as a drawing: a layer for odd and for even lines, a text for each line with its first word and the rest in spans.
+_PLAIN = r"regexp_replace(regexp_replace({html}, '<[^>]*>', ' '{g}), '[\x00-\x08\x0b-\x1f]+', ' '{g})"
+_TREE_LINES = f"select page_id, posexplode(filter(transform(split({_PLAIN.format(html='html', g='').replace(chr(92), chr(92) * 2)}, '\n'), x -> trim(regexp_replace(x, ' +', ' '))), x -> x <> '')) as (i, line) from {{pages}}"
+
+
+def _escape(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def drawings(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, xml), well-formed."""
+    lines = spark.sql(_TREE_LINES, pages=v.table(spark, d, "pages"))
+    text = f"concat('<text id=\"', i, '\" x=\"', length(line), '\">', {_escape('substring_index(line, chr(32), 1)')}, '<tspan>', {_escape('substr(line, length(substring_index(line, chr(32), 1)) + 1)')}, '</tspan>;</text>')"
+    layers = lines.selectExpr("page_id", "i", "i % 2 as layer", f"{text} as t").groupBy("page_id", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda p: p["t"]), "").alias("t"))
+    g = F.concat(F.lit('<g class="layer" id="layer-'), "layer", F.lit('">'), "t", F.lit("</g>"))
+    return layers.groupBy("page_id").agg(F.concat(F.lit("<svg><defs/>"), F.array_join(F.array_sort(F.collect_list(g)), ""), F.lit("</svg>")).alias("xml"))
+
+
+_LINE_ROWS = f"""(select page_id, (i - 1) as i, line from (select page_id, generate_subscripts(l, 1) as i, unnest(l) as line from (
+ select page_id, list_filter(list_transform(string_split({_PLAIN.format(html="html", g=", 'g'")}, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') as l from pages)))"""
+
+
+@_query(f"""with l as {_LINE_ROWS} select page_id, tag, parent_tag, depth, n from (select distinct page_id from l) join (select * from (values ('svg', null, 0), ('defs', 'svg', 1), ('g', 'svg', 1), ('text', 'g', 2), ('tspan', 'text', 3)) t(tag, parent_tag, depth)) on true
+ join (select page_id as p, count(*) as lines, least(count(*), 2) as layers from l group by 1) on p = page_id, lateral (select case when tag in ('svg', 'defs') then 1 when tag = 'g' then layers else lines end as n)""")
+def tree_parents(spark, d):
+    """How many nodes of each name stand under which, and how deep."""
+    nodes = trees.with_parents(trees.shred(drawings(spark, d), "page_id"), "page_id", {"tag": "parent_tag"})
+    return nodes.groupBy("page_id", "tag", "parent_tag", "depth").agg(F.count("*").alias("n"))
+
+
+@_query(f"select page_id, i::varchar as id, line || ';' as value from {_LINE_ROWS}")
+def tree_texts(spark, d):
+    """All that each text element holds."""
+    nodes = trees.with_text_values(trees.shred(drawings(spark, d), "page_id"), "page_id")
+    return nodes.where("tag = 'text'").select("page_id", trees.attribute("id").alias("id"), "value")
+
+
+@_query(f"select page_id, 'layer-' || (i % 2) as layer, count(*) as spans, sum(length(line))::bigint as x from {_LINE_ROWS} group by 1, 2")
+def tree_layers(spark, d):
+    """Spans within each layer, found by its class, and the sum of their texts' places."""
+    nodes = trees.shred(drawings(spark, d), "page_id")
+    layers = nodes.where((F.col("tag") == "g") & (trees.attribute("class") == "layer"))
+    inside = trees.descendants(nodes, "page_id", layers, "g")
+    named = layers.select("page_id", F.col("node").alias("g"), trees.attribute("id").alias("layer"))
+    sums = F.count_if(F.col("tag") == "tspan").alias("spans"), F.sum(trees.attribute("x").cast("long")).alias("x")
+    return inside.join(named, ["page_id", "g"]).groupBy("page_id", "layer").agg(*sums)
+
+
+_EDITED = """'<svg><defs><style>f' || page_id || '</style></defs>' || string_agg(g, '' order by layer) || '</svg>'"""
+
+
+@_query(f"""select page_id, sha256({_EDITED}) as sha256, strlen({_EDITED})::bigint as bytes from (select page_id, i % 2 as layer, '<g class="layer" id="layer-' || (i % 2) || '">' || string_agg('<text id="' || i || '" x="0"><tspan>' || {_escape("line")} || '</tspan><tspan dy="' || length(line) || '" /></text>', '' order by i) || '</g>' as g from {_LINE_ROWS} group by 1, 2) group by 1""")
+def tree_edits(spark, d):
+    """Drawings edited and written: a style in their definitions, and each text's content replaced by two spans, its place set to 0."""
+    nodes = trees.shred(drawings(spark, d), "page_id")
+    texts = trees.with_text_values(nodes, "page_id").where("tag = 'text'")
+    lines = texts.select("page_id", "node", F.expr("left(value, length(value) - 1)").alias("line"))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    children = [
+        lines.select("page_id", F.col("node").alias("parent"), F.lit(0).alias("place"), F.lit("tspan").alias("tag"), none.alias("attributes"), F.col("line").alias("text")),
+        lines.select("page_id", F.col("node").alias("parent"), F.lit(1).alias("place"), F.lit("tspan").alias("tag"), trees.with_attribute(none, "dy", F.length("line").cast("string")).alias("attributes"), F.lit(None).cast("string").alias("text")),
+        nodes.where("tag = 'defs'").select("page_id", F.col("node").alias("parent"), F.lit(0).alias("place"), F.lit("style").alias("tag"), none.alias("attributes"), F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("text")),
+    ]
+    children = children[0].unionByName(children[1]).unionByName(children[2]).withColumn("tail", F.lit(None).cast("string"))
+    moved = trees.updated(nodes, "page_id", texts.select("page_id", "node", trees.with_attribute(F.col("attributes"), "x", F.lit("0")).alias("attributes")))
+    xml = trees.written(trees.appended(trees.emptied(moved, "page_id", texts), "page_id", children), "page_id")
+    return xml.select("page_id", F.sha2("xml", 256).alias("sha256"), F.octet_length("xml").cast("long").alias("bytes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _Q
 

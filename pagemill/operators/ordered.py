@@ -12,18 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def streamed(rows: DataFrame, by: list[str], order: list, fold: Callable[[Iterator[tuple]], Iterator[tuple]], out: str) -> DataFrame:
     """What ``fold`` makes of the rows of each group, in order. Groups are dealt by hash; of each the rows come as they are needed."""
-    kind = rows.sparkSession.createDataFrame([], out).schema
+    kind = StructType.fromDDL(out)
     ordered = rows.repartition(*by).sortWithinPartitions(*by, *order)
     size, names = len(by), rows.columns
     places = [names.index(b) for b in by]
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         schema = to_arrow_schema(kind)
 
         def every():

@@ -1,14 +1,16 @@
 """Deny lists, matches, rows and trees against plain Python."""
 
+import copy
 import re
 import sys
+import xml.etree.ElementTree as ET
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import denylist, layout, ordered
+from pagemill.operators import denylist, layout, ordered, trees
 
 
 # --- deny lists -------------------------------------------------------------------------------------------------------
@@ -153,3 +155,89 @@ def test_rows_hold_little(monkeypatch):
             most = max(most, len(found.gi_frame.f_locals["open_"]))
         assert centre == number and place == k % 3
     assert k == 199_999 and most <= 3
+
+
+# --- trees ------------------------------------------------------------------------------------------------------------
+
+
+def random_tree(rng, depth=0):
+    e = ET.Element(str(rng.choice(["g", "text", "tspan", "svg:a"])), {str(k): str(rng.choice(["1", "a&b", 'q"<', "é\n\t", ""])) for k in rng.permutation(["x", "id", "class"])[: rng.integers(0, 4)]})
+    e.text = str(rng.choice(["", "some text", "1 < 2 & 3 > 2", " \n ", "日本"])) or None
+    for _ in range(int(rng.integers(0, 5)) if depth < 4 else 0):
+        e.append(random_tree(rng, depth + 1))
+        e[-1].tail = str(rng.choice(["", "tail", "&amp;", "\n"])) or None
+    return e
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    rng = np.random.default_rng(6)
+    roots = {i: random_tree(rng) for i in range(60)}
+    rows = [(i, ET.tostring(e, encoding="unicode")) for i, e in roots.items()]
+    odd = [(100, None), (101, ""), (102, "<a>"), (103, "<a></b>"), (104, "text"), (105, "<!-- c --><?pi x?><a><![CDATA[<&>]]><!-- in -->x<?pi?></a>"), (106, "<a>" * 300 + "</a>" * 300)]
+    df = spark.createDataFrame(rows + odd, "id long, xml string").repartition(4).withColumn("begin", F.lit(1)).withColumn("tag", F.lit("z"))
+    return roots, df, trees.shred(df, "id")
+
+
+def test_round_trip(forest):
+    roots, df, nodes = forest
+    got = {r.id: r.xml for r in trees.written(nodes, "id").collect()}
+    assert all(got[i] == ET.tostring(e, encoding="unicode") for i, e in roots.items())
+    assert got[105] == "<a>&lt;&amp;&gt;x</a>" and got[106] == "<a>" * 299 + "<a />" + "</a>" * 299 and set(got) == {*roots, 105, 106}
+    assert {r.id for r in trees.parse_errors(df, "id").collect()} == {100, 101, 102, 103, 104}
+    assert trees.written(nodes.limit(0), "id").count() == 0
+
+
+def test_relations(forest):
+    roots, _, nodes = forest
+    mine = nodes.where("id < 60")
+    number = {i: {id(e): k for k, e in enumerate(root.iter())} for i, root in roots.items()}
+    up = {(r.id, r.node): (r.parent, r.up) for r in trees.with_parents(mine, "id", {"tag": "up"}).collect()}
+    want = {(i, n[id(c)]): (n[id(p)], p.tag) for i, n in number.items() for p in roots[i].iter() for c in p}
+    assert up == want | {(i, 0): (None, None) for i in roots}
+    beside = {(r.id, r.node): (r.place, r.before, r.after) for r in trees.with_siblings(mine, "id").where("parent is not null").collect()}
+    for i, n in number.items():
+        for p in roots[i].iter():
+            c = [n[id(x)] for x in p]
+            assert all(beside[i, x] == (k, c[k - 1] if k else None, c[k + 1] if k + 1 < len(c) else None) for k, x in enumerate(c))
+    inner = Counter((r.id, r.ancestor, r.node) for r in trees.descendants(mine, "id", mine.where("tag = 'g'")).collect())
+    assert inner == Counter((i, n[id(a)], n[id(x)]) for i, n in number.items() for a in roots[i].iter("g") for x in a.iter() if x is not a)
+    values = {(r.id, r.node): r.value for r in trees.with_text_values(nodes, "id").collect()}
+    assert all(values[i, n[id(e)]] == "".join(e.itertext()) for i, n in number.items() for e in roots[i].iter()) and values[105, 0] == "<&>x"
+    x = {(r.id, r.node): r.x for r in mine.select("id", "node", trees.attribute("x").alias("x")).collect()}
+    assert all(x[i, n[id(e)]] == e.get("x") for i, n in number.items() for e in roots[i].iter())
+
+
+def test_edits(spark, forest):
+    roots, _, nodes = forest
+    mine, number = nodes.where("id < 60"), {}
+    after = {i: copy.deepcopy(e) for i, e in roots.items()}
+    # every text's content is replaced by two spans, every g of a text goes with its tail, and the places of spans are set
+    gone = trees.with_parents(mine, "id", {"tag": "up"}).where("tag = 'g' and up = 'svg:a'")
+    set_ = mine.where("tag = 'tspan'").select("id", "node", trees.with_attribute(F.col("attributes"), "x", F.lit("9")).alias("attributes"), F.lit("new").alias("text"))
+    texts = mine.where("tag = 'text'")
+    new = texts.select("id", F.col("node").alias("parent"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("place")).withColumns({"tag": F.lit("s"), "attributes": F.array().cast("array<struct<name:string,value:string>>"), "text": F.col("place").cast("string"), "tail": F.lit("~")})
+    new = new.unionByName(new.limit(1).withColumn("parent", F.lit(10**6).cast("long")))
+    edited = trees.appended(trees.emptied(trees.without(trees.updated(mine, "id", set_), "id", gone), "id", texts), "id", new)
+    for root in after.values():
+        for p in list(root.iter()):
+            if p.tag == "tspan":
+                p.set("x", "9")
+                p.text = "new"
+            if p.tag == "svg:a":
+                for c in [c for c in p if c.tag == "g"]:
+                    p.remove(c)
+        for p in list(root.iter("text")):
+            for c in list(p):
+                p.remove(c)
+            p.text = None
+            for k in ("1", "2"):
+                c = ET.SubElement(p, "s")
+                c.text, c.tail = k, "~"
+    got = {r.id: r.xml for r in trees.written(edited, "id").collect()}
+    want = {i: ET.tostring(e, encoding="unicode") for i, e in after.items()}
+    assert got == want and sum(want[i] != ET.tostring(e, encoding="unicode") for i, e in roots.items()) > 30
+    # the numbers are those of reading the result
+    again = trees.shred(spark.createDataFrame(list(want.items()), "id long, xml string"), "id")
+    columns = ["id", "node", "begin", "end", "parent", "depth", "tag"]
+    assert Counter(map(tuple, edited.select(columns).collect())) == Counter(map(tuple, again.select(columns).collect()))
