@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _BOX, _LINES, _WORD
+from .catalog import _BOX, _LINES, _RECORD, _WORD
 from .operators import denylist, layout, ordered, trees
 from .plans import views as v
+from .sources import books
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -171,6 +172,31 @@ def tree_edits(spark, d):
     return xml.select("page_id", F.sha2("xml", 256).alias("sha256"), F.octet_length("xml").cast("long").alias("bytes"))
 
 
+# --- books and indexes ------------------------------------------------------------------------------------------------
+
+
+@_query("select page_id::int as page, count(*) as entries, sum(length(line))::bigint as signs, min(i)::int as first, max(i)::int as last from (select page_id, generate_subscripts(l, 1) - 1 as i, unnest(l) as line from (select page_id, string_split(html, '>') as l from pages)) where i % 5 <> 3 group by 1")
+def book_entries(spark, d):
+    """Pages written as a book of page manifests, one entry for each piece of the page (each fifth isn't an object), and read again."""
+    entry = lambda x, i: F.when(i % 5 != 3, F.struct(x.alias("text"), i.alias("at")))
+    pages = v.table(spark, d, "pages").select(F.col("page_id").cast("int").alias("page"), F.transform(F.split("html", ">"), entry).alias("entries"))
+    document = F.to_json(F.struct("page", "entries"), {"ignoreNullFields": "false"})
+    manifest = books.write_book(pages.select("page", document.alias("document")), books.shared_folder(spark))
+    found = books.book_entries(spark, manifest).withColumn("e", F.from_json("entry", "text string, at int"))
+    return found.groupBy("page").agg(F.count("*").alias("entries"), F.sum(F.length("e.text")).cast("long").alias("signs"), F.min("e.at").alias("first"), F.max("ord").alias("last"))
+
+
+@_query(f"select record_type, count(*) as listed, count(*) as found, sum(length(text))::bigint as signs from {_RECORD} group by 1")
+def index_round_trip(spark, d):
+    """All records written as one index and read again: what its manifest lists of each type, and what is there."""
+    records = v.records(spark, d).select("record_id", "record_type", "page", "text", "metadata")
+    path = books.shared_folder(spark)
+    counts = books.write_records(records, path, "v3")["record_counts"]  # one for each type
+    listed = spark.createDataFrame(list(counts.items()), "record_type string, listed long")
+    back = books.read_records(spark, path, records.schema).groupBy("record_type").agg(F.count("*").alias("found"), F.sum(F.length("text")).cast("long").alias("signs"))
+    return listed.join(back, "record_type")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _Q
 
