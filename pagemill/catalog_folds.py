@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _RECORD, _WORD
-from .operators import denylist, layout, ordered, trees
+from .operators import denylist, layout, ordered, packet, trees
 from .plans import views as v
 from .sources import books
 
@@ -172,6 +172,51 @@ def tree_edits(spark, d):
     return xml.select("page_id", F.sha2("xml", 256).alias("sha256"), F.octet_length("xml").cast("long").alias("bytes"))
 
 
+# --- searchability ----------------------------------------------------------------------------------------------------
+
+#: One JSON record for each event, some without fields, text, type, version or an object as metadata.
+_EVENT_JSON = """concat('{{"schema_version":', case when event_id % 5 = 0 then '"v1"' when event_id % 11 = 0 then 'null' else '"v3"' end, ',"record_id":"r', event_id, '","book_id":"b","source_pdf_sha256":"s","page":', user_id, ',',
+ case when event_id % 3 = 0 then '' else '"page_id":"p",' end, case when event_id % 4 = 0 then '' else '"artifact_path":"",' end, '"record_type":"', {kind}, '","text":"', {text}, '","metadata":', {meta}, '}}')"""
+_KIND = "case event_id % 4 when 0 then 'page' when 1 then 'table' when 2 then 'image' else 'text_region' end"
+_TEXT = "case when event_id % 29 = 0 then '  ' else concat(event_type, ' ', user_id) end"
+_META = """case event_id % 7 when 0 then '[]' when 1 then '"{{x"' when 2 then '{{"review_role":"Reviewer"}}' else '{{}}' end"""
+_MANIFEST = {"status": "FAIL", "record_count": 7, "record_counts": {"page": 3, "absent": 0, "image": 100_000_000}}
+_ASKED = ((None, "error"), (None, "zzqq"), ("page", "reviewer"), ("table", "zzqq error"), ("image", "zzqq"))
+
+
+def _errors_sql() -> str:
+    e = f"(select *, {_KIND} as kind, {_TEXT} as t from events)"
+    per_record = [
+        ("case when event_id % 3 = 0 or event_id % 4 = 0 then ' missing fields: ' || concat_ws(', ', case when event_id % 4 = 0 then 'artifact_path' end, case when event_id % 3 = 0 then 'page_id' end) end"),
+        "case when event_id % 5 = 0 then ' has unexpected schema_version: v1' when event_id % 11 = 0 then ' has unexpected schema_version: None' end",
+        "case when event_id % 7 < 2 then ' metadata is not an object' end",
+    ]
+    parts = [
+        "select 'search manifest status is not PASS: FAIL' as error",
+        "select 'search manifest record_count mismatch: manifest=7 index=' || count(*) from events having count(*) <> 7",
+        f"select 'search manifest count mismatch for ' || kind || ': manifest=' || case kind when 'page' then '3' when 'image' then '100000000' else 'None' end || ' index=' || count(*) from {e} group by kind",
+        *[f"select 'record ' || event_id || m from (select event_id, {m} as m from events) where m is not null" for m in per_record],
+        "select 'required record type absent: ocr_text'",
+        "select 'record type page count ' || count(*) || ' is below required minimum 100000000' from events where event_id % 4 = 0",
+        "select 'record type ocr_text count 0 is below required minimum 1'",
+        f"select 'page records with empty text: ' || string_agg(user_id, ', ' order by event_id) from {e} where kind = 'page' and trim(t) = '' having count(*) > 0",
+        f"select 'table records with empty text: ' || string_agg('r' || event_id, ', ' order by event_id) from {e} where kind = 'table' and trim(t) = '' having count(*) > 0",
+        "select 'query produced no hits: zzqq'", "select 'query produced no image hits: zzqq'",
+        "select 'user-facing internal path leaks: ' || count(*) from events where event_id % 4 = 1 having count(*) > 0",
+    ]
+    return f"select error, count(*) as n from ({' union all '.join(parts)}) group by 1"
+
+
+@_query(_errors_sql())
+def search_errors(spark, d):
+    """Every message of the check of a search index, from records that have each fault."""
+    e = v.table(spark, d, "events")
+    json = _EVENT_JSON.format(kind=_KIND, text=_TEXT, meta=_META.replace("{{", "{").replace("}}", "}"))
+    files = e.select(F.col("event_id").alias("path"), F.expr("case event_id % 4 when 1 then concat('a', chr(10), '/mnt/d/x') else event_type end").alias("text"))
+    found = packet.search_errors(e.select("event_id", F.expr(json).alias("json")), "json", "event_id", "v3", _MANIFEST, ("page", "ocr_text"), {"page": 100_000_000, "ocr_text": 1, "image": 1}, _ASKED, packet.path_leaks(files))
+    return found.groupBy("error").agg(F.count("*").alias("n"))
+
+
 # --- books and indexes ------------------------------------------------------------------------------------------------
 
 

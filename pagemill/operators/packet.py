@@ -217,6 +217,79 @@ def searchability(records: DataFrame, required: dict[str, int], queries: list[tu
     return out
 
 
+def search_errors(
+    records: DataFrame, json: str, order: str, version: str, manifest: dict | None = None, required: tuple[str, ...] = (), least: dict[str, int] | None = None,
+    queries: tuple[tuple[str | None, str], ...] = (), leaks: DataFrame | None = None, filled: tuple[str, ...] = ("page", "table"),
+) -> DataFrame:
+    """(section, ord, error): all that is wrong with a search index of JSON records, in the order of a report.
+
+    1 to 3: the manifest's (status, record_count, record_counts) status, total and count of each type; 4: each record's missing
+    fields, version and metadata, by its number from 1 in ``order``; 5 and 6: types that are absent or too few; 7: records of the types in ``filled`` without
+    text, pages by page, others by id; 8: queries (type or None, terms) without a hit; 9: how many lines ``leaks`` has. One pass finds
+    the types, texts and hits, however many queries there are; another numbers the records that are at fault.
+    """
+    from ..functions.text import keyword_score, query_terms
+
+    fields = "struct<schema_version:string,record_id:string,record_type:string,page:string,text:string,metadata:string>"
+    rows = records.select(F.col(order).alias("ord"), F.col(json).alias("json"), F.from_json(json, fields).alias("r"))
+    rows = rows.select("ord", "json", "r.*").withColumn("record_type", F.coalesce("record_type", F.lit("")))
+    names = [F.get_json_object("metadata", f"$.{n}") for n in ("classification", "review_role", "layout_class")]
+    hits = [F.count_if((keyword_score("text", "record_type", names, query_terms(q), False) > 0) & (F.lit(True) if k is None else F.col("record_type") == k)).alias(f"q{i}") for i, (k, q) in enumerate(queries)]
+    blank = F.col("record_type").isin(*filled) & (stripped(F.coalesce("text", F.lit(""))) == "")
+    label = F.coalesce(F.when(F.col("record_type") == "page", F.col("page")).otherwise(F.col("record_id")), F.lit("None"))
+    by_type = rows.groupBy("record_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(blank, F.struct("ord", label.alias("label"))))).alias("blank"), *hits)
+    one = by_type.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.struct("record_type", "n"))).alias("types"),
+        F.map_from_entries(F.collect_list(F.struct("record_type", F.struct("n", "blank")))).alias("of"), *[F.coalesce(F.sum(f"q{i}"), F.lit(0)).alias(f"q{i}") for i in range(len(queries))],
+    )
+    found: list[tuple[int, Column]] = []  # section, array of messages
+
+    def when(section: int, bad: Column, *message) -> None:
+        text = F.concat(*[m.cast("string") if isinstance(m, Column) else F.lit(str(m)) for m in message])
+        found.append((section, F.when(bad, F.array(text))))
+
+    n = lambda kind: F.coalesce(F.col("of")[kind]["n"], F.lit(0))
+    if manifest is not None:
+        when(1, F.lit(manifest.get("status") != "PASS"), f"search manifest status is not PASS: {manifest.get('status')}")
+        said = manifest.get("record_count")
+        when(2, F.col("total") != (-1 if said is None else int(said)), f"search manifest record_count mismatch: manifest={said} index=", F.col("total"))
+        counts = manifest.get("record_counts") or {}
+        listed = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, int(c))]) if counts else F.create_map().cast("map<string,int>")
+        other = F.filter("types", lambda t: F.coalesce(listed[t["record_type"]], F.lit(-1)) != t["n"])
+        found.append((3, F.transform(other, lambda t: F.concat(F.lit("search manifest count mismatch for "), t["record_type"], F.lit(": manifest="), F.coalesce(listed[t["record_type"]].cast("string"), F.lit("None")), F.lit(" index="), t["n"].cast("string")))))
+    for kind in required:
+        when(5, n(kind) < 1, f"required record type absent: {kind}")
+    for kind, most in (least or {}).items():
+        when(6, n(kind) < most, f"record type {kind} count ", n(kind), f" is below required minimum {most}")
+    for kind in filled:
+        empty = F.col("of")[kind]["blank"]
+        when(7, F.size(empty) > 0, f"{kind} records with empty text: ", F.array_join(F.transform(empty, lambda b: b["label"]), ", "))
+    for i, (kind, query) in enumerate(queries):
+        when(8, F.col(f"q{i}") == 0, f"query produced no {kind + ' ' if kind else ''}hits: {query}")
+    def numbered(k: int, section: int, messages: Column) -> Column:
+        whole = F.coalesce(messages, F.array().cast("array<string>"))
+        return F.transform(whole, lambda m, j: F.struct(F.lit(section).alias("section"), (F.lit(k * 1_000_000).cast("long") + j).alias("ord"), m.alias("error")))
+
+    whole = [numbered(k, section, messages) for k, (section, messages) in enumerate(found)]
+    out = one.select(F.explode(F.concat(*whole) if whole else F.array().cast("array<struct<section:int,ord:bigint,error:string>>")).alias("x")).select("x.*")
+
+    lacks = missing_fields(F.col("json"))
+    # a string that looks like an object is none
+    object_ = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), "$.metadata", "variant")).startswith("OBJECT"), F.lit(False))
+    rules = [
+        (F.size(lacks) > 0, F.concat(F.lit(" missing fields: "), F.array_join(lacks, ", "))),
+        (~F.col("schema_version").eqNullSafe(F.lit(version)), F.concat(F.lit(" has unexpected schema_version: "), F.coalesce("schema_version", F.lit("None")))),
+        (~object_, F.lit(" metadata is not an object")),
+    ]
+    faults = F.filter(F.array(*[F.when(bad, F.struct(F.lit(i).alias("i"), message.alias("m"))) for i, (bad, message) in enumerate(rules)]), lambda x: x.isNotNull())
+    bad = rows.select("ord", F.explode(faults).alias("x"))
+    out = out.unionByName(bad.select(F.lit(4).alias("section"), (F.col("ord").cast("long") * 4 + F.col("x.i")).alias("ord"), F.concat(F.lit("record "), F.col("ord").cast("string"), F.col("x.m")).alias("error")))
+    if leaks is not None:
+        some = leaks.agg(F.count("*").alias("n")).where("n > 0")
+        out = out.unionByName(some.select(F.lit(9).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("user-facing internal path leaks: "), F.col("n").cast("string")).alias("error")))
+    return out
+
+
 def path_leaks(files: DataFrame, pattern: str = INTERNAL_PATH) -> DataFrame:
     """(path, line_number) of lines of user-facing files (path, text) that name an internal path."""
     lines = files.where(F.col("text").rlike(pattern)).select("path", F.posexplode(text_lines("text")).alias("i", "line"))
