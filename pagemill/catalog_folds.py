@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _RECORD, _WORD
-from .operators import denylist, layout, ordered, packet, trees
+from .operators import denylist, layout, numbering, ordered, packet, trees
 from .plans import views as v
 from .sources import books
 
@@ -172,6 +172,46 @@ def tree_edits(spark, d):
     return xml.select("page_id", F.sha2("xml", 256).alias("sha256"), F.octet_length("xml").cast("long").alias("bytes"))
 
 
+# --- numbers and dictionaries -----------------------------------------------------------------------------------------
+
+
+@_query("select doc_id, row_number() over (order by lower(source) nulls first, length(text) nulls first, doc_id) - 1 as number from documents")
+def dense_numbers(spark, d):
+    """Numbers over all documents, by source and length."""
+    docs = v.table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    return numbering.numbered(docs, [F.lower("source"), "size", "doc_id"]).select("doc_id", "number")
+
+
+@_query("""select path, row_number() over (order by lower(path)) - 1 as number from (select arg_max(path, event_id) as path from (
+ select event_id, case event_id % 3 when 0 then upper(concat('in/', user_id, '/', event_type)) else concat('in/', user_id, '/', event_type) end || '.pdf' as path from events) group by lower(path))""")
+def numbered_sources(spark, d):
+    """Source paths, of those equal but for case the last, numbered in order."""
+    path = F.expr("concat(case event_id % 3 when 0 then upper(concat('in/', user_id, '/', event_type)) else concat('in/', user_id, '/', event_type) end, '.pdf')")
+    return numbering.numbered_paths(v.table(spark, d, "events").select(path.alias("path"), F.col("event_id").alias("ord")))
+
+
+_WORDS_SQL = r"(select doc_id, generate_subscripts(w, 1) - 1 as place, unnest(w) as word from (select doc_id, string_split_regex(text, '[ \t\n\r]+') as w from documents))"
+_CODES_SQL = f"(select word, doc_id, place, row_number() over (order by doc_id, place) - 1 as code from (select word, min(doc_id) as doc_id, arg_min(place, (doc_id, place)) as place from {_WORDS_SQL} group by word))"
+
+
+def _words(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("place", "word"))
+
+
+@_query(f"select word, doc_id, place::int as place, code from {_CODES_SQL}")
+def first_seen_words(spark, d):
+    """The words of all documents, coded by their first appearance."""
+    return numbering.first_seen(_words(spark, d), "word", ["doc_id", "place"])
+
+
+@_query(f"select w.doc_id, count(*) as words, sum(code * (w.place + 1))::bigint as mark from {_WORDS_SQL} w join {_CODES_SQL} c using (word) group by 1")
+def coded_documents(spark, d):
+    """All documents as codes, each with a sum that tells which code stands where."""
+    words = _words(spark, d)
+    codes = numbering.coded(words, "word", numbering.first_seen(words, "word", ["doc_id", "place"]))
+    return codes.groupBy("doc_id").agg(F.count("code").alias("words"), F.sum(F.col("code") * (F.col("place") + 1)).alias("mark"))
+
+
 # --- searchability ----------------------------------------------------------------------------------------------------
 
 #: One JSON record for each event, some without fields, text, type, version or an object as metadata.
