@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _RECORD, _WORD
-from .operators import denylist, layout, numbering, ordered, packet, trees
+from .operators import denylist, layout, links, numbering, ordered, packet, retrieval, trees, vector_store
 from .plans import views as v
 from .sources import books
 
@@ -212,6 +212,51 @@ def coded_documents(spark, d):
     return codes.groupBy("doc_id").agg(F.count("code").alias("words"), F.sum(F.col("code") * (F.col("place") + 1)).alias("mark"))
 
 
+# --- links and vector indexes -----------------------------------------------------------------------------------------
+
+#: Each page's own links disabled, and four of known kinds put after them.
+_SITE = r"""select concat('site/', page_id % 7, '/p', page_id, '.html') as path, concat(replace(replace(html, 'href', 'data-h'), 'src', 'data-s'),
+ '<a href="../', (page_id * 3 + 1) % 7, '/p', page_id * 3 + 1, '.html#top">', '<a HREF=\'./x//../%70', page_id + 7, '.html?y=1\'>', case when page_id % 5 = 0 then '<img src="../../../up.png">' else '' end,
+ case when page_id % 4 = 0 then '<a href="/site/index+1.html"><a href="https://example.org/"><a href="#here">' else '' end) as html from {pages}"""
+_AT = "'site/' || (id % 7) || '/p' || id || '.html'"
+_SITE_LINKS = f"""(select path, link, target from (select page_id as id from pages), lateral (select {_AT} as path),
+ lateral (values ('../' || ((id * 3 + 1) % 7) || '/p' || (id * 3 + 1) || '.html#top', 'site/' || ((id * 3 + 1) % 7) || '/p' || (id * 3 + 1) || '.html'), ('./x//../%70' || (id + 7) || '.html?y=1', 'site/' || (id % 7) || '/p' || (id + 7) || '.html'),
+ (case when id % 5 = 0 then '../../../up.png' end, null), (case when id % 4 = 0 then '/site/index+1.html' end, 'site/index+1.html')) t(link, target) where link is not null)"""
+_SITE_FILES = f"(select {_AT} as path from (select page_id as id from pages))"
+
+
+@_query(f"""with recursive l as {_SITE_LINKS}, f as {_SITE_FILES}, r as (select path from f where path = 'site/0/p0.html' union select target from r join l using (path) where target in (select path from f))
+ select path, link, case when target is null then 'link escapes output folder' else 'link target missing' end as why from l where target is null or target not in (select path from f)
+ union all select path, '', 'orphan' from f where path not in (select target from l where target is not null and target <> path) union all select path, '', 'unreachable' from f where path not in (select path from r)""")
+def link_closure(spark, d):
+    """Of all pages as one site: links to nowhere, pages that none names, and those that can't be reached from the first."""
+    site = spark.sql(_SITE, pages=v.table(spark, d, "pages"))
+    found = links.resolved(site)
+    rest = [f(found, site).select("path", F.lit("").alias("link"), F.lit(why).alias("why")) for f, why in ((links.orphans, "orphan"), (lambda a, b: links.unreachable(a, b, "site/0/p0.html"), "unreachable"))]
+    return links.dangling(found, site).unionByName(rest[0]).unionByName(rest[1])
+
+
+@_query("""select 'first' as step, count(*) as embedded, 0::bigint as gone, 0::bigint as differ from documents union all select 'same', 0, 0, 0
+ union all select 'changed', count(*) filter (doc_id % 10 = 3), count(*) filter (doc_id % 10 = 3 or doc_id % 10 = 7), 0 from documents union all select 'back', count(*) filter (doc_id % 10 = 3 or doc_id % 10 = 7), count(*) filter (doc_id % 10 = 3), 0 from documents""")
+def index_upkeep(spark, d):
+    """An index of all documents kept through changes: how many records each step embeds and marks, and how many chunks differ from a rebuild."""
+    docs = v.table(spark, d, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("record_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 10).alias("turn"))
+    other = docs.where("turn <> 7").withColumn("text", F.when(F.col("turn") == 3, F.concat("text", F.lit(" more words"))).otherwise(F.col("text")))
+    path, provider, steps = books.shared_folder(spark), retrieval.HashProvider(), []
+    columns = ["record_id", "record_hash", "chunk_id", "text", "embedding"]
+    for step, records in (("first", docs), ("same", docs), ("changed", other), ("back", docs)):
+        done = vector_store.update(records, path, provider)
+        if step == "changed":
+            vector_store.compact(spark, path)
+        differ = 0
+        if step in ("changed", "back"):
+            both = ((vector_store.live(spark, path), 1), (retrieval.vector_index(vector_store.record_hash(records), provider), -1))
+            held, wanted = (x.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("row"), F.lit(n).alias("n")) for x, n in both)
+            differ = held.unionByName(wanted).groupBy("row").agg(F.sum("n").alias("n")).where("n <> 0").count()
+        steps.append((step, done["embedded"], done["gone"], differ))
+    return spark.createDataFrame(steps, "step string, embedded long, gone long, differ long")
+
+
 # --- searchability ----------------------------------------------------------------------------------------------------
 
 #: One JSON record for each event, some without fields, text, type, version or an object as metadata.
