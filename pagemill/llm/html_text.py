@@ -4,7 +4,7 @@ A page becomes a row of blocks, each with what stands about it in the tree. A li
 become its capacity to the source (content) or the sink (boilerplate). Its features: whether an element above says what it holds by its tag or
 role (navigation, forms, an article), by the words of its class and id, and of the block itself its length against the page's mean, share of links, kind of element and
 whether it ends as a sentence does. Class names are weak evidence: a name that also has words of other kinds counts the less, the more of the
-page's text the element holds. Edges that a cut must pay for join blocks that follow one another, the stronger the fewer tree steps part
+page's text the element holds, and no name counts that the whole page's text stands under. Edges that a cut must pay for join blocks that follow one another, the stronger the fewer tree steps part
 them, and the neighbours among the children of one element. Max-flow (Dinic) finds the cheapest labelling, so a block whose own
 evidence is weak takes the side of those about it. Blocks whose own capacity outweighs all their edges keep their side in any
 cheapest cut: they are fixed and folded into their neighbours first, and max-flow runs on what is left.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -42,6 +42,8 @@ _INLINE = set(
 #: What an opening tag closes, if it is the nearest of its kind below a list, table or part of the page.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _STOPS = set("ul ol dl table body article section main div nav aside header footer form select".split())
+#: What an open paragraph ends at, seen from within.
+_P_STOPS = _STOPS | {"li", "td", "th", "dd", "blockquote"}
 _APART = set("nav footer aside form button select menu dialog fieldset legend dir datalist optgroup option".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 _BAD = set(
@@ -71,10 +73,10 @@ class Page:
     def __init__(self):
         self.blocks: list[Block] = []
         self.parent, self.depth, self.step = [0], [0], [1]
-        self.known, self.named = [0.0], [False]  # evidence that stands, and whether a name is against it that may be discounted
+        self.known, self.named = [0.0], [0]  # evidence that stands, and whether a name is against it: 1 may be discounted, 2 only if all text is within
         self.odds: list[float] = []
 
-    def element(self, parent: int, step: int, known: float, named: bool) -> int:
+    def element(self, parent: int, step: int, known: float, named: int) -> int:
         self.parent.append(parent)
         self.step.append(step)
         self.depth.append(self.depth[parent] + 1)
@@ -92,15 +94,16 @@ class Page:
         total = max(1, held[0])
         self.odds = [0.0] * len(held)
         for k in range(1, len(held)):
-            own = self.known[k] + (NAMED * (1 - held[k] / total) if self.named[k] else 0.0)
+            against = (0.0, 1 - held[k] / total, float(held[k] < total))[self.named[k]]
+            own = self.known[k] + NAMED * against
             self.odds[k] = max(-8.0, min(4.0, self.odds[self.parent[k]] + own))
         mean = sum(b.words for b in self.blocks) / max(1, len(self.blocks))
         for b in self.blocks:
             b.odds += self.odds[b.element] + LENGTH * max(-3.0, min(2.0, math.log2(b.words / mean)))
 
 
-def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """Of an element's tag and attributes: the log-odds, and whether its name speaks against it, but not clearly."""
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, int]:
+    """Of an element's tag and attributes: the log-odds, and whether its name speaks against it (0: no, 1: not clearly, 2: clearly)."""
     odds, doubt, named = 0.0, False, 0
     if tag in _APART or (tag == "header" and not inside):
         odds += APART
@@ -123,14 +126,16 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
                 odds += APART
             elif name == "role" and value in ("main", "article"):
                 odds += ARTICLE
-    if named:
-        odds += NAMED if named < 0 else NAMED_GOOD
-    return odds, doubt and named >= 0
+    if named > 0:
+        odds += NAMED_GOOD
+    return odds, 2 if named < 0 else int(doubt)
 
 
 def page_of(html: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # tag, the nearest element that isn't inline
+    places: dict[str, list[int]] = {}  # of each open tag, so that no step walks down the stack
+    stops, p_stops = [0], [0]
     pieces: list[str] = []
     linked: list[str] = []
     links = heading = inside = 0
@@ -153,10 +158,19 @@ def page_of(html: str) -> Page:
         nonlocal links, heading, inside
         while len(stack) > k:
             tag = stack.pop()[0]
+            places[tag].pop()
+            for found in (stops, p_stops):
+                if found[-1] == len(stack):
+                    found.pop()
             links -= tag == "a"
             heading -= tag in _HEADINGS
             inside -= tag in ("article", "main")
 
+    def nearest(tags, barriers: list[int]) -> int:
+        """The place of the innermost open one of ``tags`` within the last barrier, or 0."""
+        k = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        return k if k > barriers[-1] else 0
+
     for m in _tokens(html):
         if isinstance(m, int):  # the end of what is left out
             at = m
@@ -176,33 +190,30 @@ def page_of(html: str) -> Page:
         elif tag == "br":
             pieces.append(" ")
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    end_block() if any(t not in _INLINE for t, _ in stack[k:]) else None
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][0] in _STOPS:
-                    break
+            k = nearest((tag,), stops if tag in _INLINE else [0])
+            if k:
+                if any(t not in _INLINE for t, _ in stack[k:]):
+                    end_block()
+                close(k)
             continue
         if tag in _VOID or tag in _RAW or tag in _DROPPED:
             continue
         if tag not in _INLINE:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _STOPS or stack[k][0] in ("li", "td", "th", "dd", "blockquote"):
-                    break
+            k = nearest(("p",), p_stops)
+            if k:
+                close(k)
         if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k][0] in _STOPS:
-                    break
+            k = nearest(_CLOSES[tag], stops)
+            if k:
+                close(k)
         above = stack[-1][1]
         if tag not in _INLINE:
-            above = page.element(above, PART if tag in _PARTS else 1, *((0.0, False) if tag in ("html", "body") else _evidence(tag, attributes, inside > 0)))
+            above = page.element(above, PART if tag in _PARTS else 1, *((0.0, 0) if tag in ("html", "body") else _evidence(tag, attributes, inside > 0)))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _STOPS:
+            stops.append(len(stack))
+        if tag in _P_STOPS:
+            p_stops.append(len(stack))
         stack.append((tag, above))
         links += tag == "a"
         heading += tag in _HEADINGS
@@ -222,17 +233,19 @@ _ENDS = ".!?…:;\"'”’»)"
 
 def _tokens(html: str):
     """The matches of tags and comments; after a tag whose content is left out, the place at which that ends."""
-    skip_to = 0
+    skip_to, endless = 0, set()  # tags that have no end tag any more
     for m in _TOKEN.finditer(html):
         if m.start() < skip_to:
             continue
         yield m
         tag = (m[2] or m[5] or "").lower()
-        if (tag in _RAW or tag in _DROPPED) and not (m[1] or m[4]) and not (m[3] or m[6] or "").rstrip().endswith("/"):
+        if (tag in _RAW or tag in _DROPPED) and tag not in endless and not (m[1] or m[4]) and not (m[3] or m[6] or "").rstrip().endswith("/"):
             end = (_RAW.get(tag) or _DROPPED[tag]).search(html, m.end())
             if end:
                 skip_to = end.end()
                 yield skip_to
+            else:
+                endless.add(tag)
 
 
 def edges_of(page: Page) -> dict[tuple[int, int], float]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -158,6 +159,19 @@ def test_op1_page_by_brute_force():
 
 def test_op1_long_and_deep_pages():
     assert html_text.main_text("<div>" * 20000 + "<p>a b c" * 20000).count("a b c") == 20000
+
+
+def test_html_of_short_comments_names_around_all_text_and_many_open_tags():
+    for comment in ("<!-->", "<!--->", "<!-- x -->", "<!-- x --!>"):
+        assert html_text.main_text(f"<p>A</p>{comment}<p>B</p>") == "A\nB"
+    story = "<article><p>A first paragraph of the story.</p><p>And a second one, as long.</p></article>"
+    for name in ("search", "login", "comments"):  # a name around the whole page's text parts nothing from anything
+        assert html_text.main_text(f'<div class="{name}">{story}</div>') == html_text.main_text(story) != ""
+    begin = time.monotonic()
+    for html in ("<b>" * 200000 + "</i>" * 200000, "<div><b>" * 50000 + "</i></p>" * 50000, "<svg>" * 50000, "<li>" * 100000):
+        assert html_text.main_text(html) == ""
+    assert html_text.main_text("<p>a<b>" * 50000 + "</i>" * 50000).count("a") == 50000
+    assert time.monotonic() - begin < 60  # quadratic steps would take hours
     rng = np.random.default_rng(6)
     parts = ["<p><a href=x>menu</a></p>", "<p>Some words.</p>", '<div class="ad">buy it now</div>', "<div class=x><div><p>more words are here, friends.</p></div></div>"]
     assert html_text.main_text("".join(parts[k] for k in rng.integers(0, 4, 20000)))
