@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BOX, _LINES, _RECORD, _WORD
-from .operators import denylist, layout, links, numbering, ordered, packet, retrieval, trees, vector_store
+from .operators import denylist, intake, layout, links, numbering, ordered, packet, retrieval, trees, vector_store
 from .plans import views as v
 from .sources import books
 
@@ -327,6 +327,66 @@ def index_round_trip(spark, d):
     return listed.join(back, "record_type")
 
 
+# --- intake -----------------------------------------------------------------------------------------------------------
+
+#: Every document as a source file, each eleventh of another kind, which an inventory passes over; a page is a line.
+_FILE = "select doc_id, concat('/in/', coalesce(lang, 'none'), '/', coalesce(source, 'none'), '/Doc ', doc_id, case when doc_id % 11 = 0 then '.txt' else '.pdf' end) as path, coalesce(text, '') as text from {documents}"
+_SOURCES = f"(select doc_id, substr(path, 5) as source_path, text, row_number() over (order by string_split(path, '/')) - 1 as i from ({v.duck(_FILE)}) where path like '%.pdf')"
+
+
+def _files(spark, d):
+    return v.sql(spark, d, _FILE).select(F.concat(F.lit("file:"), "path").alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+
+
+def _lines(content: bytes) -> list[str]:
+    return content.decode().split("\n")
+
+
+@_query(f"""select i as "index", 'c' as corpus_id, 'doc-' || doc_id as book_id, 'doc-' || doc_id as display_name, source_path, sha256(text) as sha256, strlen(text)::bigint as file_size_bytes, len(string_split(text, chr(10)))::int as page_count,
+ 'private_source' as privacy_class, 'unknown_review_required' as rights_class, 'registered' as intake_state, 'inventory_only' as processing_intent, 'b1' as batch_id, (select count(*) from {_SOURCES}) as entry_count from {_SOURCES}""")
+def intake_inventory(spark, d):
+    """An inventory of all documents as source files, written under its envelope and read again."""
+    path = books.shared_folder(spark)
+    head = intake.write_inventory(intake.inventory(_files(spark, d), "c", "/in", pages=lambda c: len(_lines(c))), path, "b1")
+    read = intake.read_inventory(spark, path).drop("created_at", "updated_at", "evidence_paths", "blocked_reason")
+    return read.select("*", F.lit(head["batch_id"]).alias("batch_id"), F.lit(head["entry_count"]).cast("long").alias("entry_count"))
+
+
+@_query(f"""with e as (select i, case when i % 7 = 0 then '' else 'b' || i % 4 end as book, case when i % 3 = 0 then 'hot' else sha256(text) end as sha, i % 4 = 0 as blocked, i % 6 = 0 as reason from {_SOURCES}),
+ l as (select *, lag(book) over (partition by sha order by i) as also from e)
+ select 'batch_id' as path, 'batch_id is required' as message
+ union all select 'entries[' || i || '].book_id', 'book_id is required' from e where book = ''
+ union all select 'entries[' || i || '].sha256', 'sha256 must be a 64-character hex digest' from e where sha = 'hot'
+ union all select 'entries[' || i || '].page_count', 'page_count must be null or greater than zero' from e where i % 5 = 0
+ union all select 'entries[' || i || '].processing_intent', 'private OCR requires a separate recorded approval gate' from e where i % 8 = 0
+ union all select 'entries[' || i || '].blocked_reason', 'blocked entries require blocked_reason' from e where blocked and not reason
+ union all select 'entries[' || i || '].blocked_reason', 'blocked_reason is only valid for blocked entries' from e where reason and not blocked
+ union all select 'entries[' || i || '].sha256', 'duplicate source hash also used by ' || also from l where also <> '' and also <> book""")
+def intake_issues(spark, d):
+    """The faults of an inventory of all documents with many, a third of it under one hash."""
+    i, path = F.col("index"), books.shared_folder(spark)
+    bad = {
+        "book_id": F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("b"), i % 4)), "sha256": F.when(i % 3 == 0, "hot").otherwise(F.col("sha256")), "page_count": F.when(i % 5 != 0, 1).otherwise(0),
+        "processing_intent": F.when(i % 8 == 0, "ocr_approved_private").otherwise("inventory_only"), "intake_state": F.when(i % 4 == 0, "blocked").otherwise("registered"), "blocked_reason": F.when(i % 6 == 0, "why"),
+    }
+    intake.write_inventory(intake.inventory(_files(spark, d), "c", "/in").withColumns(bad), path, "")
+    return intake.inventory_issues(spark, path)
+
+
+@_query(f"""select 'doc-' || doc_id as book_id, sha256(text) as source_sha256, count(*) as pages, max(n)::int as last_page, sum(length(line))::bigint as signs, sum(case when trim(line, ' ' || chr(9) || chr(13)) <> '' then 1 else 0 end)::bigint as with_text,
+ min(sha256(line)) as least_hash, 0::bigint as issues from (select doc_id, text, generate_subscripts(l, 1) as n, unnest(l) as line from (select doc_id, text, string_split(text, chr(10)) as l from {_SOURCES})) group by doc_id, text""")
+def intake_recognition(spark, d):
+    """From source files to recognition records: inventory, pages by a reader, one index in the private folder, read again and checked."""
+    private, path = books.shared_folder(spark), books.shared_folder(spark)
+    intake.write_inventory(intake.inventory(_files(spark, d), "c", "/in"), path, "b1")
+    intake.write_recognized(intake.read_inventory(spark, path), _files(spark, d), "/in", _lines, f"{private}/ocr", private)
+    pages = books.read_records(spark, f"{private}/ocr", intake.PAGE)
+    found = pages.groupBy("book_id", "source_sha256").agg(
+        F.count("*").alias("pages"), F.max("page_number").alias("last_page"), F.sum("char_count").alias("signs"), F.sum("confidence").cast("long").alias("with_text"), F.min("text_sha256").alias("least_hash"),
+    )
+    return found.select("*", intake.recognized_issues(spark, f"{private}/ocr").agg(F.count("*")).scalar().alias("issues"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _Q
 

@@ -206,7 +206,7 @@ def numeric_row_like(x: Column | str) -> Column:
 
 
 def utc_now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def chunk_text(x: Column | str, most: int = 1400) -> Column:

@@ -296,6 +296,11 @@ def path_leaks(files: DataFrame, pattern: str = INTERNAL_PATH) -> DataFrame:
     return lines.where(F.col("line").rlike(pattern)).select("path", (F.col("i") + 1).cast("long").alias("line_number"))
 
 
+def issue_field() -> Column:
+    """The field that a registry entry's ``issue`` is about."""
+    return F.when(F.col("issue").startswith("private OCR"), "processing_intent").when(F.col("issue").contains("blocked_reason"), "blocked_reason").otherwise(F.get(F.split("issue", " "), F.lit(0)))
+
+
 def manifest_issues(manifests: DataFrame) -> DataFrame:
     """(manifest, path, message) of intake manifests (manifest, manifest_version, batch_id, entries): their own faults, those of each entry
     under ``entries[i]``, and hashes that the entry before with the same hash has under another book."""
@@ -305,8 +310,7 @@ def manifest_issues(manifests: DataFrame) -> DataFrame:
     ))).alias("x")).select("manifest", "x.*")
     entries = manifests.select("manifest", F.posexplode("entries").alias("i", "e")).select("manifest", "i", "e.*")
     prefix = F.concat(F.lit("entries["), F.col("i").cast("string"), F.lit("]"))
-    field = F.when(F.col("issue").startswith("private OCR"), "processing_intent").when(F.col("issue").contains("blocked_reason"), "blocked_reason").otherwise(F.get(F.split("issue", " "), F.lit(0)))
-    broken = quality.issues(entries, ["manifest", "i"], quality.registry_rules()).select("manifest", F.concat_ws(".", prefix, field).alias("path"), F.col("issue").alias("message"))
+    broken = quality.issues(entries, ["manifest", "i"], quality.registry_rules()).select("manifest", F.concat_ws(".", prefix, issue_field()).alias("path"), F.col("issue").alias("message"))
     before = F.lag("book_id").over(W.partitionBy("manifest", "sha256").orderBy("i"))
     again = entries.withColumn("also", before).where("also <> '' and also <> book_id").select("manifest", F.concat(prefix, F.lit(".sha256")).alias("path"), F.concat(F.lit("duplicate source hash also used by "), F.col("also")).alias("message"))
     return own.unionByName(broken).unionByName(again)

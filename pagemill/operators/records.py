@@ -129,13 +129,13 @@ def counts(records: DataFrame) -> DataFrame:
     return records.groupBy(F.coalesce("record_type", F.lit("")).alias("record_type")).agg(F.count("*").alias("records"))
 
 
-def registry_entries(files: DataFrame, corpus_id: str, root: str = "") -> DataFrame:
-    """Intake entries of a ``binaryFile`` listing: relative path, slug, hash, size; see ``sources.files.binary_files``."""
+def registry_entries(files: DataFrame, corpus_id: str, root: str = "", page_count: str | None = None) -> DataFrame:
+    """Intake entries of a ``binaryFile`` listing: relative path, slug, hash, size, pages (a column, or null); see ``sources.files.binary_files``."""
     from ..functions.text import slug, stem, utc_now
 
     relative = F.regexp_replace("path", F.concat(F.lit(r"^(file:)?/*\Q"), F.lit(root.strip("/")), F.lit(r"\E/?")), "") if root else F.regexp_replace("path", "^.*/", "")
     now = utc_now()
     return files.select(
         F.lit(corpus_id).alias("corpus_id"), slug(stem("path")).alias("book_id"), stem("path").alias("display_name"), relative.alias("source_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("file_size_bytes"),
-        F.lit(None).cast("int").alias("page_count"), now.alias("created_at"), now.alias("updated_at"),
+        (F.col(page_count) if page_count else F.lit(None)).cast("int").alias("page_count"), now.alias("created_at"), now.alias("updated_at"),
     )

@@ -1,8 +1,9 @@
-"""Books of page manifests and indexes of records as Spark data sources whose files appear together or not at all.
+"""Books of page manifests, indexes of records and intake manifests as Spark data sources whose files appear together or not at all.
 
 ``page_book``: a book manifest (JSON: ``pages``, each with ``page`` and ``manifest``) leads to one JSON document a page. Reading plans its
 partitions from the book manifest alone, after filters on ``page`` have been pushed into it, and opens page manifests in the tasks.
 ``record_index``: records as JSON lines with their counts and hashes in one manifest.
+``intake_manifest``: the same of registry entries, under an envelope of version, batch and time.
 
 A task writes files of its own and tells the driver in its commit message what they hold; only when all have succeeded does the driver put
 the manifest in place, by one rename. Files that no manifest names don't exist for readers; a failed job removes its own, and
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-BOOK, INDEX = "page_book", "record_index"
+BOOK, INDEX, INTAKE = "page_book", "record_index", "intake_manifest"
 ENTRY = "page int, manifest string, ord int, entry string"
 #: Pages of a partition.
 PAGES = 64
@@ -33,9 +34,9 @@ def local(path: str) -> str:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes both formats known to the session and lets filters reach them."""
-    spark.dataSource.register(BookSource)
-    spark.dataSource.register(IndexSource)
+    """Makes the formats known to the session and lets filters reach them."""
+    for source in (BookSource, IndexSource, IntakeSource):
+        spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
@@ -126,7 +127,7 @@ class _Writer(DataSourceWriter):
 def vacuum(path: str) -> list[str]:
     """Removes the files under a folder that its manifest doesn't name; returns them. Not while a job writes there."""
     folder, listed = local(path), set()
-    for kind in (_BookWriter, _IndexWriter):
+    for kind in (_BookWriter, _IndexWriter, _IntakeWriter):
         if os.path.exists(at := os.path.join(folder, kind.manifest)):
             listed |= {name for name, _ in kind.listed(None, _json(at))}
     there = [f"{d}/{n}" for d in ("pages", "records") if os.path.isdir(os.path.join(folder, d)) for n in os.listdir(os.path.join(folder, d))]
@@ -276,11 +277,11 @@ class _IndexWriter(_Writer):
 class _IndexReader(DataSourceReader):
     """One partition for each listed file, whose hash must be the manifest's."""
 
-    def __init__(self, options: dict, names: list[str]):
-        self.folder, self.names = local(options["path"]), names
+    def __init__(self, options: dict, names: list[str], manifest: str):
+        self.folder, self.names, self.manifest = local(options["path"]), names, manifest
 
     def partitions(self):
-        return [InputPartition((f["name"], f["sha256"])) for f in _json(os.path.join(self.folder, _IndexWriter.manifest))["files"]] or [InputPartition(None)]
+        return [InputPartition((f["name"], f["sha256"])) for f in _json(os.path.join(self.folder, self.manifest))["files"]] or [InputPartition(None)]
 
     def read(self, partition):
         if partition.value is None:
@@ -302,7 +303,7 @@ class IndexSource(DataSource):
         return INDEX
 
     def reader(self, schema):
-        return _IndexReader(self.options, schema.names)
+        return _IndexReader(self.options, schema.names, _IndexWriter.manifest)
 
     def writer(self, schema, overwrite):
         return _IndexWriter(self.options, schema.names, overwrite)
@@ -312,6 +313,10 @@ def write_records(records: DataFrame, path: str, version: str, append: bool = Fa
     """Writes records of plain columns with a record_type; returns the manifest. All of it or, if a task fails for good, nothing is there."""
     register(records.sparkSession)
     records.write.format(INDEX).option("version", version).mode("append" if append else "overwrite").save(path)
+    return index_manifest(path)
+
+
+def index_manifest(path: str) -> dict:
     return _json(os.path.join(local(path), _IndexWriter.manifest))
 
 
@@ -319,3 +324,50 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The records that the manifest lists."""
     register(spark)
     return spark.read.format(INDEX).schema(schema).load(path)
+
+
+# --- intake manifests -------------------------------------------------------------------------------------------------
+
+
+class _IntakeWriter(_IndexWriter):
+    """Registry entries as JSON lines; the envelope has version, batch, time, and what the tasks said of their files."""
+
+    manifest = "intake_manifest.json"
+
+    def __init__(self, options, names, overwrite):
+        super().__init__({**options, "type": "intake_state"}, names, overwrite)
+        self.envelope = {n: options.get(n) for n in ("manifest_version", "batch_id", "generated_at")}
+
+    def content(self, files):
+        index = super().content(files)
+        return self.envelope | {"entry_count": index["record_count"], "state_counts": index["record_counts"], "files": index["files"]}
+
+
+class IntakeSource(IndexSource):
+    @classmethod
+    def name(cls):
+        return INTAKE
+
+    def reader(self, schema):
+        return _IndexReader(self.options, schema.names, _IntakeWriter.manifest)
+
+    def writer(self, schema, overwrite):
+        return _IntakeWriter(self.options, schema.names, overwrite)
+
+
+def write_entries(entries: DataFrame, path: str, version: str, batch_id: str, generated_at: str) -> dict:
+    """Writes registry entries and, when all are there, their envelope, which it returns."""
+    register(entries.sparkSession)
+    entries.write.format(INTAKE).option("manifest_version", version).option("batch_id", batch_id).option("generated_at", generated_at).mode("overwrite").save(path)
+    return envelope(path)
+
+
+def envelope(path: str) -> dict:
+    """An intake manifest without its entries."""
+    return _json(os.path.join(local(path), _IntakeWriter.manifest))
+
+
+def read_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries that the envelope's files hold; a file whose hash isn't the envelope's fails the read."""
+    register(spark)
+    return spark.read.format(INTAKE).schema(schema).load(path)

@@ -32,7 +32,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """path, length, content of files by name pattern; of paths that differ in case alone the last."""
+    """path, length, content of files by name pattern; empty ones are passed over, as Spark's scan doesn't list them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(paths)
     return files.select("path", "length", "content")
 
