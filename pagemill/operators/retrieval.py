@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,34 +43,47 @@ def chunks(records: DataFrame, most: int = 1400) -> DataFrame:
     return rows.withColumn("chunk_id", name).drop("text").withColumnRenamed("chunk", "text")
 
 
-#: Tokens whose places a worker keeps.
-KEPT = 500_000
-_places: dict[str, int] = {}
+#: Tokens whose places a worker keeps; numbers of one block of counts.
+KEPT, COUNTS = 500_000, 1 << 20
 
 
-def _place(token: str) -> int:
-    """Four bytes of the token's hash, and its sign as the lowest bit; kept for tokens that recur."""
-    got = _places.get(token)
-    if got is None:
+class _Places(dict):
+    """Four bytes of a token's hash, and its sign as the lowest bit, by token; found at the first use."""
+
+    def __missing__(self, token: str) -> int:
         digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        got = int.from_bytes(digest[:4], "big") * 2 + digest[4] % 2
+        self[token] = place = int.from_bytes(digest[:4], "big") * 2 + digest[4] % 2
+        return place
+
+
+_places = _Places()
+
+
+def hash_embeddings(texts: list[str | None], dimensions: int) -> np.ndarray:
+    """Signed counts of the hashes of space-parted tokens, each row of unit length (zeros for none)."""
+    out = np.zeros((len(texts), dimensions))
+    step = max(1, COUNTS // (2 * dimensions))
+    for begin in range(0, len(texts), step):
+        rows = [list(filter(None, (x or "").lower().replace("\n", " ").split(" "))) for x in texts[begin : begin + step]]
         if len(_places) >= KEPT:
             _places.clear()
-        _places[token] = got
-    return got
+        sizes = list(map(len, rows))
+        places = np.fromiter(map(_places.__getitem__, chain.from_iterable(rows)), np.int64, sum(sizes))
+        at = np.repeat(np.arange(len(rows)) * dimensions, sizes) + places // 2 % dimensions
+        counts = np.bincount(at * 2 + places % 2, minlength=2 * dimensions * len(rows)).reshape(len(rows), dimensions, 2)
+        signed = counts[:, :, 0] - counts[:, :, 1]
+        norm = np.sqrt((signed * signed).sum(axis=1))  # of whole numbers, so exact up to the root
+        out[begin : begin + step] = signed / np.where(norm > 0, norm, 1.0)[:, None]
+    return out
 
 
 def hash_embedding(text: str, dimensions: int) -> list[float]:
-    """Signed counts of the hashes of space-parted tokens, of unit length (zeros for none)."""
-    places = np.fromiter(map(_place, filter(None, (text or "").lower().replace("\n", " ").split(" "))), np.int64)
-    counts = np.bincount(places // 2 % dimensions * 2 + places % 2, minlength=2 * dimensions).reshape(-1, 2)
-    out = (counts[:, 0] - counts[:, 1]).astype(float).tolist()
-    norm = math.sqrt(math.fsum(v * v for v in out))
-    return [v / norm for v in out] if norm else out
+    """``hash_embeddings`` of one text."""
+    return hash_embeddings([text], dimensions)[0].tolist()
 
 
 class HashProvider:
-    """An embedding provider: ``info`` and ``embed``. Any object with these two can take its place."""
+    """An embedding provider: ``info``, ``embed`` and, for many texts at once, ``embed_all``. Any object with the first two can take its place."""
 
     def __init__(self, dimensions: int = 32):
         if dimensions <= 0:
@@ -80,14 +93,27 @@ class HashProvider:
     def embed(self, text: str) -> list[float]:
         return hash_embedding(text, self.info["dimensions"])
 
+    def embed_all(self, texts: list[str]) -> np.ndarray:
+        return hash_embeddings(texts, self.info["dimensions"])
+
 
 def embedding(text: Column | str, provider) -> Column:
-    """``provider.embed`` of a column, in Arrow batches."""
+    """``provider.embed`` of a column, in Arrow batches; ``provider.embed_all`` where there is one."""
+    every = getattr(provider, "embed_all", None)
     embed: Callable[[str], list[float]] = provider.embed
 
-    @F.pandas_udf("array<double>")
-    def go(s: pd.Series) -> pd.Series:
-        return s.fillna("").map(embed)
+    if every is None:
+
+        @F.pandas_udf("array<double>")
+        def go(s: pd.Series) -> pd.Series:
+            return s.fillna("").map(embed)
+
+    else:
+
+        @F.arrow_udf("array<double>")
+        def go(texts: pa.Array) -> pa.Array:
+            made = np.asarray(every([x or "" for x in texts.to_pylist()]), np.float64)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
 
     return go(text)
 
