@@ -29,9 +29,13 @@ def clean_text(x: Column | str) -> Column:
 
 
 def normalize_search_text(x: Column | str) -> Column:
-    """``clean_text`` with bullets spelled out and a space at every joint of ``JOINTS``."""
-    y = F.replace(clean_text(x), F.lit(BULLET), F.lit(" bullet "))
-    return clean_text(reduce(lambda z, j: F.regexp_replace(z, f"({j[0]})({j[1]})", "$1 $2"), JOINTS, y))
+    """``clean_text`` with bullets spelled out and a space at every joint of ``JOINTS``.
+
+    A joint is two neighbours, and a space in one leaves all others as they are, so one pass finds those of all kinds, and none makes a run of spaces.
+    """
+    y = clean_text(x)
+    spelled = F.when(F.contains(y, F.lit(BULLET)), clean_text(F.replace(y, F.lit(BULLET), F.lit(" bullet ")))).otherwise(y)
+    return F.regexp_replace(spelled, "|".join(f"(?<={a})(?={b})" for a, b in JOINTS), " ")
 
 
 def query_terms(query: str) -> list[str]:

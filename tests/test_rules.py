@@ -189,3 +189,20 @@ def test_hash_embedding_is_that_of_its_tokens(spark):
             want[int.from_bytes(h[:4], "big") % d] += 1.0 if h[4] % 2 == 0 else -1.0
     norm = sum(x * x for x in want) ** 0.5
     assert retrieval.hash_embedding(text, d) == [x / norm for x in want] and retrieval.hash_embedding("", d) == [0.0] * d
+
+
+def test_joints_in_one_pass_are_those_of_one_after_another(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aB3%().,: ●\n") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+
+    def want(x):
+        x = re.sub(r"\s+", " ", x).strip().replace("●", " bullet ")
+        for a, b in t.JOINTS:
+            x = re.sub(f"({a})({b})", r"\1 \2", x)
+        return re.sub(r"\s+", " ", x).strip()
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", t.normalize_search_text("x").alias("y")).collect()
+    assert [r.y for r in sorted(rows)] == [want(x) for x in texts]
