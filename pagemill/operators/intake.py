@@ -107,10 +107,11 @@ def recognized(entries: DataFrame, sources: DataFrame, root: str, reader: Callab
     there = sources.select(bare.alias("path")).distinct().withColumn("there", F.lit(True))
     missing = F.raise_error(F.concat(F.lit("no such source file: "), F.col("path"))).cast("string")
     known = wanted.join(there, "path", "left").select("corpus_id", "book_id", "source_sha256", F.when(F.col("there"), F.col("path")).otherwise(missing).alias("path"))
-    pages = records.ocr_pages(files.pages_of(sources.select(bare.alias("path"), "content"), reader))
+    pages = files.pages_of(sources.select(bare.alias("path"), "content"), reader)
     made = {"schema_version": F.lit(OCR_VERSION), "extraction_method": F.lit(method), "page_number": F.col("page"), "record_type": F.lit("ocr_page")}
     # from the left, so that an entry without its file reaches the error also where the other side has no pages
-    return known.join(pages, "path", "left").where("page is not null").withColumns(made).select(*[x.split(" ")[0] for x in PAGE.split(", ")])
+    found = records.ocr_pages(known.join(pages, "path", "left").where("page is not null"))  # hashes after the join, so that none is shuffled
+    return found.withColumns(made).select(*[x.split(" ")[0] for x in PAGE.split(", ")])
 
 
 def write_recognized(entries: DataFrame, sources: DataFrame, root: str, reader: Callable[[bytes], list[str]], output: str, private: str) -> dict:
