@@ -3,6 +3,7 @@
 import copy
 import re
 import sys
+import tracemalloc
 import xml.etree.ElementTree as ET
 from collections import Counter
 
@@ -66,6 +67,36 @@ def test_many_terms(spark):
     assert len(terms) > 45_000 and len(want) > 100 and found == want
 
 
+def test_folded_by_small_letters():
+    """Where small letters are the folded ones, the quick way gives them; a sigma at a word's end and the like don't go that way."""
+    for text in ("Ärger ÉCOLE слово СЛОВО", "ΟΔΟΣ", "ΟΔΟΣ x", "İx", "ſ K", "ẞ"):
+        assert denylist.folded(text) == text.translate(denylist._folds())
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    assert [denylist.folded(c) for c in every] == list("".join(every).translate(denylist._folds()))
+
+
+def test_a_long_line_leaves_a_task_once():
+    """What a text's findings hold grows with its line and its terms, not with their product; a line of 20,000 words with as many terms."""
+    words = [f"w{i:05d}" for i in range(20_000)]
+    line = " ".join(words)
+    tracemalloc.start()
+    machine = denylist.Automaton(words)
+    found = list(denylist.text_findings(line, machine))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(hits) for *_, hits in found) == 20_000 and len(found) == 1 and most < 100 << 20
+
+
+@pytest.mark.parametrize("batch", [1, 5000])
+def test_findings_in_small_batches(spark, monkeypatch, batch):
+    """What a task gives out at once is bounded: the findings are the same in batches of one line."""
+    monkeypatch.setattr(denylist, "BATCH", batch)
+    docs = [(i, "\n".join(f"a{j} b{j % 3}" for j in range(i))) for i in range(12)]
+    terms = [f"a{j}" for j in range(12)] + ["b1", "B1"]
+    got = denylist.denied_lines(spark.createDataFrame(docs, "id long, text string"), "id", spark.createDataFrame([(t,) for t in terms], "term string"), part=300)
+    assert Counter(map(tuple, got.collect())) == plain_findings(docs, terms)
+
+
 # --- matches ----------------------------------------------------------------------------------------------------------
 
 
