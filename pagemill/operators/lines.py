@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import alignment, visible
-from ..functions.tables import columns, stripped
+from ..functions.tables import columns, once, stripped
 from ..functions.text import clean_text, color_hex, first_number
 
 #: Fonts whose signs are pictures; words and patterns of the rules below.
@@ -38,24 +38,30 @@ def positioned_pieces(value: Column | str, xs: Column | str, gap: float = 22.0)
 
     xs: a position for each sign. Of another number of positions the text stays whole, at the first (0 if there is none); a blank end goes.
     """
-    value, xs = _c(value), _c(xs)
     kind = "array<struct<text:string,x:double>>"
-    zero = F.struct(F.lit(1).alias("start"), F.array().cast(kind).alias("out"))
-    piece = lambda start, end: F.substring(value, start, end - start)
-
-    def step(a: Column, i: Column) -> Column:
-        text = piece(a["start"], i)
-        here = (F.get(xs, i - 1) - F.get(xs, i - 2) > gap) & (stripped(text) != "")
-        found = F.struct(text.alias("text"), F.get(xs, a["start"] - 1).alias("x"))
-        return F.when(here, F.struct(i.alias("start"), F.array_append(a["out"], found).alias("out"))).otherwise(a)
-
-    def end(a: Column) -> Column:
-        text = F.substring(value, a["start"], F.length(value))
-        return F.when(stripped(text) == "", a["out"]).otherwise(F.array_append(a["out"], F.struct(text.alias("text"), F.get(xs, a["start"] - 1).alias("x"))))
-
-    whole = F.array(F.struct(value.alias("text"), F.coalesce(F.get(xs, F.lit(0)), F.lit(0.0)).alias("x"))).cast(kind)
-    cut = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(xs), F.lit(2))), zero, step, end)
-    return F.when((F.size(xs) <= 1) | (F.size(xs) != F.length(value)) | (F.size(cut) == 0), whole).otherwise(cut)
+
+    def cut(value: Column, xs: Column) -> Column:
+        zero = F.struct(F.lit(1).alias("start"), F.array().cast(kind).alias("out"))
+        named = lambda text, start: F.struct(text.alias("text"), F.get(xs, start - 1).alias("x"))
+        # only where the next sign stands far away is the text before it looked at
+        far = F.filter(F.sequence(F.lit(2), F.greatest(F.size(xs), F.lit(2))), lambda i: F.get(xs, i - 1) - F.get(xs, i - 2) > gap)
+
+        def step(a: Column, i: Column) -> Column:
+            piece = F.substring(value, a["start"], i - a["start"])
+            return once(piece, lambda text: F.when(stripped(text) != "", F.struct(i.alias("start"), F.array_append(a["out"], named(text, a["start"])).alias("out"))).otherwise(a))
+
+        def end(a: Column) -> Column:
+            rest = F.substring(value, a["start"], F.length(value))
+            return once(rest, lambda text: F.when(stripped(text) == "", a["out"]).otherwise(F.array_append(a["out"], named(text, a["start"]))))
+
+        return F.aggregate(far, zero, step, end)
+
+    def pieces(value: Column, xs: Column) -> Column:
+        whole = F.array(F.struct(value.alias("text"), F.coalesce(F.get(xs, F.lit(0)), F.lit(0.0)).alias("x"))).cast(kind)
+        some = once(cut(value, xs), lambda found: F.when(F.size(found) == 0, whole).otherwise(found))
+        return F.when((F.size(xs) <= 1) | (F.size(xs) != F.length(value)), whole).otherwise(some)
+
+    return once(F.struct(_c(value).alias("value"), _c(xs).alias("xs")), lambda row: pieces(row["value"], row["xs"]))
 
 
 def paragraph_lines(pieces: DataFrame, by: list[str], order: str) -> DataFrame:
