@@ -1,5 +1,6 @@
 """Books and indexes: filters reach planning, and outputs appear together or not at all."""
 
+import hashlib
 import json
 import os
 
@@ -93,3 +94,19 @@ def test_a_failing_page_leaves_no_book(spark, tmp_path):
     assert not os.path.exists(tmp_path / "book" / "book_manifest.json")
     books.vacuum(str(tmp_path / "book"))
     assert not os.listdir(tmp_path / "book" / "pages")
+
+
+def test_reader_gives_batches_of_bounded_size(tmp_path, monkeypatch):
+    """An index is read in Arrow batches of few bytes, not row by row in batches of 10,000; all rows come, nulls too."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    monkeypatch.setattr(books, "BATCH", 1000, raising=False)
+    lines = [json.dumps({"i": i, "text": "x" * 100 if i % 3 else None}) + "\n" for i in range(200)]
+    (tmp_path / "a.jsonl").write_text("".join(lines))
+    files = [{"name": "a.jsonl", "sha256": hashlib.sha256("".join(lines).encode()).hexdigest()}]
+    (tmp_path / "manifest.json").write_text(json.dumps({"files": files}))
+    source = books.IndexSource({"path": str(tmp_path)})
+    reader = source.reader(StructType([StructField("i", LongType()), StructField("text", StringType())]))
+    got = list(reader.read(reader.partitions()[0]))
+    assert len(got) > 10 and all(b.nbytes < 5000 for b in got)
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(i, "x" * 100 if i % 3 else None) for i in range(200)]
