@@ -224,3 +224,19 @@ def test_joints_in_one_pass_are_those_of_one_after_another(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", t.normalize_search_text("x").alias("y")).collect()
     assert [r.y for r in sorted(rows)] == [want(x) for x in texts]
+
+
+def test_embedding_in_slices(spark, monkeypatch):
+    """A provider of many texts gets a few of a batch at a time; the vectors are those of one call."""
+    provider = retrieval.HashProvider()
+
+    class Few(retrieval.HashProvider):
+        def embed_all(self, texts):
+            if len(texts) > 256:
+                raise ValueError("too many at once")
+            return super().embed_all(texts)
+
+    texts = [f"some words {i % 97} and {i}" if i % 50 else None for i in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1).select("i", retrieval.embedding("text", Few()).alias("e")).orderBy("i").collect()
+    assert [r.e for r in rows] == provider.embed_all([x or "" for x in texts]).tolist()
+    assert spark.createDataFrame([], "text string").select(retrieval.embedding("text", Few())).collect() == []
