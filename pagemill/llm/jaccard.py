@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, release, scan_bytes, shingles, slices
+from .common import cut, mix, release, scan_bytes, shingles, slices, trim
 from .graph import EDGES, components
 
 PERCENT = 80
 #: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
 PART, FLUSH, BLOCK, ROUNDS = 24 << 20, 3 << 20, 512, 2
+#: Postings of a part that are sorted at a time.
+SORTED = 1 << 20
 #: Long lists probed at a time.
 PROBED = 64
 #: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
@@ -120,6 +122,16 @@ def _deltas(x: np.ndarray) -> np.ndarray:
 _MOST = np.uint32((1 << 32) - 1)
 
 
+def in_ranges(key: list[np.ndarray], *others: list[np.ndarray], most: int = SORTED):
+    """The columns ``key`` (non-empty ascending arrays of 64-bit hashes) and ``others`` (arrays beside them) by ranges of the key, in order, about ``most`` rows at a time."""
+    least, k = min(int(x[0]) for x in key), sum(map(len, key)) // most + 1
+    size = max(int(x[-1]) for x in key) + 1 - least
+    inner = np.array([least + size * t // k for t in range(1, k)], np.uint64)
+    at = [[0, *np.searchsorted(x, inner).tolist(), len(x)] for x in key]
+    for t in range(k):
+        yield [np.concatenate([x[a[t] : a[t + 1]] for x, a in zip(column, at)]) for column in (key, *others)]
+
+
 def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """(class, n, hashes, prefix, common) of each class that may have a partner.
 
@@ -137,23 +149,29 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
         for batch in batches:
             for _, data, at in slices(batch, "text"):
                 row, h, n, name, second = text_sets(data, at)
-                held.append((row, h, n, renamed(name, second, others)))
+                held.append((row.astype(np.uint32), h, n, renamed(name, second, others)))
                 total += len(h)
                 if total > FLUSH or len(held) > 100:
                     yield from dealt(held)
                     held, total = [], 0
         if total:
             yield from dealt(held)
+        trim()
 
     def dealt(held):
-        base, at = [], 0
+        """``held`` as packed rows; it is emptied, and each column is let go once the next is made, as all of a task's memory counts."""
+        at = 0
         for x in held:
-            base.append(x[0] + at)
+            np.add(x[0], np.uint32(at), out=x[0])
             at += len(x[2])
-        row, h, n, name = np.concatenate(base), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        row, h, n, name = (np.concatenate([x[k] for x in held]) for k in range(4))
+        held.clear()
         name, first, back = np.unique(name, return_index=True, return_inverse=True)  # equal sets once
-        once = first[back[row]] == row
-        ref, h, n = back[row][once], h[once], n[first].astype(np.uint32)
+        ref = back.astype(np.uint32)[row]
+        once = first.astype(np.uint32)[ref] == row
+        del row
+        ref, h, n = ref[once], h[once], n[first].astype(np.uint32)
+        del once
         out = []
         if len(heavy) and (known := heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h).any():
             # straight to the classes, through any part
@@ -162,6 +180,7 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
             ref, h = ref[~known], h[~known]
         order = np.argsort(h, kind="stable")
         ref, h = ref[order], h[order]
+        del order
         edges = np.searchsorted(h, np.array([k * step for k in range(parts)], np.uint64))
         for part, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)])):
             if i < j:
@@ -173,11 +192,16 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
 
     def back_to_classes(name, h, df, n):
         """Packed rows of postings, by the part that holds their class: part, name, h, df, n."""
-        to = (name % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((name, to))
-        name, h, df, n, to = name[order], h[order], df[order], n[order], to[order]
-        edges = np.searchsorted(to, np.arange(parts + 1))
-        return [(p, _zip(_deltas(name[i:j])), _zip(h[i:j]), _zip(df[i:j]), _zip(n[i:j])) for p, (i, j) in enumerate(zip(edges, edges[1:])) if i < j]
+        to = (name % np.uint64(parts)).astype(np.min_scalar_type(parts))
+        order = np.argsort(to, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=parts))])
+        out = []
+        for p, (i, j) in enumerate(zip(edges, edges[1:])):
+            if i < j:
+                own = order[i:j]
+                own = own[np.argsort(name[own], kind="stable")]
+                out.append((p, _zip(_deltas(name[own])), _zip(h[own]), _zip(df[own]), _zip(n[own])))
+        return out
 
     def counted(batches):
         """One part: all postings of its range of hashes."""
@@ -190,17 +214,32 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
                 h.append(np.cumsum(_unzip(a, np.uint64), dtype=np.uint64))
                 name.append(np.cumsum(_unzip(c, np.uint64), dtype=np.uint64))
                 n.append(_unzip(d, np.uint32))
-                ref.append(_unzip(b, np.uint32).astype(np.int64) + at)
+                ref.append(_unzip(b, np.uint32) + np.uint32(at))
                 at += len(name[-1])
         if not h:
             return
-        h, ref, name, n = map(np.concatenate, (h, ref, name, n))
+        name, n = np.concatenate(name), np.concatenate(n)
+        found = [[np.zeros(0, k)] for k in (np.uint64, np.uint64, np.uint32, np.uint32)]
+        for x in in_ranges(h, ref):
+            for column, of in zip(found, shared(*x, name, n)):
+                column.append(of)
+        del h, ref
+        columns = []
+        while found:  # one by one, each list let go
+            columns.append(np.concatenate(found.pop(0)))
+        if len(columns[0]):
+            yield _blobs(back_to_classes(*columns))
+        del columns
+        trim()
+
+    def shared(h, ref, name, n):
+        """name, h, df, n of the postings whose shingle several classes have, by h and name."""
         order = np.argsort(h, kind="stable")
         h, ref = h[order], ref[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        group_of = np.cumsum(new) - 1
-        often = np.bincount(group_of)[group_of] > 1
+        again = h[1:] == h[:-1]
+        often = np.zeros(len(h), bool)
+        often[1:] = again
+        often[:-1] |= again
         h, ref = h[often], ref[often]
         name_ = name[ref]
         order = np.lexsort((name_, h))
@@ -208,33 +247,34 @@ def shared_shingles(docs: DataFrame, heavy: np.ndarray | None = None, others: di
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (name_[1:] != name_[:-1])  # a class that several tasks have met
         h, name_, n_ = h[new], name_[new], n_[new]
-        if not len(h):
-            return
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         group_of = np.cumsum(new) - 1
         df = np.bincount(group_of)[group_of].astype(np.uint32)
         keep = df > 1
-        h, name_, n_, df = h[keep], name_[keep], n_[keep], df[keep]
-        yield _blobs(back_to_classes(name_, h, df, n_))
+        return name_[keep], h[keep], df[keep], n_[keep]
 
     def prefixes(batches):
         """One part: all classes whose names fall there, with their postings."""
         columns = [[] for _ in range(4)]
         for batch in batches:
-            for k, c in enumerate(("name", "h", "df", "n")):
-                columns[k] += batch.column(c).to_pylist()
+            for column, c, kind in zip(columns, ("name", "h", "df", "n"), (np.uint64, np.uint64, np.uint32, np.uint32)):
+                column += [np.cumsum(y, dtype=kind) if c == "name" else y for y in (_unzip(x, kind) for x in batch.column(c).to_pylist())]
         if not columns[0]:
             return
-        name = np.concatenate([np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in columns[0]])
-        h, df, n = (np.concatenate([_unzip(x, k) for x in c]) for c, k in zip(columns[1:], (np.uint64, np.uint32, np.uint32)))
+        for x in in_ranges(*columns):
+            yield from prefixed(*x)
+        del columns
+        trim()
+
+    def prefixed(name, h, df, n):
         order = np.lexsort((h, df, name))
         name, h, df, n = name[order], h[order], df[order], n[order].astype(np.int64)
         again = np.zeros(len(h), bool)
         again[1:] = (name[1:] == name[:-1]) & (h[1:] == h[:-1])  # heavy ones of a class that several tasks have met
         name, h, df, n = name[~again], h[~again], df[~again], n[~again]
-        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        end = np.append(begin[1:], len(name))
+        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(name))[: len(begin)]
         n = n[begin]
         alone = n - (end - begin)
         length = n - -(-PERCENT * n // 100) + 1 - alone

@@ -3,11 +3,14 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -519,6 +522,46 @@ def test_op9_sets_that_share_a_name(spark):
     assert new.tolist() == [7, got[2], 8]
 
 
+def test_op9_memory_of_a_task(spark, monkeypatch):
+    """Of each posting, tasks hold little more than its hash and its class, whatever the part's size; three texts in four have near copies."""
+
+    class Taken:
+        tasks, sparkSession = [], spark
+        select = repartitionById = lambda self, *a: self
+        mapInArrow = lambda self, f, schema: self.tasks.append(f) or self
+
+    monkeypatch.setattr(jaccard, "scan_bytes", lambda rows: 8 * jaccard.PART)
+    monkeypatch.setattr(jaccard, "SORTED", 1 << 14, raising=False)
+    jaccard.shared_shingles(Taken())
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(1 << 30, size=1000))) for _ in range(400)]
+    texts = [t for i, t in enumerate(texts) for t in ([t, f"{t} more", f"less {t}"] if i % 4 else [t])]
+    peaks, postings = [], 1000 * len(texts)
+
+    def run(task, batches, postings):
+        tracemalloc.start()
+        out = [b for b in task(iter(batches)) if b.num_rows]
+        peaks.append(tracemalloc.get_traced_memory()[1] / postings)
+        tracemalloc.stop()
+        return out
+
+    part = lambda batches, k: [b.filter(pa.compute.equal(b["part"], k)) for b in batches]
+    blobs = run(Taken.tasks[0], [pa.record_batch([pa.array(texts)], ["text"])], postings)
+    back = [b for k in range(8) for b in run(Taken.tasks[1], part(blobs, k), postings / 8)]
+    classes = [b for k in range(8) for b in run(Taken.tasks[2], part(back, k), postings / 8)]
+    assert sum(b.num_rows for b in classes) == 900 and peaks[0] < 60, peaks
+
+
+def test_op9_columns_by_ranges():
+    rng = np.random.default_rng(5)
+    keys = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 500, 70)] + [np.full(9, (1 << 64) - 1, np.uint64)]
+    for most in (1, 13, 1000):
+        got = list(jaccard.in_ranges(keys, [k + np.uint64(1) for k in keys], most=most))
+        assert sorted(np.concatenate([k for k, _ in got]).tolist()) == sorted(np.concatenate(keys).tolist()) and all((o == k + np.uint64(1)).all() for k, o in got)
+        ends = [(k.min(), k.max()) for k, _ in got if len(k)]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and len(got) == 580 // most + 1
+
+
 def test_op9_search():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 40, 400, dtype=np.uint64)
