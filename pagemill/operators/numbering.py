@@ -5,11 +5,14 @@ Rows are dealt by range and written once; then each part numbers its own rows an
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.books import shared_folder
+from ..sources.books import shared_folder, small_batches
 
 
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "number", parts: int | None = None) -> DataFrame:
@@ -54,3 +57,33 @@ def coded(values: DataFrame, value: str, dictionary: DataFrame, name: str = "cod
 def decoded(codes: DataFrame, value: str, dictionary: DataFrame, name: str = "code") -> DataFrame:
     """``coded`` undone."""
     return codes.join(dictionary.select(name, value), name, "left").drop(name)
+
+
+def folded_words(texts: DataFrame, key: str, text: str, separator: str) -> DataFrame:
+    """(key, word, place, n, places) of each row's distinct words: where one stands first, from 0, how often it occurs, and the sum of its places from 1.
+
+    ``separator`` is an expression that Java and RE2 read alike; empty words count, a null text has none. Split once, and written to the shared
+    folder, as a word that a text repeats need not be shuffled for each of its places.
+    """
+
+    def fold(batches):
+        for batch in batches:
+            lists = pc.split_pattern_regex(batch.column(1), separator)
+            owner, words = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+            if not len(owner):
+                continue
+            place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(batch.num_rows))[owner]
+            codes = words.dictionary_encode()
+            pair = owner.astype(np.int64) * len(codes.dictionary) + codes.indices.to_numpy()
+            order = np.argsort(pair, kind="stable")
+            begin = np.flatnonzero(np.diff(pair[order], prepend=-1))
+            first = order[begin]
+            counts = np.diff(begin, append=len(order)), np.add.reduceat(place[order] + 1, begin)
+            columns = [batch.column(0).take(pa.array(owner[first])), words.take(pa.array(first)), pa.array(place[first], pa.int32()), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "word", "place", "n", "places"])
+
+    path, kind = shared_folder(texts.sparkSession), texts.schema[key].dataType
+    folded = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(fold, f"key {kind.simpleString()}, word string, place int, n long, places long")
+    with small_batches(texts.sparkSession):
+        folded.withColumnRenamed("key", key).write.parquet(path)
+    return texts.sparkSession.read.parquet(path)

@@ -1,5 +1,6 @@
 """Numbers and dictionaries against Python's own."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -46,3 +47,21 @@ def test_first_seen(spark):
     back = numbering.decoded(coded, "word", dictionary)
     assert Counter(map(tuple, back.select("doc", "place", "word").collect())) == Counter(rows)
     assert numbering.first_seen(df.limit(0), "word", ["doc", "place"]).count() == 0
+
+
+def test_folded_words(spark):
+    """One row for each word of a text, however often it stands there, with what its places add up to."""
+    texts = [(1, "b a b  b"), (2, None), (3, ""), (4, " \ta\r\nb "), (5, "ä a\u00a0a ä ä"), (6, "x " * 5000), (1, "b c")]
+    want = Counter()
+    for i, t in texts:
+        found = {}
+        for k, w in enumerate(re.split(r"[ \t\n\r]+", t) if t is not None else []):
+            found.setdefault(w, []).append(k)
+        want.update((i, w, at[0], len(at), sum(at) + len(at)) for w, at in found.items())
+    df = spark.createDataFrame(texts, "id long, t string")
+    for rows in (df.coalesce(1), df.repartition(5)):
+        got = numbering.folded_words(rows, "id", "t", r"[ \t\n\r]+")
+        assert Counter(map(tuple, got.collect())) == want and got.columns == ["id", "word", "place", "n", "places"]
+    exploded = df.select("id", F.posexplode(F.split("t", r"[ \t\n\r]+")).alias("place", "word")).groupBy("id", "word").agg(F.count("*"), F.sum(F.col("place") + 1))
+    assert Counter(map(tuple, exploded.collect())) == Counter(map(tuple, got.groupBy("id", "word").agg(F.sum("n"), F.sum("places")).collect()))
+    assert numbering.folded_words(df.limit(0), "id", "t", " ").count() == 0
