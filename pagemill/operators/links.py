@@ -29,8 +29,10 @@ def resolved(pages: DataFrame, path: str = "path", html: str = "html") -> DataFr
     Fragments and queries are cut off, percent signs decoded (a broken one stays as it is), ``<base>`` is followed, a leading slash means the
     root. Links with a scheme and mere fragments are left out.
     """
-    found = F.array_distinct(F.regexp_extract_all(F.regexp_replace(html, r"(?i)<base\s[^>]*>", ""), F.lit(_LINK), F.lit(1)))
-    rows = pages.select(F.col(path).alias("path"), F.regexp_extract(html, _BASE, 1).alias("base"), F.explode(found).alias("link"))
+    based = F.lower(html).contains("<base")  # few pages are, and all others are searched once
+    plain_ = F.when(based, F.regexp_replace(html, r"(?i)<base\s[^>]*>", "")).otherwise(F.col(html))
+    found = F.array_distinct(F.regexp_extract_all(plain_, F.lit(_LINK), F.lit(1)))
+    rows = pages.select(F.col(path).alias("path"), F.when(based, F.regexp_extract(html, _BASE, 1)).otherwise("").alias("base"), F.explode(found).alias("link"))
     rows = rows.where(r"not link rlike '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)' and not base rlike '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)'")
     cut = F.regexp_replace("link", r"[?#].*$", "")
     plain = F.coalesce(F.try_url_decode(F.replace(cut, F.lit("+"), F.lit("%2B"))), cut)
@@ -40,6 +42,13 @@ def resolved(pages: DataFrame, path: str = "path", html: str = "html") -> DataFr
     return rows.select("path", "link", normal_path(whole).alias("target"))
 
 
+def held(links: DataFrame) -> DataFrame:
+    """``resolved`` links written once to the shared folder: what is asked of them in turn doesn't search the pages again."""
+    folder = shared_folder(links.sparkSession)
+    links.write.parquet(folder)
+    return links.sparkSession.read.parquet(folder)
+
+
 def dangling(links: DataFrame, files: DataFrame) -> DataFrame:
     """(path, link, why) of links (path, link, target) that lead out of the root or to no file (path)."""
     there = files.select(F.col("path").alias("target")).distinct()
@@ -60,7 +69,8 @@ def unreachable(links: DataFrame, files: DataFrame, entry: str) -> DataFrame:
     only its size comes to the driver.
     """
     spark, folder = links.sparkSession, shared_folder(links.sparkSession)
-    all_ = files.select("path").distinct()
+    files.select("path").distinct().write.parquet(f"{folder}/files")
+    all_ = spark.read.parquet(f"{folder}/files")
     steps = links.where("target is not null").select("path", "target").distinct().join(all_.withColumnRenamed("path", "target"), "target", "left_semi")
     steps.select("path", "target").write.parquet(f"{folder}/steps")
     steps = spark.read.parquet(f"{folder}/steps")

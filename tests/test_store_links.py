@@ -3,6 +3,7 @@
 import json
 from urllib.parse import unquote
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,23 @@ def test_closure(spark):
     assert links.unreachable(found, site, "nowhere").count() == 12
 
 
+def test_held_links_search_pages_once(spark):
+    pages = [(f"p{i}", f'<BASE href="/s/"><a href="p{i + 1}">' if i % 3 else f'<a href="p{i + 1}">') for i in range(12)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    site = spark.createDataFrame(pages, "path string, html string")
+    found = links.held(links.resolved(site.withColumn("html", counted.asNondeterministic()("html"))))
+    assert {(r.path, r.target) for r in found.collect()} == {(f"p{i}", f"s/p{i + 1}" if i % 3 else f"p{i + 1}") for i in range(12)}
+    searched = seen.value
+    assert links.dangling(found, site).count() == 8 and links.orphans(found, site).count() == 8
+    assert links.unreachable(found, site, "p0").count() == 10 and seen.value == searched == 12
+
+
 def test_search_errors(spark):
     record = lambda **more: json.dumps({"schema_version": "v3", "record_id": "r", "book_id": "b", "source_pdf_sha256": "s", "page": 1, "page_id": "p", "record_type": "page", "text": "A text", "artifact_path": "", "metadata": {"review_role": "Judge"}} | more)
     rows = [record(), record(page=7, text="  "), record(page=9, text=""), record(record_type="table", text="", record_id="t1"), record(metadata="{x}"), '{"schema_version": null}']
