@@ -4,6 +4,7 @@ import hashlib
 import json
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,14 @@ def test_broken_records_and_empty_inventories(spark, tmp_path):
     assert {r.path for r in intake.inventory_issues(spark, str(tmp_path / "e")).collect()} == {"manifest_version", "batch_id"}
     with open(tmp_path / "e" / "intake_manifest.json") as f:
         assert json.load(f)["files"] == []
+
+
+def test_lines_of_a_batch_are_those_of_json():
+    rows = [
+        {"b": "a\"\\\n\t\x00\x7f\u2028 ä 😀", "a": 1, "é": -0.0, "l": ["x", None], "t": True}, {"b": None, "a": None, "é": None, "l": None, "t": None},
+        {"b": "", "a": -(1 << 63), "é": float("inf"), "l": [], "t": False}, {"b": "", "a": 0, "é": 0.0, "l": ["ä"], "t": True}, {"b": "null", "a": 7, "é": 1e300, "l": ["x"], "t": None},
+    ]
+    schema = pa.schema([("b", pa.string()), ("a", pa.int64()), ("é", pa.float64()), ("l", pa.list_(pa.string())), ("t", pa.bool_())])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    want = [json.dumps(r, sort_keys=True, ensure_ascii=False) + "\n" for r in rows]
+    assert books.json_lines(batch, schema.names).to_pylist() == want and books.json_lines(batch.slice(1, 3), schema.names).to_pylist() == want[1:4]
