@@ -122,9 +122,9 @@ def _deltas(x: np.ndarray) -> np.ndarray:
 _MOST = np.uint32((1 << 32) - 1)
 
 
-def in_ranges(key: list[np.ndarray], *others: list[np.ndarray], most: int = SORTED):
-    """The columns ``key`` (non-empty ascending arrays of 64-bit hashes) and ``others`` (arrays beside them) by ranges of the key, in order, about ``most`` rows at a time."""
-    least, k = min(int(x[0]) for x in key), sum(map(len, key)) // most + 1
+def in_ranges(key: list[np.ndarray], *others: list[np.ndarray], most: int | None = None):
+    """The columns ``key`` (non-empty ascending arrays of 64-bit hashes) and ``others`` (arrays beside them) by ranges of the key, in order, about ``most`` (``SORTED``) rows at a time."""
+    least, k = min(int(x[0]) for x in key), sum(map(len, key)) // (most or SORTED) + 1
     size = max(int(x[-1]) for x in key) + 1 - least
     inner = np.array([least + size * t // k for t in range(1, k)], np.uint64)
     at = [[0, *np.searchsorted(x, inner).tolist(), len(x)] for x in key]
