@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain_plans
+from .common import cut, plain_plans, release
 
 #: Edges in a partition of a written round.
 EDGES = 500_000
@@ -17,14 +17,18 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that can be reached.
 
     Alternating large and small stars: each round shuffles the edges four times, and the number of rounds grows with the
     logarithm of the nodes. Every round is written to the shared folder; only its checksum comes to the driver. Null ends and
-    loops are ignored; an empty table gives none.
+    loops are ignored; an empty table gives none. ``edges`` are read once, so they needn't be written before.
+
+    parts: in how many files the edges are written first, where they are known to be few; else in as many as the shuffle has partitions.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = cut(now.coalesce(parts) if parts else now)
+    release(edges.sparkSession)
     with plain_plans(edges.sparkSession):
         now = _stars(now)
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

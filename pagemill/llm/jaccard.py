@@ -407,7 +407,7 @@ def class_links(classes: DataFrame) -> DataFrame:
         blocks = size.withColumn("s", F.explode(F.sequence(F.lit(0), F.expr(f"cast((k - 1) div {BLOCK} as int)"))))
         queries = blocks.select(F.col("a").alias("q"), "s", F.col("a").alias("class"), F.col("ra").alias("root"), F.lit(0).alias("side"))
         others = pairs.join(size.drop("ra"), "a").select(F.col("a").alias("q"), F.expr(f"cast(pmod(xxhash64(b), (k - 1) div {BLOCK} + 1) as int)").alias("s"), F.col("b").alias("class"), F.col("rb").alias("root"), F.lit(1).alias("side"))
-        found = cut(queries.unionByName(others).join(sets, "class").groupBy("q", "s").applyInArrow(_compared, "a long, b long"))
+        found = queries.unionByName(others).join(sets, "class").groupBy("q", "s").applyInArrow(_compared, "a long, b long")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         roots = _joined(roots, found, few)
     release(classes.sparkSession)
@@ -427,14 +427,16 @@ def class_links(classes: DataFrame) -> DataFrame:
     others = others.withColumn("s", F.explode(F.expr("sequence(0, ke - 1)"))).select("list", F.col("e").alias("c"), "s", F.col("c").alias("d"), "t", "class", "root", F.lit(1).alias("side"))
     release(classes.sparkSession)
     both = asked.unionByName(others).select(F.concat_ws(":", "list", "c", "s", "d", "t").alias("q"), "class", "root", "side")
-    found = cut(both.join(sets, "class").groupBy("q").applyInArrow(_compared, "a long, b long"))
-    return _joined(roots, found, few)
+    return _joined(roots, both.join(sets, "class").groupBy("q").applyInArrow(_compared, "a long, b long"), few)
 
 
 def _joined(roots: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """(node, root) once roots that ``links`` (a, b) join are one; a node that isn't in ``roots`` was its own."""
-    release(roots.sparkSession)
-    new = components(links)
+    """(node, root) once roots that ``links`` (a, b) join are one; a node that isn't in ``roots`` was its own.
+
+    ``links`` go from the tasks that find them through one shuffle into ``parts`` files, not first into one a task: for every file in a local
+    folder Hadoop starts processes (chmod) from the executor, and until such a process runs its own program it counts as large as the executor.
+    """
+    new = components(links, parts)
     moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return cut(moved.unionByName(new.join(roots, "node", "left_anti").select("node", "root")).coalesce(parts))
 

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm import fingerprint, html_text, jaccard, mixing, neighbours, packing, quality, secrets, sstable, toxicity
+from pagemill.llm import fingerprint, graph, html_text, jaccard, mixing, neighbours, packing, quality, secrets, sstable, toxicity
 from pagemill.llm.common import shared_dir
 from pagemill.llm.encoding import encoder, tokenizer_path
 
@@ -552,6 +552,28 @@ def test_op9_memory_of_a_task(spark, monkeypatch):
     assert sum(b.num_rows for b in classes) == 900 and max(peaks) < 60, peaks
 
 
+def test_op9_links_are_written_in_few_files(spark, docs, rows, monkeypatch):
+    """Links come from as many tasks as the shuffle has partitions; they are written once, in the files that their number needs."""
+    files, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        files.append((*out.columns, out._jdf.queryExecution().toRdd().getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = jaccard.jaccard_components(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = components({r[0]: r[1] for r in rows if r[0] is not None})
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert ("u", "v", 1) in files and not [x for x in files if x[:-1] in (("a", "b"), ("u", "v"), ("node", "root")) and x[-1] > 1], files
+
+
 def test_op9_columns_by_ranges():
     rng = np.random.default_rng(5)
     keys = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 500, 70)] + [np.full(9, (1 << 64) - 1, np.uint64)]
