@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, release, scan_bytes, shingles, slices, trim
-from .graph import EDGES, components
+from .common import ROWS, cut, mix, release, scan_bytes, shingles, slices, trim, whole
+from .graph import components
 
 PERCENT = 80
 #: Text bytes behind the postings that a task holds, shingles in memory before a task hands them over, classes in a block of the last search, rounds with leaders.
 PART, FLUSH, BLOCK, ROUNDS = 24 << 20, 3 << 20, 512, 2
 #: Postings of a part that are sorted at a time.
 SORTED = 1 << 20
+#: Partitions over which the members of the last search are dealt, if they were in one.
+DEALT = 12
 #: Long lists probed at a time.
 PROBED = 64
 #: A shingle is heavy if a slice of texts (2 MB) has it in this share of its classes and in ``LOCAL`` of them, and if such slices hold it in this
@@ -376,21 +378,23 @@ def class_links(classes: DataFrame) -> DataFrame:
     lists = members.groupBy("list").agg(F.count("*").alias("k"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("mark"))
     lists = lists.where("k > 1").groupBy("k", "mark").agg(F.min("list").alias("list"))  # equal lists once
     members = cut(members.join(lists.select("list"), "list"))
-    few = members.count() // EDGES + 1  # partitions of tables that have no more rows than this one
+    few = members.count() // ROWS + 1  # partitions of tables that have no more rows than this one
+    members = whole(members, few)
     sets = classes.select("class", "n", "hashes")
     tested = None
     roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
     for turn in range(ROUNDS):
         release(classes.sparkSession)
-        open_ = cut(_open(members, roots).coalesce(few))
+        open_ = whole(cut(_open(members, roots).coalesce(few)), few)
         if open_.isEmpty():
             return roots
         # the leader: of all that aren't in the list's largest component, the one most like the others (an original, not a copy)
         size = open_.groupBy("list", "root").agg(F.count("*").alias("k"))
         # written, so that each join below is a stage of its own, in which Spark splits the members of a long list
         main = cut(size.groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("members")).coalesce(few))
+        main = whole(main, few)
         lead = open_.join(main, "list").where("main.k = 1 or root <> main.root").groupBy("list").agg(F.max(F.struct("common", "class", "n", "root")).alias("q"), F.max("members").alias("members"))
-        lead = cut(lead.coalesce(few))
+        lead = whole(cut(lead.coalesce(few)), few)
         pairs = open_.join(lead, "list").where("root <> q.root").where(f"100 * least(n, q.n) >= {PERCENT} * greatest(n, q.n)")
         pairs = pairs.select(F.col("q.class").alias("a"), F.col("class").alias("b"), F.col("q.root").alias("ra"), F.col("root").alias("rb"), "members", "q.common")
         if turn:
@@ -399,8 +403,8 @@ def class_links(classes: DataFrame) -> DataFrame:
             longest = F.max(F.struct("members", "common", "a", "ra")).alias("m")
             pairs = pairs.groupBy("b", "rb").agg(longest).select("m.a", "b", "m.ra", "rb")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs.coalesce(few))
+            pairs = pairs.join(whole(tested, few), ["a", "b"], "left_anti")
+        pairs = whole(cut(pairs.coalesce(few)), few)
         if pairs.isEmpty():
             break
         size = pairs.groupBy("a", "ra").agg(F.count("*").alias("k"))
@@ -415,10 +419,13 @@ def class_links(classes: DataFrame) -> DataFrame:
     open_ = cut(_open(members, roots).withColumn("c", F.floor(F.log("n") / math.log(100 / PERCENT) - 1e-9).cast("int")).coalesce(few))
     if open_.isEmpty():
         return roots
+    open_ = whole(open_, few)
     size = open_.groupBy("list", "root").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "root")).alias("main"))
-    open_ = cut(open_.join(cut(size.coalesce(few)), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")).coalesce(few))
+    open_ = cut(open_.join(whole(cut(size.coalesce(few)), few), "list").select("list", "c", "class", "root", (F.col("root") == F.col("main.root")).alias("in_main")).coalesce(few))
     apart = F.expr(f"cast((count_if(not in_main) - 1) div {BLOCK} + 1 as int)").alias("ks")
-    k = cut(open_.groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("kt"), apart, F.count_if(~F.col("in_main")).alias("outside")).coalesce(few))
+    k = cut(whole(open_, few).groupBy("list", "c").agg(F.expr(f"cast((count(*) - 1) div {BLOCK} + 1 as int)").alias("kt"), apart, F.count_if(~F.col("in_main")).alias("outside")).coalesce(few))
+    if few == 1:
+        open_ = open_.repartition(DEALT)  # from here on each row becomes many, which isn't one task's work
     near = k.select("list", F.col("c").alias("d"), F.col("kt").alias("kd"))
     asked = open_.where("not in_main").join(k, ["list", "c"]).withColumn("s", F.expr("cast(pmod(xxhash64(class), ks) as int)")).join(near, "list").where("abs(c - d) <= 1")
     asked = asked.withColumn("t", F.explode(F.expr("sequence(0, kd - 1)"))).select("list", "c", "s", "d", "t", "class", "root", F.lit(0).alias("side"))
@@ -436,9 +443,9 @@ def _joined(roots: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     ``links`` go from the tasks that find them through one shuffle into ``parts`` files, not first into one a task: for every file in a local
     folder Hadoop starts processes (chmod) from the executor, and until such a process runs its own program it counts as large as the executor.
     """
-    new = components(links, parts)
+    new = whole(components(links, parts), parts)
     moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(moved.unionByName(new.join(roots, "node", "left_anti").select("node", "root")).coalesce(parts))
+    return whole(cut(moved.unionByName(new.join(roots, "node", "left_anti").select("node", "root")).coalesce(parts)), parts)
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:

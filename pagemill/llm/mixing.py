@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, plain_plans
+from .common import ROWS, cut, plain_plans, whole
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Documents to each part of a table whose copies are numbered by themselves in each source and size class; parts at most.
@@ -60,25 +60,27 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CA
 def balanced(rows: DataFrame, goals: DataFrame, cap: float = CAP, base: Column | None = None) -> DataFrame:
     """(key, m, mean) of every source: the multiplier that makes the tilted rates meet ``goals`` (a null m: the rate is ``cap``), the mean size."""
     cells = cut(rows.where("size > 0").withColumn("q", (F.lit(1.0) if base is None else base).cast("double")).groupBy("key", "size", "q").agg(F.count("*").alias("n")))
+    few = (cells.count() + goals.count()) // ROWS + 1
+    cells, goals = whole(cells, few), whole(goals, few)
     means = cells.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
     start = goals.join(means, "key", "left").select("key", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.when(~full, 0.0).alias("m"))
     done = start.where("m is null").select("key", "m", "mean")
-    dual = cut(start.where("m is not null").select("*", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
+    dual = cut(start.where("m is not null").select("*", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")).coalesce(few))
     words = (F.col("size") * F.col("n")).cast("decimal(20,0)")
     for turn in range(ITERATIONS):
         x = F.col("size") / F.col("mean")
         rate = tilted(F.col("q"), F.col("m") * x, cap)
         now = F.sum(words * F.round(rate * UNIT).cast("decimal(18,0)")).cast("double") / UNIT
         slope = F.sum(words * F.round(x * rate * (1 - rate / cap) * UNIT).cast("decimal(18,0)")).cast("double") / UNIT
-        sums = cells.join(dual, "key").groupBy("key", "target", "mean", "m", "low", "high").agg(now.alias("now"), slope.alias("slope"))
+        sums = cells.join(whole(dual, few), "key").groupBy("key", "target", "mean", "m", "low", "high").agg(now.alias("now"), slope.alias("slope"))
         gap = F.col("now") - F.col("target")
         sums = sums.withColumn("gap", gap).withColumn("low", F.when(gap < 0, F.col("m")).otherwise(F.col("low"))).withColumn("high", F.when(gap < 0, F.col("high")).otherwise(F.col("m")))
         step = F.when(F.col("slope") > 0, F.col("m") - F.col("gap") / F.col("slope"))
         inside = (step > F.col("low")) & (step < F.col("high"))
         wide = F.when(F.col("high") == float("inf"), 2 * F.abs("m") + 1).when(F.col("low") == float("-inf"), -2 * F.abs("m") - 1).otherwise((F.col("low") + F.col("high")) / 2)
         far = F.abs(F.col("gap")) > TOLERANCE * F.col("target")
-        dual = cut(sums.select("key", "target", "mean", F.when(~far, F.col("m")).when(inside, step).otherwise(wide).alias("m"), "low", "high", far.alias("far")))
+        dual = cut(sums.select("key", "target", "mean", F.when(~far, F.col("m")).when(inside, step).otherwise(wide).alias("m"), "low", "high", far.alias("far")).coalesce(few))
         if turn % 3 == 2 and dual.where("far").isEmpty():  # a multiplier that has arrived stays
             return done.unionByName(dual.select("key", "m", "mean"))
         dual = dual.drop("far")

@@ -574,6 +574,23 @@ def test_op9_links_are_written_in_few_files(spark, docs, rows, monkeypatch):
     assert ("u", "v", 1) in files and not [x for x in files if x[:-1] in (("a", "b"), ("u", "v"), ("node", "root")) and x[-1] > 1], files
 
 
+@pytest.mark.parametrize("most", [500_000, 60])
+def test_op9_rounds_over_few_links_are_not_shuffled(spark, monkeypatch, most):
+    """Links that fit in a partition are not shuffled by the rounds, which would cost the driver many tasks; more are dealt out, with the same result."""
+    plans, cut = [], graph.cut
+
+    def seen(df):
+        plans.append("Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", seen)
+    monkeypatch.setattr(graph, "EDGES", most)
+    links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 50 != 49] + [(7, 7), (None, 3), (290, 260)], "a long, b long").repartition(5)
+    assert {tuple(r) for r in graph.components(links).collect()} == {(i, i // 50 * 50) for i in range(300)}
+    rounds = plans[1:]  # the first writes the links
+    assert rounds and any(rounds) == (most == 60), plans
+
+
 def test_op9_columns_by_ranges():
     rng = np.random.default_rng(5)
     keys = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 500, 70)] + [np.full(9, (1 << 64) - 1, np.uint64)]
