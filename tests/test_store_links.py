@@ -3,10 +3,12 @@
 import json
 from urllib.parse import unquote
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import catalog_folds
 from pagemill.operators import links, packet, retrieval, vector_store
 
 RECORDS = "record_id string, text string, page int"
@@ -45,6 +47,26 @@ def test_only_changes_are_embedded(spark, tmp_path):
     assert vector_store.update(df([]), path, Counting([])) == {"embedded": 0, "gone": 3, "chunks": 0}
 
 
+def test_records_without_text_count(spark, tmp_path):
+    path, provider = str(tmp_path / "index"), retrieval.HashProvider(8)
+    df = lambda rows: spark.createDataFrame(rows, RECORDS)
+    first = [("a", "alpha one", 1), ("b", None, 2), ("c", "", 3), ("d", " \n ", 4)]
+    assert vector_store.update(df(first), path, provider) == {"embedded": 4, "gone": 0, "chunks": 1}
+    assert vector_store.update(df(first), path, provider) == {"embedded": 0, "gone": 0, "chunks": 1}
+    assert vector_store.update(df([*first[:2], ("c", "gamma", 3)]), path, provider) == {"embedded": 1, "gone": 2, "chunks": 2}
+    assert vector_store.compact(spark, path)["generations"][0]["records"] == 3
+    assert vector_store.update(df(first), path, provider) == {"embedded": 2, "gone": 1, "chunks": 1}
+
+
+def test_index_upkeep_counts_documents_without_text(spark, tmp_path):
+    docs = [(i, None if i % 9 == 1 else "" if i % 9 == 2 else " \n " if i % 9 == 3 else f"text {i}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog_folds.index_upkeep(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(con.execute(catalog_folds._SQL["index_upkeep"]).fetchall()) and ("first", 60, 0, 0) in got
+
+
 def test_fingerprints_are_not_mixed(spark, tmp_path):
     path = str(tmp_path / "index")
     df = spark.createDataFrame([("a", "alpha", 1)], RECORDS)
